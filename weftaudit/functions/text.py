@@ -242,14 +242,11 @@ def before_separator(title: Column) -> Column:
 
 def dedupe_folded(items: Column) -> Column:
     """Drop blanks and repeats (ignoring case and outer blanks), keeping the order."""
-
-    def kept(keys: Column) -> Column:
-        return F.filter(
-            items,
-            lambda item, i: (F.get(keys, i) != "") & (F.array_position(keys, F.get(keys, i)) == (i + 1)),
-        )
-
-    return bind(F.transform(items, lambda x: F.lower(strip(x))), kept)
+    keys = F.transform(items, lambda x: F.lower(strip(x)))
+    firsts = F.array_sort(
+        F.transform(F.filter(count_terms(keys), lambda t: t["word"] != ""), lambda t: t["pos"])
+    )
+    return bind(firsts, lambda ps: F.transform(ps, lambda p: F.get(items, p)))
 
 
 def is_filename_alt(alt: Column) -> Column:

@@ -1,0 +1,33 @@
+"""Joins that hold when one key owns a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 16
+BROADCAST_ROWS = 100_000
+
+
+def salted_join(
+    big: DataFrame, small: DataFrame, on: list[str], how: str = "left", row_id: Column | None = None, salts: int = SALTS
+) -> DataFrame:
+    """Join on ``on`` with every key spread over ``salts`` tasks.
+
+    ``small`` has at most one row per key, so repeating it costs little; a hot
+    key of ``big`` is split by a hash of ``row_id`` (a stable value of the row,
+    so a lost executor recomputes the same split).
+    """
+    spread = F.xxhash64(row_id) if row_id is not None else F.xxhash64(*[F.col(c) for c in big.columns if c not in on])
+    left = big.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def lookup_join(
+    big: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", row_id: Column | None = None
+) -> DataFrame:
+    """Join a stored lookup table: broadcast when its counted size allows, else salted."""
+    if lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(lookup), on, how)
+    return salted_join(big, lookup, on, how, row_id)

@@ -333,7 +333,7 @@ a11y_score AS (
 
 def sql(select: str, *blocks: str, tables: tuple[str, ...] = ("pages_raw",)) -> str:
     """A full query: derived tables, the named blocks, then the select."""
-    parts = [with_clause(*tables), *[b.strip() for b in blocks]]
+    parts = [with_clause(*tables) if tables else "", *[b.strip() for b in blocks]]
     return "WITH RECURSIVE " + ",\n".join(p for p in parts if p) + "\n" + select
 
 

@@ -121,7 +121,22 @@ SELECT conv_id, turn, role,
 FROM conversations
 """
 
+# Address variants of every stored page.
+URL_SAMPLES = """
+SELECT page_id, url AS base_url, CAST(n AS BIGINT) AS n, CASE n
+  WHEN 0 THEN url WHEN 1 THEN concat(url, '/') WHEN 2 THEN upper(url) WHEN 3 THEN concat(url, '#part')
+  WHEN 4 THEN concat('/a/../b/./c', CAST(page_id AS STRING), '/') WHEN 5 THEN concat('x', CAST(page_id AS STRING), '.html;v=1?q=2#z')
+  WHEN 6 THEN concat('//cdn.example.com:8080/i', CAST(page_id AS STRING), '.PNG') WHEN 7 THEN concat('shop', CAST(page_id AS STRING), '.example.org/oak-shelf_2.html')
+  WHEN 8 THEN concat('mailto:a', CAST(page_id AS STRING), '@b.c') WHEN 9 THEN '' WHEN 10 THEN concat('?page=', CAST(page_id AS STRING))
+  WHEN 11 THEN concat('../../up//', CAST(page_id AS STRING)) WHEN 12 THEN concat('ftp://files.example.org/', CAST(page_id AS STRING))
+  WHEN 13 THEN concat('  HTTPS://Www.Example.COM/Big-Plan_', CAST(page_id AS STRING), '//  ') WHEN 14 THEN '#top'
+  WHEN 15 THEN concat('.hidden', CAST(page_id AS STRING)) WHEN 16 THEN concat('javascript:go(', CAST(page_id AS STRING), ')')
+  ELSE concat('https://a.b/p;x=1/q;y=', CAST(page_id AS STRING), '?r=1') END AS url
+FROM pages CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17)) AS v(n)
+"""
+
 DERIVED = {
+    "url_samples": URL_SAMPLES,
     "pages_enriched": PAGES_ENRICHED,
     "pages_raw": PAGES_RAW,
     "link_status": LINK_STATUS,

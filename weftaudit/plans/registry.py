@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftaudit.plans import queries_html
+from weftaudit.plans import queries_html, queries_site, queries_text
 
-QUERIES = {**queries_html.QUERIES}
+QUERIES = {**queries_html.QUERIES, **queries_text.QUERIES, **queries_site.QUERIES}
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
