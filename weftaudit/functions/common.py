@@ -40,6 +40,12 @@ def round2(value: Column) -> Column:
     return F.rint(value * 100.0) / 100.0
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with a fixed count of decimals, ties to even (Java alone would round up)."""
+    scale = float(10**digits)
+    return F.format_string(f"%.{digits}f", F.rint(value * scale) / scale)
+
+
 def percent0(ratio: Column) -> Column:
     """A ratio as a whole percentage, such as ``45%``."""
     return F.concat(F.rint(ratio * 100.0).cast("bigint").cast("string"), F.lit("%"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftaudit.functions.common import say
+from weftaudit.functions.common import fixed, say
 
 # How-to texts by rule and platform.
 PLATFORM_HELP = {
@@ -94,7 +94,7 @@ def suggestion_list(load_time: Column) -> Column:
     """Suggestions of a facts row, most basic rule first."""
     platform = F.col("cms_probable")
     missing = F.col("missing_alt_count")
-    seconds = F.format_string("%.2f", load_time)
+    seconds = fixed(load_time, 2)
     rules = [
         (F.col("title") == "", _row("title", platform)),
         (F.col("meta_description") == "", _row("description", platform)),

@@ -33,8 +33,9 @@ def click_depths(nodes: DataFrame, edges: DataFrame, homes: DataFrame, rounds: i
     while rounds is None or depth < rounds:
         depth += 1
         nexts = (
-            level.join(edges, (level["site"] == edges["site"]) & (level["node"] == edges["src"]))
-            .select(edges["site"], edges["dst"].alias("node"))
+            level.select("site", F.col("node").alias("src"))
+            .join(edges, ["site", "src"])
+            .select("site", F.col("dst").alias("node"))
             .distinct()
             .join(reached, ["site", "node"], "left_anti")
             .withColumn("depth", F.lit(depth).cast("bigint"))
@@ -124,9 +125,11 @@ def crawl_order(
         visited = level if visited is None else visited.unionByName(level)
         if depth == max_depth or level.isEmpty():
             break
-        candidates = level.join(
-            links, (level["site"] == links["site"]) & (level["url"] == links["src"])
-        ).select(level["site"], links["dst"].alias("url"), level["ord"].alias("parent"), links["pos"])
+        candidates = (
+            level.select("site", F.col("url").alias("src"), F.col("ord").alias("parent"))
+            .join(links, ["site", "src"])
+            .select("site", F.col("dst").alias("url"), "parent", "pos")
+        )
     found_pages = stored.select("site", "url", F.lit(True).alias("found")).distinct()
     return visited.join(found_pages, ["site", "url"], "left").select(
         "site", "url", "ord", "depth", F.coalesce("found", F.lit(False)).alias("found")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftaudit.functions import text
-from weftaudit.functions.common import bind, messages, percent0, points, round2, say, strip
+from weftaudit.functions.common import bind, fixed, messages, percent0, points, round2, say, strip
 from weftaudit.functions.grades import PILLAR_WEIGHTS, cents, clamp, grade, label, mean_of_cents, pillar, weighted
 from weftaudit.operators import graph, links
 from weftaudit.operators.authority import authority_scores
@@ -77,7 +77,7 @@ def _on_page() -> Column:
         (~card, "Twitter card metadata is missing"),
         (
             densest > 3.0,
-            say("Keyword density peaks at ", F.format_string("%.2f", densest), "%, which suggests stuffing"),
+            say("Keyword density peaks at ", fixed(densest, 2), "%, which suggests stuffing"),
         ),
     )
     passed = messages(
@@ -106,8 +106,8 @@ def _content() -> Column:
     first = F.get("top_keywords", F.lit(0))
     own, density = F.coalesce(first["word"], F.lit("")), F.coalesce(first["density"], F.lit(0.0))
     balanced = (own != "") & density.between(0.5, 3.0)
-    shown = F.format_string("%.1f", ease)
-    dense = F.format_string("%.2f", density)
+    shown = fixed(ease, 1)
+    dense = fixed(density, 2)
     very, good, fair = ease.between(70, 80), (ease >= 60) & (ease < 70), (ease >= 40) & (ease < 60)
     score = points(
         (wc >= 300, 15), (wc < 300, -15), (wc >= 600, 10), (wc >= 1200, 5), (very, 20), (good, 15), (fair, 10),
@@ -143,7 +143,7 @@ def _technical() -> Column:
     seconds = F.coalesce(
         F.nullif("load_time", F.lit(0.0)), F.nullif("meta_load_time", F.lit(0.0)), F.lit(0.0)
     )
-    shown = F.format_string("%.2f", seconds)
+    shown = fixed(seconds, 2)
     timed = seconds != 0
     view, lazy = F.col("viewport") != "", lazy_images(F.col("images"))
     score = points(
@@ -345,7 +345,7 @@ def site_technical(facts: DataFrame, site_meta: DataFrame) -> DataFrame:
 def _site_technical() -> Column:
     secure, robots, sitemap, broken = (F.col(c) for c in ("secure", "robots", "sitemap", "broken"))
     seconds, view, lazy = F.col("seconds"), F.col("view"), F.col("lazy")
-    shown = F.format_string("%.2f", seconds)
+    shown = fixed(seconds, 2)
     score = points(
         (secure, 15), (robots, 10), (sitemap, 10), (broken == 0, 15), (seconds < 3.0, 15), (seconds < 1.5, 5)
     ) + view * 15.0 + lazy * 10.0

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftaudit.functions import html, text, urls
-from weftaudit.functions.common import bind, messages, say
+from weftaudit.functions.common import bind, fixed, messages, say
 from weftaudit.operators.facts import present_levels, tokenised
 
 # Closing lines of the single-page recommendations.
@@ -148,7 +148,7 @@ def site_advice(facts: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.when(ok, F.col("broken_count")).otherwise(0)).alias("broken"),
         F.count_if(ok & F.col("first_description").isNull()).alias("no_description"),
     )
-    share = F.format_string("%.1f", F.col("no_alt").cast("double") / F.col("images") * 100.0)
+    share = fixed(F.col("no_alt").cast("double") / F.col("images") * 100.0, 1)
     lines = messages(
         (F.col("no_h1") > 0, say("Add H1 headings to ", F.col("no_h1"), " page(s) for better SEO and accessibility.")),
         (F.col("many_h1") > 0, say("Reduce to one H1 heading per page on ", F.col("many_h1"), " page(s).")),
