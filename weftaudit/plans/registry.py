@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftaudit.plans import queries_html, queries_site, queries_text
+from weftaudit.plans import queries_html, queries_more, queries_site, queries_text
 
-QUERIES = {**queries_html.QUERIES, **queries_text.QUERIES, **queries_site.QUERIES}
+QUERIES = {
+    **queries_html.QUERIES,
+    **queries_text.QUERIES,
+    **queries_site.QUERIES,
+    **queries_more.QUERIES,
+}
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
