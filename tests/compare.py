@@ -61,6 +61,8 @@ def plain(value):
 
 def kind_of(type_name: str) -> str:
     t = type_name.lower()
+    if t.startswith("timestamp"):
+        return "timestamp"
     if t in ("string", "varchar"):
         return "text"
     if t in ("bigint", "int", "integer", "smallint", "tinyint", "hugeint"):

@@ -10,7 +10,7 @@ from weftaudit.operators.joins import salted_join
 
 def opening_counts(rows: DataFrame, group: str, mark: str) -> DataFrame:
     """Rows per group and opening fingerprint (partial counts before the shuffle)."""
-    return rows.where(F.col(mark) != "").groupBy(group, mark).agg(F.count("*").alias("n"))
+    return rows.groupBy(group, mark).agg(F.count("*").alias("n"))
 
 
 def with_duplicate_flag(rows: DataFrame, group: str, mark: str, row_id: Column) -> DataFrame:
@@ -19,4 +19,6 @@ def with_duplicate_flag(rows: DataFrame, group: str, mark: str, row_id: Column)
         group, mark, F.lit(True).alias("duplicated")
     )
     out = salted_join(rows, repeated, [group, mark], "left", row_id)
-    return out.withColumn("duplicated", F.coalesce("duplicated", F.lit(False)))
+    # Empty openings are left out here: a filter before the grouping would be pushed
+    # down and have the fingerprint computed twice.
+    return out.withColumn("duplicated", F.coalesce("duplicated", F.lit(False)) & (F.col(mark) != ""))

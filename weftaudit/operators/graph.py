@@ -9,6 +9,7 @@ from weftaudit.functions import urls
 from weftaudit.operators import robots
 from weftaudit.operators.joins import lookup_join
 from weftaudit.sources.shared import checkpointed
+from weftaudit.operators.rows import unrolled
 
 
 def homepages(facts: DataFrame, site_meta: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def crawl_links(facts: DataFrame) -> DataFrame:
     )
     return (
         facts.where("fetched")
-        .select("site", urls.crawl_key(F.col("url")).alias("src"), F.posexplode(usable).alias("pos", "l"))
+        .transform(unrolled, ["site", urls.crawl_key(F.col("url")).alias("src")], usable, "l", "pos")
         .select("site", "src", F.col("pos").cast("bigint").alias("pos"), urls.crawl_key(F.col("l.absolute_url")).alias("dst"))
     )
 

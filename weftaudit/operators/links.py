@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftaudit.functions import urls
 from weftaudit.functions.common import strip
 from weftaudit.operators.joins import salted_join
+from weftaudit.operators.rows import unrolled
 
 # Anchor texts that count as weak, and rel values that protect a link.
 BAD_ANCHORS = ["click here", "here", "read more", "learn more", "more", ""]
@@ -22,7 +23,7 @@ def ordered_links() -> Column:
 def link_table(facts: DataFrame, sample: int | None = None) -> DataFrame:
     """One row per link; ``sample`` keeps the first links of each page only."""
     links = ordered_links() if sample is None else F.slice(ordered_links(), 1, sample)
-    return facts.select("site", "page_id", "url", F.posexplode(links).alias("rank", "l")).select(
+    return facts.transform(unrolled, ["site", "page_id", "url"], links, "l", "rank").select(
         "site", "page_id", "url", F.col("rank").cast("bigint").alias("rank"), "l.*"
     )
 
@@ -75,7 +76,7 @@ def edges(facts: DataFrame) -> DataFrame:
     )
     pairs = (
         facts.where(F.col("url") != "")
-        .select("site", urls.graph_key(F.col("url")).alias("src"), F.explode(targets).alias("node"))
+        .transform(unrolled, ["site", urls.graph_key(F.col("url")).alias("src")], targets, "node")
         .where((F.col("src") != F.col("node")) & (F.col("src") != ""))
     )
     inside = salted_join(pairs, nodes(facts), ["site", "node"], "left_semi", F.col("src"))
@@ -126,7 +127,7 @@ def site_anchor_stats(facts: DataFrame) -> DataFrame:
     """
     texts = F.filter(F.transform("links", lambda x: anchor_key(x["text"])), lambda t: t != "")
     per_text = (
-        facts.select("site", F.explode(texts).alias("anchor")).groupBy("site", "anchor").agg(F.count("*").alias("n"))
+        facts.transform(unrolled, ["site"], texts, "anchor").groupBy("site", "anchor").agg(F.count("*").alias("n"))
     )
     variety = per_text.groupBy("site").agg(
         F.count("*").alias("distinct_anchors"), F.sum("n").alias("all_anchors")

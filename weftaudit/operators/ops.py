@@ -39,7 +39,7 @@ def clamped_requests(requests: DataFrame) -> DataFrame:
 
 def monthly_usage(runs: DataFrame, owner: str, at: str, cap: int) -> DataFrame:
     """Runs per owner and month with what is left of the cap."""
-    return runs.groupBy(owner, F.date_trunc("month", F.col(at)).alias("month")).agg(F.count("*").alias("used")).select(
+    return runs.groupBy(owner, F.date_trunc("month", F.col(at)).cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("used")).select(
         "*", F.greatest(F.lit(0).cast("bigint"), F.lit(cap) - F.col("used")).alias("remaining"),
         (F.col("used") >= cap).alias("limit_reached"),
     )
@@ -62,7 +62,7 @@ def status_funnel(jobs: DataFrame) -> DataFrame:
 
 def audit_rollup(log: DataFrame, key: str, action: str, at: str) -> DataFrame:
     """Log entries per key, action and day."""
-    return log.groupBy(key, action, F.date_trunc("day", F.col(at)).alias("day")).agg(F.count("*").alias("entries"))
+    return log.groupBy(key, action, F.date_trunc("day", F.col(at)).cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("entries"))
 
 
 def progress(stage: Column, done: Column) -> Column:

@@ -18,6 +18,7 @@ from weftaudit.functions import advice, text, urls
 from weftaudit.functions.common import bind, collapse, say
 from weftaudit.operators.joins import lookup_join, salted_join
 from weftaudit.operators.topics import topics
+from weftaudit.operators.rows import unrolled
 
 
 
@@ -126,7 +127,7 @@ def stuffing_rows(facts: DataFrame) -> DataFrame:
     """One row per page and overused keyword."""
     return (
         facts.select("page_id", "top_keywords", *_sentence_columns())
-        .select("page_id", F.explode(stuffing(F.col("sents"))).alias("s"))
+        .transform(unrolled, ["page_id"], stuffing(F.col("sents")), "s")
         .select("page_id", "s.*")
     )
 
@@ -256,7 +257,7 @@ def page_rules(facts: DataFrame, site_meta: DataFrame, page_scores: DataFrame |
         *base, "title", "meta_description", "site_name", "location", topics().alias("t"), *_sentence_columns()
     )
     context = with_text.select(*base, "sents", *_context_columns())
-    return context.select("site", "page_id", "url", F.posexplode(_rule_columns()[0]).alias("ord", "r")).select(
+    return context.transform(unrolled, ["site", "page_id", "url"], _rule_columns()[0], "r", "ord").select(
         "site", "page_id", F.col("url").alias("page_url"), F.col("ord").cast("bigint").alias("ord"), "r.*"
     )
 
@@ -264,7 +265,7 @@ def page_rules(facts: DataFrame, site_meta: DataFrame, page_scores: DataFrame |
 def anchor_rules(facts: DataFrame) -> DataFrame:
     """Vague or empty anchors, with the title of the target page as better text."""
     weak = (
-        facts.select("site", "page_id", "url", F.explode("links").alias("l"))
+        facts.transform(unrolled, ["site", "page_id", "url"], "links", "l")
         .withColumn("shown", collapse(F.col("l.text")))
         .where(F.lower("shown").isin(advice.VAGUE_ANCHORS) | (F.col("shown") == ""))
         .select("site", "page_id", "url", "l.pos", "shown", "l.absolute_url", urls.lookup_key(F.col("l.absolute_url")).alias("key"))
@@ -333,7 +334,7 @@ def site_rules(facts: DataFrame, site_meta: DataFrame) -> DataFrame:
             F.when(~F.col("has_sitemap"), _row("sitemap", "High", "No XML sitemap was found.", sitemap)),
         )
     )
-    return sites.select("site", "base", F.posexplode(rows).alias("ord", "r")).select(
+    return sites.transform(unrolled, ["site", "base"], rows, "r", "ord").select(
         "site", F.lit(-1).cast("bigint").alias("page_id"), F.col("base").alias("page_url"),
         F.col("ord").cast("bigint").alias("ord"), "r.*",
     )

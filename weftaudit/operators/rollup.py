@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftaudit.functions.common import messages, say
+from weftaudit.operators.rows import unrolled
 
 SUMMARY_COLUMNS = [
     "total_pages_analyzed", "total_images", "images_without_alt", "total_internal_links", "total_external_links",
@@ -263,6 +264,6 @@ def fallback_recommendations(insights: DataFrame) -> DataFrame:
         )
         for rank, (source, priority, category) in enumerate(kinds)
     ]
-    return insights.select("site", F.posexplode(F.concat(*tagged)).alias("ord", "r")).select(
+    return insights.transform(unrolled, ["site"], F.concat(*tagged), "r", "ord").select(
         "site", F.col("ord").cast("bigint").alias("ord"), "r.priority", "r.category", "r.recommendation"
     )

@@ -22,6 +22,7 @@ from weftaudit.operators.facts import level_gap, pair_value
 from weftaudit.operators.joins import lookup_join
 from weftaudit.operators.topics import page_text, primary_keyword
 from weftaudit.sources.shared import materialised
+from weftaudit.operators.rows import unrolled
 
 META_COLUMNS = ["primary_keyword", "https", "has_robots", "has_sitemap", "meta_load_time"]
 
@@ -443,7 +444,7 @@ def pillar_messages(scores: DataFrame) -> DataFrame:
     """Distinct messages of the page pillars per site, with first place and page count."""
     names = ["on_page_seo", "content_quality", "ux_design"]
     lists = [_tagged(n, kind) for n in names for kind in ("issues", "passed")]
-    rows = scores.select("site", "page_id", F.explode(F.concat(*lists)).alias("m")).select("site", "page_id", "m.*")
+    rows = scores.transform(unrolled, ["site", "page_id"], F.concat(*lists), "m").select("site", "page_id", "m.*")
     return rows.groupBy("site", "pillar", "kind", "message").agg(
         F.count("*").alias("pages"), F.min(F.struct("page_id", "i")).alias("first_place")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftaudit.functions import html, text, urls
 from weftaudit.functions.common import bind, fixed, messages, say
 from weftaudit.operators.facts import present_levels, tokenised
+from weftaudit.operators.rows import unrolled
 
 # Closing lines of the single-page recommendations.
 GENERAL_ADVICE = [
@@ -134,7 +135,7 @@ def seo_score() -> Column:
 
 def heading_table(facts: DataFrame) -> DataFrame:
     """One row per heading."""
-    return facts.select("page_id", F.explode("headings").alias("h")).select("page_id", "h.*")
+    return facts.transform(unrolled, ["page_id"], "headings", "h").select("page_id", "h.*")
 
 
 def site_advice(facts: DataFrame, keys: list[str]) -> DataFrame:

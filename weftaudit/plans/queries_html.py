@@ -9,6 +9,7 @@ from weftaudit.functions import html
 from weftaudit.operators import single_page as sp
 from weftaudit.operators.facts import page_facts, social_tags, tokenised
 from weftaudit.sources.tables import derived
+from weftaudit.operators.rows import unrolled
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,7 +23,7 @@ def joined(column: str):
 def html_tokens(spark, sf):
     return (
         tokenised(derived(spark, sf, "pages_raw"))
-        .select("page_id", F.explode("toks").alias("t"))
+        .transform(unrolled, ["page_id"], "toks", "t")
         .select("page_id", F.col("t.pos").cast("bigint").alias("pos"), "t.kind", "t.tag", F.col("t.v").alias("value"))
     )
 
@@ -30,7 +31,7 @@ def html_tokens(spark, sf):
 def html_ancestors(spark, sf):
     return (
         facts(spark, sf)
-        .select("page_id", F.explode("images").alias("i"))
+        .transform(unrolled, ["page_id"], "images", "i")
         .select(
             "page_id", F.col("i.index").cast("bigint").alias("index"), "i.placement_parent",
             "i.in_header", "i.in_footer", "i.in_nav", "i.in_article",
@@ -51,7 +52,7 @@ def html_title(spark, sf):
 
 
 def html_meta_tags(spark, sf):
-    return facts(spark, sf).select("page_id", F.explode("meta_tags").alias("m")).select("page_id", "m.key", "m.value")
+    return facts(spark, sf).transform(unrolled, ["page_id"], "meta_tags", "m").select("page_id", "m.key", "m.value")
 
 
 def html_named_metas(spark, sf):
@@ -61,7 +62,7 @@ def html_named_metas(spark, sf):
 
 
 def html_open_graph(spark, sf):
-    return facts(spark, sf).select("page_id", F.explode("open_graph").alias("m")).select("page_id", "m.key", "m.value")
+    return facts(spark, sf).transform(unrolled, ["page_id"], "open_graph", "m").select("page_id", "m.key", "m.value")
 
 
 def html_twitter_card(spark, sf):
@@ -73,7 +74,7 @@ def html_twitter_card(spark, sf):
             lambda t: html.attributes(t["v"]),
         ).alias("metas"),
     )
-    tags = metas.select("page_id", F.explode(social_tags(F.col("metas"), "name", "twitter:", keep_prefix=True)).alias("m"))
+    tags = metas.transform(unrolled, ["page_id"], social_tags(F.col("metas"), "name", "twitter:", keep_prefix=True), "m")
     return tags.select("page_id", "m.key", "m.value")
 
 
@@ -106,7 +107,7 @@ def html_heading_issues(spark, sf):
 def html_images(spark, sf):
     return (
         facts(spark, sf)
-        .select("page_id", F.explode("images").alias("i"))
+        .transform(unrolled, ["page_id"], "images", "i")
         .select(
             "page_id", F.col("i.index").cast("bigint").alias("index"), "i.src", "i.absolute_src", "i.alt",
             "i.has_alt", "i.title", "i.width", "i.height", "i.placement_parent", "i.loading",
@@ -122,7 +123,7 @@ def html_missing_alt(spark, sf):
 def html_image_placement(spark, sf):
     return (
         facts(spark, sf)
-        .select("page_id", F.explode("images").alias("i"))
+        .transform(unrolled, ["page_id"], "images", "i")
         .select(
             "page_id", (F.col("i.index") + 1).cast("bigint").alias("position"), F.col("i.absolute_src").alias("src"),
             sp.image_placement(F.col("i.placement_parent")).alias("placement"),
@@ -133,7 +134,7 @@ def html_image_placement(spark, sf):
 def html_links(spark, sf):
     return (
         facts(spark, sf)
-        .select("page_id", F.explode("links").alias("l"))
+        .transform(unrolled, ["page_id"], "links", "l")
         .select(
             "page_id", F.col("l.pos").cast("bigint").alias("pos"), "l.text", "l.href", "l.absolute_url",
             "l.title", F.array_join("l.rel", " ").alias("rel"), "l.target", "l.internal",
@@ -144,7 +145,7 @@ def html_links(spark, sf):
 def html_plain_links(spark, sf):
     return (
         facts(spark, sf)
-        .select("page_id", F.explode(sp.plain_links(F.col("anchors"), F.col("host"))).alias("l"))
+        .transform(unrolled, ["page_id"], sp.plain_links(F.col("anchors"), F.col("host")), "l")
         .select("page_id", F.col("l.pos").cast("bigint").alias("pos"), "l.url", "l.text", "l.has_text", "l.internal")
     )
 
@@ -160,7 +161,7 @@ def html_layout_issues(spark, sf):
 def html_json_ld(spark, sf):
     return (
         facts(spark, sf)
-        .select("page_id", F.posexplode("json_ld").alias("ord", "j"))
+        .transform(unrolled, ["page_id"], "json_ld", "j", "ord")
         .select("page_id", F.col("ord").cast("bigint").alias("ord"), "j.type", "j.name", "j.json")
     )
 

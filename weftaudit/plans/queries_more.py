@@ -13,6 +13,7 @@ from weftaudit.plans.queries_site import counted_facts
 from weftaudit.sources import pages as src
 from weftaudit.sources.shared import materialised, shared_dir
 from weftaudit.sources.tables import derived, table
+from weftaudit.operators.rows import unrolled
 
 
 def _meta(spark, sf):
@@ -23,7 +24,7 @@ def _meta(spark, sf):
 
 
 def rec_suggestions(spark, sf):
-    return facts(spark, sf).select("page_id", F.posexplode("suggestions").alias("ord", "s")).select(
+    return facts(spark, sf).transform(unrolled, ["page_id"], "suggestions", "s", "ord").select(
         "page_id", F.col("ord").cast("bigint").alias("ord"), "s.*"
     )
 

@@ -12,6 +12,7 @@ from weftaudit.operators import single_page as sp
 from weftaudit.plans.queries_html import facts, joined
 from weftaudit.sources.shared import materialised
 from weftaudit.sources.tables import derived
+from weftaudit.operators.rows import unrolled
 
 
 def _meta(spark, sf):
@@ -67,7 +68,7 @@ def join_provider_choice(spark, sf):
 def join_form_labels(spark, sf):
     """Form inputs with an id and no label."""
     f = facts_forms(spark, sf)
-    return f.select("page_id", F.explode("ids").alias("input_id"))
+    return f.transform(unrolled, ["page_id"], "ids", "input_id")
 
 
 def facts_forms(spark, sf):

@@ -14,6 +14,7 @@ from weftaudit.operators.topics import page_text, primary_keyword, topics
 from weftaudit.operators.recommend import stuffing_rows
 from weftaudit.plans.queries_html import facts
 from weftaudit.sources.tables import derived, table
+from weftaudit.operators.rows import unrolled
 
 
 def url_validity(spark, sf):
@@ -85,13 +86,13 @@ def txt_words(spark, sf):
 
 
 def txt_top_keywords(spark, sf):
-    top = _doc_words(spark, sf).select("doc_id", F.posexplode(text.top_keywords(F.col("ws"))).alias("i", "k"))
+    top = _doc_words(spark, sf).transform(unrolled, ["doc_id"], text.top_keywords(F.col("ws")), "k", "i")
     return top.select("doc_id", (F.col("i") + 1).cast("bigint").alias("rank"), "k.word", "k.n", "k.density")
 
 
 def txt_plain_keywords(spark, sf):
     plain = _doc_words(spark, sf).select("doc_id", text.plain_keyword_tokens(F.col("ws")).alias("ws"))
-    top = plain.select("doc_id", F.posexplode(text.plain_keywords(F.col("ws"))).alias("i", "k"))
+    top = plain.transform(unrolled, ["doc_id"], text.plain_keywords(F.col("ws")), "k", "i")
     return top.select("doc_id", (F.col("i") + 1).cast("bigint").alias("rank"), "k.word", "k.n", "k.density")
 
 
@@ -133,7 +134,7 @@ def txt_syllables(spark, sf):
 def txt_long_tail(spark, sf):
     return (
         _docs(spark, sf)
-        .select("doc_id", F.posexplode(text.long_tail_phrases(F.col("text"))).alias("i", "phrase"))
+        .transform(unrolled, ["doc_id"], text.long_tail_phrases(F.col("text")), "phrase", "i")
         .select("doc_id", (F.col("i") + 1).cast("bigint").alias("rank"), "phrase")
     )
 
@@ -153,7 +154,7 @@ def txt_duplicates(spark, sf):
 
 def txt_duplicate_counts(spark, sf):
     marked = _docs(spark, sf).select("doc_id", "source", text.fingerprint(F.col("text")).alias("opening"))
-    return opening_counts(marked, "source", "opening")
+    return opening_counts(marked, "source", "opening").where(F.col("opening") != "")
 
 
 def txt_page_text(spark, sf):
@@ -166,7 +167,7 @@ def txt_page_text(spark, sf):
 def txt_sentences(spark, sf):
     return (
         _docs(spark, sf)
-        .select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("i", "sentence"))
+        .transform(unrolled, ["doc_id"], text.sentences(F.col("text")), "sentence", "i")
         .select("doc_id", (F.col("i") + 1).cast("bigint").alias("ord"), "sentence")
     )
 
@@ -208,7 +209,7 @@ def txt_dedupe(spark, sf):
 def txt_alt_checks(spark, sf):
     return (
         facts(spark, sf)
-        .select("page_id", F.explode("images").alias("i"))
+        .transform(unrolled, ["page_id"], "images", "i")
         .select(
             "page_id", F.col("i.index").cast("bigint").alias("index"),
             text.is_filename_alt(F.concat("i.alt", F.when(F.col("page_id") % 2 == 0, ".jpg").otherwise(""))).alias("filename_alt"),
