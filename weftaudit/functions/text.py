@@ -67,9 +67,8 @@ def count_terms(tokens: Column) -> Column:
         )
 
     pairs = F.array_sort(F.transform(tokens, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
-    counted = F.when(F.size(tokens) > 0, bind(pairs, runs)).otherwise(
-        empty("struct<neg_n:bigint,pos:int,word:string>")
-    )
+    nothing = empty("struct<neg_n:bigint,pos:int,word:string>")
+    counted = bind(pairs, lambda ps: F.when(F.size(ps) > 0, runs(ps)).otherwise(nothing))
     return F.array_sort(counted)
 
 

@@ -64,12 +64,12 @@ def unsplit(p_scheme: Column, p_netloc: Column, p_path: Column, p_query: Column,
     )
 
 
-def _walk_segments(whole_path: Column) -> Column:
-    """Resolve ``.`` and ``..`` and drop empty inner segments."""
+def _walk_segments(whole_path: Column, rooted: Column) -> Column:
+    """Resolve ``.`` and ``..``; drop empty inner segments of a path joined to its base."""
 
     def walked(segments: Column) -> Column:
         last = F.size(segments) - 1
-        inner = F.filter(segments, lambda s, i: (s != "") | (i == 0) | (i == last))
+        inner = F.filter(segments, lambda s, i: rooted | (s != "") | (i == 0) | (i == last))
         stack = F.aggregate(
             inner,
             F.array().cast("array<string>"),
@@ -90,8 +90,9 @@ def resolve_parts(base: Column, href: Column, ref: Column) -> Column:
     """Resolve ``href`` (already split into ``ref``) against the split URL ``base``."""
     folder = F.regexp_replace(base["path"], r"[^/]*$", "")
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    joined = F.when(ref["path"].startswith("/"), ref["path"]).otherwise(F.concat(folder, ref["path"]))
-    target = bind(joined, lambda j: F.when(j.rlike(DOTS_RE), _walk_segments(j)).otherwise(j))
+    rooted = ref["path"].startswith("/")
+    joined = F.when(rooted, ref["path"]).otherwise(F.concat(folder, ref["path"]))
+    target = bind(joined, lambda j: F.when(j.rlike(DOTS_RE), _walk_segments(j, rooted)).otherwise(j))
     same_page_query = F.when(ref["query"] != "", ref["query"]).otherwise(base["query"])
     return (
         F.when((ref["scheme"] != "") & (ref["scheme"] != base["scheme"]), href)

@@ -71,7 +71,7 @@ def resolve(base: str, href: str) -> str:
     folder = f"coalesce(nullif(regexp_replace({up(base, 3)}, '[^/]*$', ''), ''), '/')"
     joined = f"CASE WHEN starts_with({up(href, 3)}, '/') THEN {up(href, 3)} ELSE {folder} || {up(href, 3)} END"
     segs = f"string_split({joined}, '/')"
-    inner = f"list_filter({segs}, lambda x, i: x <> '' OR i = 1 OR i = len({segs}))"
+    inner = f"list_filter({segs}, lambda x, i: x <> '' OR i = 1 OR i = len({segs}) OR starts_with({up(href, 3)}, '/'))"
     walked = f"""list_reduce(list_transform({inner}, lambda x: [x]), lambda acc, x: CASE
         WHEN x[1] = '..' THEN acc[1:len(acc)-1] WHEN x[1] = '.' THEN acc ELSE list_concat(acc, x) END, CAST([] AS VARCHAR[]))"""
     ended = f"list_concat({walked}, CASE WHEN {segs}[-1] IN ('.', '..') THEN [''] ELSE CAST([] AS VARCHAR[]) END)"

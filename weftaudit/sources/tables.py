@@ -11,11 +11,22 @@ from weftaudit.plans.fixtures import with_clause
 GIVEN = r"\bFROM (pages|events|conversations|documents)\b"
 
 
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Hash rows over all cores when the files give fewer splits than there are cores.
+
+    Large inputs have more splits than cores and pass through without a shuffle.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, "doc_id") if name == "documents" else rows
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a DataFrame; its SQL reads the given tables by name."""
     query = f"WITH {with_clause(name)} SELECT * FROM {name}"
-    return spark.sql(re.sub(GIVEN, lambda m: f"FROM parquet.`{sf_dir}/{m.group(1)}.parquet`", query))
+    rows = spark.sql(re.sub(GIVEN, lambda m: f"FROM parquet.`{sf_dir}/{m.group(1)}.parquet`", query))
+    return spread(rows, "page_id") if name == "pages_raw" else rows
