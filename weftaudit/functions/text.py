@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftaudit.functions.common import WS, bind, collapse, empty, round2, strip
+from weftaudit.functions.common import bind, collapse, empty, round2, strip
 
 WORD_RE = r"[\p{L}\p{N}_]+"
 # Plain words with digits and apostrophes between Unicode word boundaries.

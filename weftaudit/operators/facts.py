@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftaudit.functions import cms, html, text, urls
-from weftaudit.functions.common import bind, empty, messages, say, strip
+from weftaudit.functions.common import bind, messages, say, strip
 from weftaudit.functions.suggest import suggestion_list
 
 HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]

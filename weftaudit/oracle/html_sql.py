@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weftaudit.oracle.base import (
-    A11Y, CMS, FACTS, IMAGES, LINKS, PAGE, STACK, TOKENS, WORDS, collapse, in_list, netloc, q, sql, up,
+    A11Y, CMS, LINKS, PAGE, STACK, TOKENS, collapse, netloc, sql, up,
 )
 
 HEAD_COUNTS = """(SELECT page_id, h1_count, h2_count, h3_count, h4_count, h5_count, h6_count, levels FROM fact2)"""

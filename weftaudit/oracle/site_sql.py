@@ -5,11 +5,11 @@ from __future__ import annotations
 from weftaudit.functions import text, urls
 from weftaudit.functions.grades import PILLAR_WEIGHTS
 from weftaudit.operators.authority import METRICS, NEUTRAL_ISSUE, NEUTRAL_PASSED
-from weftaudit.operators.links import BAD_ANCHORS, SAFE_RELS
+from weftaudit.operators.links import BAD_ANCHORS
 from weftaudit.operators.scoring import SEMANTIC_TARGETS
 from weftaudit.operators.single_page import GENERAL_ADVICE
 from weftaudit.oracle.base import (
-    A11Y, PAGE, TOKENS, WORDS, collapse, crawl_key, graph_key, in_list, netloc, plain_path, q, round2, sql, strip, up,
+    A11Y, PAGE, collapse, crawl_key, graph_key, in_list, plain_path, q, round2, sql, strip, up,
 )
 from weftaudit.oracle.html_sql import BODY_TEXT
 from weftaudit.oracle.text_sql import LONG_TAIL, PLAIN

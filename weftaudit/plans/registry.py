@@ -15,4 +15,5 @@ QUERIES = {
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return queries_html.html_page_analysis(spark, sf)
+    """Seven summary figures of each site, from the stored pages."""
+    return queries_site.agg_site_summary(spark, sf)
