@@ -20,4 +20,4 @@ def test_matches_sql(spark, con, sf, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.ORACLE)
