@@ -13,7 +13,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftaudit.functions.common import bind, empty, strip
+from weftaudit.functions import walk
+from weftaudit.functions.common import bind, strip
 
 # One token: a whole script/style/noscript element, a comment, a tag, or a text run.
 # Possessive quantifiers keep long tags off the regex engine's stack.
@@ -25,7 +26,8 @@ TAG_NAME_RE = r"^</?([A-Za-z][A-Za-z0-9:\-]*)"
 RAW_END_RE = r"(?i)</(?:script|style|noscript)\s*>$"
 OPEN_TAG_RE = r"(?s)^<(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>"
 ATTR_RE = r"[^\s\"'<>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?"
-ENTITY_RE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);|[^&]+|&"
+# Leading zeros of a number do not count; more digits than any code point has still make a (bad) reference.
+ENTITY_RE = r"&(?:#0*[0-9]{1,12}|#[xX]0*[0-9a-fA-F]{1,10}|[a-zA-Z][a-zA-Z0-9]*);|[^&]+|&"
 
 VOID_TAGS = [
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
@@ -60,8 +62,8 @@ def decode_entities(text: Column) -> Column:
     def piece(p: Column) -> Column:
         inner = F.regexp_extract(p, r"^&(.*);$", 1)
         code = (
-            F.when(inner.startswith("#x") | inner.startswith("#X"), F.conv(F.substring(inner, 3, 6), 16, 10))
-            .otherwise(F.substring(inner, 2, 7))
+            F.when(inner.startswith("#x") | inner.startswith("#X"), F.conv(F.regexp_extract(inner, "^#[xX]0*([0-9a-fA-F]+)$", 1), 16, 10))
+            .otherwise(F.regexp_extract(inner, "^#0*([0-9]+)$", 1))
             .cast("bigint")
         )
         return (
@@ -138,55 +140,27 @@ def class_list(attrs: Column, name: str = "class") -> Column:
 
 def visible_text(toks: Column) -> Column:
     """All text tokens, joined by blanks and collapsed."""
-    return text_outside(toks, None)
-
-
-def text_outside(toks: Column, spans: Column | None) -> Column:
-    """Visible text, leaving out what lies in the given ``array<struct<a, z>>`` spans."""
-    texts = F.filter(toks, lambda t: t["kind"] == "text")
-    if spans is not None:
-        texts = bind(
-            spans,
-            lambda sp: F.filter(
-                texts, lambda t: ~F.exists(sp, lambda s: (t["pos"] > s["a"]) & (t["pos"] < s["z"]))
-            ),
-        )
+    return _collapsed(F.filter(toks, lambda t: t["kind"] == "text"))
+
+
+def _collapsed(texts: Column) -> Column:
     joined = F.array_join(F.transform(texts, lambda t: t["v"]), " ")
     return F.trim(F.regexp_replace(joined, r"[\s\p{Z}]+", " "))
 
 
-def element_spans(toks: Column, tag_names: list[str]) -> Column:
-    """Outermost spans ``array<struct<a, z>>`` of the given elements, by a clamped counter.
+def text_outside(toks: Column, tag_names: list[str]) -> Column:
+    """Visible text, leaving out what lies in the given elements.
 
-    Only the few tokens of those elements enter the fold. An element that is
-    never closed reaches to the end of the page.
+    An element that is never closed reaches to the end of the page.
     """
-    picked = F.filter(
-        toks, lambda t: t["tag"].isin(tag_names) & t["kind"].isin("open", "close")
-    )
-    state = F.struct(
-        F.lit(0).alias("d"), F.lit(-1).alias("a"), empty("struct<a:int,z:int>").alias("out")
+    marks = F.transform(
+        toks,
+        lambda t: F.when(t["kind"] == "text", "t")
+        .when(t["tag"].isin(tag_names) & (t["kind"] == "open"), "+")
+        .when(t["tag"].isin(tag_names) & (t["kind"] == "close"), "-")
+        .otherwise(""),
     )
-
-    def step(acc: Column, t: Column) -> Column:
-        opens = t["kind"] == "open"
-        depth = F.when(opens, acc["d"] + 1).otherwise(F.greatest(acc["d"] - 1, F.lit(0)))
-        ends = ~opens & (acc["d"] == 1)
-        return F.struct(
-            depth.alias("d"),
-            F.when(opens & (acc["d"] == 0), t["pos"]).otherwise(acc["a"]).alias("a"),
-            F.when(
-                ends, F.array_append(acc["out"], F.struct(acc["a"].alias("a"), t["pos"].alias("z")))
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        )
-
-    def close(acc: Column) -> Column:
-        tail = F.struct(acc["a"].alias("a"), F.lit(2147483647).alias("z"))
-        return F.when(acc["d"] > 0, F.array_append(acc["out"], tail)).otherwise(acc["out"])
-
-    return F.aggregate(picked, state, step, close)
+    return _collapsed(F.transform(walk.texts_outside_of(marks), lambda i: F.get(toks, i)))
 
 
 def element_text(toks: Column, first: Column, last: Column) -> Column:
@@ -199,23 +173,15 @@ def element_text(toks: Column, first: Column, last: Column) -> Column:
 def elements_with_text(toks: Column, tag_names: list[str]) -> Column:
     """``array<struct<pos, tag, v, text>>``: each opening tag with its text.
 
-    The text reaches to the first closing tag of the same name. That is the
-    next entry of the short list in all well-formed pages; only else is the
-    list searched.
+    The text reaches to the next opening or closing tag of the given names: a link or a
+    heading ends where the next one begins, as browsers have it. So each token belongs to
+    one element at most.
     """
     marks = F.filter(toks, lambda t: t["tag"].isin(tag_names) & t["kind"].isin("open", "close"))
 
     def made(ms: Column) -> Column:
         def one(m: Column, i: Column) -> Column:
-            nxt = F.get(ms, i + 1)
-            near = F.when((nxt["kind"] == "close") & (nxt["tag"] == m["tag"]), nxt["pos"])
-            far = F.get(
-                F.filter(
-                    ms, lambda c: (c["kind"] == "close") & (c["tag"] == m["tag"]) & (c["pos"] > m["pos"])
-                ),
-                F.lit(0),
-            )["pos"]
-            end = F.coalesce(near, far, F.size(toks))
+            end = F.coalesce(F.get(ms, i + 1)["pos"], F.size(toks))
             return F.struct(
                 m["pos"].alias("pos"),
                 m["kind"].alias("kind"),
@@ -230,73 +196,26 @@ def elements_with_text(toks: Column, tag_names: list[str]) -> Column:
 
 
 def images_in_context(toks: Column) -> Column:
-    """``array<struct<v, parent, above>>``: each img tag with its open ancestors.
-
-    One fold over the tags keeps the stack of open elements, innermost first.
-    A closing tag pops to its opener and is ignored when there is none.
-    """
-    marks = F.filter(toks, lambda t: t["kind"].isin("open", "close"))
-    state = F.struct(
-        empty("string").alias("up"), empty("struct<v:string,parent:string,above:array<string>>").alias("out")
+    """``array<struct<v, place>>``: each img tag with its innermost open element and the containers around it."""
+    marks = F.transform(
+        F.filter(toks, lambda t: t["kind"].isin("open", "close")),
+        lambda t: F.concat(F.when(t["kind"] == "open", "+").otherwise("-"), t["tag"]),
     )
-
-    def step(acc: Column, t: Column) -> Column:
-        up = acc["up"]
-        at = F.array_position(up, t["tag"])
-        image = F.struct(
-            t["v"].alias("v"),
-            F.coalesce(F.get(up, F.lit(0)), F.lit("body")).alias("parent"),
-            up.alias("above"),
-        )
-        pushed = F.when(
-            t["tag"].isin(SELF_ENDING_TAGS) & (F.get(up, F.lit(0)) == t["tag"]), up
-        ).otherwise(F.array_prepend(up, t["tag"]))
-        next_up = (
-            F.when(t["tag"].isin(VOID_TAGS), up)
-            .when(t["kind"] == "open", pushed)
-            .when(at > 0, F.slice(up, (at + 1).cast("int"), F.size(up)))
-            .otherwise(up)
-        )
-        return F.struct(
-            next_up.alias("up"),
-            F.when(
-                (t["tag"] == "img") & (t["kind"] == "open"), F.array_append(acc["out"], image)
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        )
-
-    # Pages without an image skip the walk.
-    return F.when(
-        F.exists(marks, lambda t: t["tag"] == "img"), F.aggregate(marks, state, step, lambda a: a["out"])
-    ).otherwise(empty("struct<v:string,parent:string,above:array<string>>"))
+    images = F.filter(toks, lambda t: (t["tag"] == "img") & (t["kind"] == "open"))
+    places = walk.image_places_of(marks, VOID_TAGS, SELF_ENDING_TAGS)
+    return F.zip_with(images, places, lambda t, p: F.struct(t["v"].alias("v"), p.alias("place")))
 
 
 def form_inputs(toks: Column) -> Column:
     """``array<array<string>>``: per form, the ids of its inputs (inputs without id left out)."""
-    marks = F.filter(
-        toks,
-        lambda t: (t["tag"] == "form")
-        | (t["tag"].isin("input", "textarea", "select") & (t["kind"] == "open")),
+    marks = F.transform(
+        F.filter(
+            toks,
+            lambda t: ((t["tag"] == "form") & t["kind"].isin("open", "close"))
+            | (t["tag"].isin("input", "textarea", "select") & (t["kind"] == "open")),
+        ),
+        lambda t: F.when((t["tag"] == "form") & (t["kind"] == "open"), "(")
+        .when(t["tag"] == "form", ")")
+        .otherwise(F.concat(F.lit("i"), attr_or(attributes(t["v"]), "id"))),
     )
-    state = F.struct(F.lit(False).alias("in_form"), empty("array<string>").alias("out"))
-
-    def step(acc: Column, t: Column) -> Column:
-        n = F.size(acc["out"])
-        is_form = t["tag"] == "form"
-        opens = is_form & (t["kind"] == "open") & ~acc["in_form"]
-        found = attr_or(attributes(t["v"]), "id")
-        with_input = F.concat(
-            F.slice(acc["out"], F.lit(1), F.greatest(n - 1, F.lit(0))),
-            F.array(F.array_append(F.get(acc["out"], n - 1), found)),
-        )
-        out = (
-            F.when(opens, F.array_append(acc["out"], empty("string")))
-            .when(is_form | ~acc["in_form"], acc["out"])
-            .when(found != "", with_input)
-            .otherwise(acc["out"])
-        )
-        inside = F.when(is_form, t["kind"] == "open").otherwise(acc["in_form"])
-        return F.struct(inside.alias("in_form"), out.alias("out"))
-
-    return F.aggregate(marks, state, step, lambda a: a["out"])
+    return walk.inputs_of_forms_of(marks)

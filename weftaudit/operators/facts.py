@@ -56,14 +56,12 @@ def first_meta(name: str) -> Column:
 
 
 def _last_wins(entries: Column) -> Column:
-    """Sorted ``array<struct<key, value>>``; of equal keys the last entry stays."""
+    """Sorted ``array<struct<key, value>>``; of equal keys the last entry stays: one sort, then the last of each run."""
     numbered = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value")))
     return bind(
-        numbered,
+        F.sort_array(numbered),
         lambda es: F.transform(
-            F.array_sort(
-                F.filter(es, lambda e: ~F.exists(es, lambda x: (x["key"] == e["key"]) & (x["i"] > e["i"])))
-            ),
+            F.filter(es, lambda e, i: ~F.coalesce(F.get(es, i + 1)["key"] == e["key"], F.lit(False))),
             lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")),
         ),
     )
@@ -133,7 +131,6 @@ def _images() -> Column:
             absolute = F.when(src == "", F.lit("")).otherwise(
                 bind(urls.parts(src), lambda r: urls.resolve_parts(F.col("base"), src, r))
             )
-            inside = lambda tag: F.array_contains(img["above"], tag)
             return F.struct(
                 i.alias("index"),
                 src.alias("src"),
@@ -143,11 +140,11 @@ def _images() -> Column:
                 html.attr_or(a, "title").alias("title"),
                 html.attr_or(a, "width").alias("width"),
                 html.attr_or(a, "height").alias("height"),
-                img["parent"].alias("placement_parent"),
-                inside("header").alias("in_header"),
-                inside("footer").alias("in_footer"),
-                inside("nav").alias("in_nav"),
-                inside("article").alias("in_article"),
+                img["place"]["parent"].alias("placement_parent"),
+                img["place"]["in_header"].alias("in_header"),
+                img["place"]["in_footer"].alias("in_footer"),
+                img["place"]["in_nav"].alias("in_nav"),
+                img["place"]["in_article"].alias("in_article"),
                 html.attr_or(a, "loading").alias("loading"),
                 html.class_list(a).alias("classes"),
             )
@@ -304,6 +301,7 @@ def _scan_columns() -> tuple[Column, ...]:
         F.get(html.elements_with_text(toks, ["title"]), F.lit(0))["text"].alias("title_text"),
         _headings().alias("headings"),
         _images().alias("images"),
+        F.transform(_open("img"), lambda t: html.attr_or(html.attributes(t["v"]), "alt")).alias("image_alts"),
         _anchors().alias("anchors"),
         F.transform(F.filter(toks, lambda t: t["kind"] == "open"), lambda t: t["tag"]).alias("tags"),
         F.filter(
@@ -359,8 +357,8 @@ def _described_columns() -> tuple[Column, ...]:
             F.sequence(F.lit(1), F.lit(6)),
             lambda lv: F.size(F.filter("headings", lambda h: h["level"] == lv)).cast("bigint"),
         ).alias("heading_counts"),
-        F.size("images").cast("bigint").alias("image_count"),
-        F.size(F.filter("images", lambda i: ~i["has_alt"])).cast("bigint").alias("missing_alt_count"),
+        F.size("image_alts").cast("bigint").alias("image_count"),
+        F.size(F.filter("image_alts", lambda a: a == "")).cast("bigint").alias("missing_alt_count"),
         _structure().alias("structure"),
         F.filter(
             F.array(*[F.lit(e) for e in html.SEMANTIC_ELEMENTS]),

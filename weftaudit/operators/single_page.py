@@ -90,7 +90,7 @@ def plain_links(anchors: Column, host: Column) -> Column:
 def _body_columns() -> tuple[Column, ...]:
     toks = F.col("toks")
     return (
-        html.text_outside(toks, html.element_spans(toks, ["nav", "footer", "header"])).alias("body_text"),
+        html.text_outside(toks, ["nav", "footer", "header"]).alias("body_text"),
     )
 
 

@@ -156,7 +156,8 @@ txt AS (
 ),
 named_el AS (
   SELECT o.page_id, o.pos, o.tag, o.id, o.class, coalesce(min(c.pos), 1000000000) AS z
-  FROM tag_attr o LEFT JOIN tok c ON c.page_id = o.page_id AND c.kind = 'close' AND c.tag = o.tag AND c.pos > o.pos
+  FROM tag_attr o LEFT JOIN tok c ON c.page_id = o.page_id AND c.kind IN ('open', 'close') AND c.pos > o.pos
+    AND (c.tag = o.tag OR (length(c.tag) = 2 AND length(o.tag) = 2 AND c.tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') AND o.tag LIKE 'h_'))
   WHERE o.kind = 'open' AND o.tag IN ('a', 'title', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6')
   GROUP BY o.page_id, o.pos, o.tag, o.id, o.class
 ),

@@ -515,7 +515,7 @@ ORACLE = {
               FROM audit_history WINDOW w AS (PARTITION BY site ORDER BY ts, run_id))""",
         tables=("audit_history",),
     ),
-    "win_history": "SELECT conv_id, turn, role, text, back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 3",
+    "win_history": "SELECT conv_id, turn, role, text, back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 20",
     "win_latest_conversation": sql(
         "SELECT site, conv_id, turn, role, text FROM chat_messages c WHERE conv_id = (SELECT max(conv_id) FROM chat_messages x WHERE x.site = c.site)",
         tables=("chat_messages",),

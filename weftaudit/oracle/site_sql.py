@@ -698,7 +698,7 @@ ORACLE = {
     "graph_position_counts": sql("SELECT * FROM position_count", *PAGE, GRAPH, tables=ALL),
     "graph_crawl_order": sql(
         f"""SELECT c.site, c.url, c.ord, c.depth, EXISTS (SELECT 1 FROM pages_raw p WHERE p.site = c.site AND p.html <> '' AND {crawl_key('p.url')} = c.url) AS found
-        FROM crawl c WHERE ord <= 10""",
+        FROM crawl c WHERE ord <= 50""",
         *PAGE, CRAWL, tables=ALL,
     ),
 }

@@ -245,7 +245,7 @@ ORACLE = {
     "txt_duplicate_counts": f"""SELECT source, sha256(opening) AS opening, count(*) AS n
         FROM (SELECT source, left({collapse('text')}, 200) AS opening FROM documents) WHERE opening <> '' GROUP BY ALL""",
     "txt_page_text": sql(
-        f"""SELECT page_id, CASE WHEN page_id % 2 = 1 AND {collapse('text_content')} <> '' THEN {collapse('text_content')} ELSE synth END AS page_text FROM made""",
+        f"""SELECT page_id, CASE WHEN {collapse('text_content')} <> '' THEN {collapse('text_content')} ELSE synth END AS page_text, synth AS made_text FROM made""",
         *PAGE, PAGE_TEXT,
     ),
     "txt_sentences": sql(
@@ -267,7 +267,7 @@ ORACLE = {
         GROUP BY doc_id""",
     "txt_alt_checks": sql(
         f"""SELECT page_id, index, regexp_matches(trim(alt || CASE WHEN page_id % 2 = 0 THEN '.jpg' ELSE '' END), {q(text.FILENAME_ALT_RE)}) AS filename_alt,
-        alt <> '' AND length(trim(left(alt, 4))) < 5 AS short_alt
+        alt <> '' AND length(trim(alt)) < 5 AS short_alt
         FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS index, coalesce(alt, '') AS alt FROM tag_attr
               WHERE tag = 'img' AND kind = 'open')""",
         TOKENS,

@@ -31,15 +31,18 @@ SELECT page_id,
 FROM b
 """
 
-# Stored snapshots with fetch facts; every 17th fetch failed.
+# Stored snapshots with fetch facts: every given page whole, and besides them one failed fetch for every 17th page.
 PAGES_RAW = """
-SELECT page_id, concat('site', CAST(page_id % 5 AS STRING), '.example.org') AS site, url,
-  CASE WHEN page_id % 17 = 16 THEN '' ELSE html END AS html,
-  CAST(CASE WHEN page_id % 17 = 16 THEN 0 ELSE 200 END AS BIGINT) AS status_code,
-  CAST(page_id % 4 AS BIGINT) AS depth,
+SELECT page_id, concat('site', CAST(page_id % 5 AS STRING), '.example.org') AS site, url, html,
+  CAST(200 AS BIGINT) AS status_code, CAST(page_id % 4 AS BIGINT) AS depth,
   CASE WHEN page_id % 9 = 0 THEN NULL ELSE CAST(page_id % 40 AS DOUBLE) / 8 END AS load_time,
-  CASE WHEN page_id % 17 = 16 THEN 'Failed to fetch' END AS error
+  CAST(NULL AS STRING) AS error
 FROM pages_enriched
+UNION ALL
+SELECT page_id + CAST(1000000000000 AS BIGINT), concat('site', CAST(page_id % 5 AS STRING), '.example.org'),
+  concat('https://site', CAST(page_id % 5 AS STRING), '.example.org/gone/', CAST(page_id AS STRING)), '',
+  CAST(0 AS BIGINT), CAST(page_id % 4 AS BIGINT), CASE WHEN page_id % 9 = 0 THEN NULL ELSE CAST(page_id % 40 AS DOUBLE) / 8 END, 'Failed to fetch'
+FROM pages WHERE page_id % 17 = 16
 """
 
 LINK_STATUS = """
@@ -100,7 +103,7 @@ SELECT event_id AS job_id, user_id AS owner, ts AS created_at,
 FROM events
 """
 
-# Messages with English words added to every stored turn, as the stored text is invented.
+# Messages with English words added to every stored turn, as the stored text is invented, and blank messages between them.
 CHAT_MESSAGES = """
 SELECT conv_id, turn, role,
   CASE WHEN role = 'user' THEN concat(
@@ -116,9 +119,12 @@ SELECT conv_id, turn, role,
       WHEN 8 THEN 'Accessibility of headings'
       WHEN 9 THEN 'Tell me about content in our CMS'
       WHEN 10 THEN 'Good morning'
-      ELSE '   ' END, ' ', CASE WHEN (conv_id + turn) % 12 = 11 THEN '' ELSE text END) ELSE text END AS text,
+      ELSE 'Anything else' END, ' ', text) ELSE text END AS text,
   concat('site', CAST(conv_id % 5 AS STRING), '.example.org') AS site
 FROM conversations
+UNION ALL
+SELECT conv_id, turn + CAST(1000000 AS BIGINT), role, '   ', concat('site', CAST(conv_id % 5 AS STRING), '.example.org')
+FROM conversations WHERE (conv_id + turn) % 12 = 11
 """
 
 # Address variants of every stored page.

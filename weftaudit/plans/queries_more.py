@@ -291,7 +291,7 @@ def win_audit_changes(spark, sf):
 
 
 def win_history(spark, sf):
-    return ops.last_messages(table(spark, sf, "conversations"), 3).select("conv_id", "turn", "role", "text", "back")
+    return ops.last_messages(table(spark, sf, "conversations"), 20).select("conv_id", "turn", "role", "text", "back")
 
 
 def win_latest_conversation(spark, sf):

@@ -158,10 +158,9 @@ def txt_duplicate_counts(spark, sf):
 
 
 def txt_page_text(spark, sf):
-    """Stored text, or text put together from title, headings, alts and anchors."""
+    """Stored text of each page, and the text put together from title, headings, alts and anchors where there is none."""
     f = facts(spark, sf)
-    blank = F.when(F.col("page_id") % 2 == 0, F.lit("")).otherwise(F.col("text_content"))
-    return f.select("page_id", page_text(blank).alias("page_text"))
+    return f.select("page_id", page_text(F.col("text_content")).alias("page_text"), page_text(F.lit("")).alias("made_text"))
 
 
 def txt_sentences(spark, sf):
@@ -213,7 +212,7 @@ def txt_alt_checks(spark, sf):
         .select(
             "page_id", F.col("i.index").cast("bigint").alias("index"),
             text.is_filename_alt(F.concat("i.alt", F.when(F.col("page_id") % 2 == 0, ".jpg").otherwise(""))).alias("filename_alt"),
-            text.is_short_alt(F.substring("i.alt", 1, 4)).alias("short_alt"),
+            text.is_short_alt(F.col("i.alt")).alias("short_alt"),
         )
     )
 
