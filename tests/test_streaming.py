@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from weftaudit.operators import ops
 from weftaudit.operators.facts import page_facts
 from weftaudit.sources import pages as src
 from weftaudit.sources.tables import derived, table
@@ -33,19 +34,43 @@ def test_event_windows_stream(spark, sf, tmp_path):
     assert got.agg(F.sum("entries")).first()[0] == table(spark, sf, "events").count()
 
 
-def test_progress_and_alerts(spark, tmp_path):
+def in_batches(spark, path, schema, batches, start):
+    """Run a streaming job over one file per batch and return all rows it gave out."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/{i:03d}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False)
+    return start(source.parquet(path))
+
+
+def test_job_progress_keeps_finished_jobs(spark, tmp_path):
     at = lambda h: dt.datetime(2024, 1, 1, h)
-    log = [(1, "running", 10.0, at(1)), (1, "running", 60.0, at(2)), (2, "completed", 100.0, at(1)), (2, "running", 5.0, at(0))]
-    spark.createDataFrame(log, "job_id long, status string, progress double, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "log"))
-    stream = spark.readStream.schema("job_id long, status string, progress double, ts timestamp").parquet(str(tmp_path / "log"))
-    got = {r["job_id"]: (r["status"], r["progress"], r["terminal"]) for r in drain(jobs.job_progress(stream), "update", "prog", spark).collect()}
-    assert got == {1: ("running", 60.0, False), 2: ("completed", 100.0, True)}
+    schema = "job_id long, status string, progress double, ts timestamp"
+    batches = [
+        [(1, "running", 10.0, at(1)), (1, "running", 60.0, at(2)), (2, "completed", 100.0, at(3)), (2, "running", 5.0, at(0))],
+        [(2, "running", 60.0, at(2))],
+        [(1, "failed", 60.0, at(4)), (2, "running", 70.0, at(3))],
+    ]
+    rows = in_batches(spark, str(tmp_path / "log"), schema, batches, lambda s: drain(jobs.job_progress(s), "update", "prog", spark)).collect()
+    got = [(r["job_id"], r["status"], r["terminal"]) for r in rows]
+    assert [g for g in got if g[0] == 2] == [(2, "completed", True)]
+    assert [g for g in got if g[0] == 1] == [(1, "running", False), (1, "failed", True)]
+
 
-    audits = [(7, at(1), 80, 0), (7, at(2), 75, 2), (7, at(3), 90, 1), (8, at(1), 50, 5)]
-    schema = "site long, ts timestamp, seo_score long, broken_links long"
-    spark.createDataFrame(audits, schema).coalesce(1).write.parquet(str(tmp_path / "au"))
-    alerts = drain(jobs.audit_alerts(spark.readStream.schema(schema).parquet(str(tmp_path / "au"))), "append", "alerts", spark)
-    assert sorted((r["alert"], r["amount"]) for r in alerts.collect()) == [("new_broken_links", 2), ("score_drop", 5)]
+def test_alerts_of_audits_out_of_order(spark, tmp_path):
+    at = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    schema = "site string, ts timestamp, seo_score long, broken_links long"
+    batches = [
+        [("e.org", at(1, 1), 80, 0), ("e.org", at(1, 3), 90, 1), ("f.org", at(1), 50, 5)],
+        [("e.org", at(1, 2), 75, 2), ("f.org", at(1, 1), 50, 5)],
+        [("e.org", at(5), 60, 1)],
+        [("f.org", at(20), 49, 7)],
+        [("z.org", at(30), 1, 1)],
+    ]
+    stream = in_batches(spark, str(tmp_path / "au"), schema, batches, lambda s: drain(jobs.audit_alerts(s), "append", "alerts", spark))
+    got = sorted(map(tuple, stream.collect()))
+    every = spark.createDataFrame([r for b in batches for r in b], schema)
+    want = sorted(map(tuple, ops.audit_alerts(every).collect()))
+    assert got == want and ("e.org", at(1, 2), "score_drop", 5) in got and len(got) == 5
 
 
 def test_sources_and_sinks(spark, sf, tmp_path):
@@ -60,6 +85,11 @@ def test_sources_and_sinks(spark, sf, tmp_path):
     (folder / "a.html").write_text("<title>Hi</title>")
     got = page_facts(src.read_html_files(spark, str(folder), "https://e.org/")).select("url", "title").first()
     assert tuple(got) == ("https://e.org/a.html", "Hi")
+    for sub in ("x", "y/z"):
+        (folder / sub).mkdir(parents=True)
+        (folder / sub / "index.html").write_text("<title>In</title>")
+    found = {r["url"] for r in src.read_html_files(spark, str(folder), "https://e.org/").collect()}
+    assert found == {"https://e.org/a.html", "https://e.org/x/index.html", "https://e.org/y/z/index.html"}
     report = '{"metadata":{"domain":"e.org","pages_crawled":2},"summary":{"total_images":3},"insights":{"critical":["c"]},"pages":[{"url":"u1"},{"url":"u2"}]}'
     (tmp_path / "r.json").write_text(report)
     rows = src.load_report(spark, str(tmp_path / "r.json")).select("page.url", "summary.total_images").collect()

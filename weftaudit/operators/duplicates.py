@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftaudit.operators.joins import salted_join
 
 
 def opening_counts(rows: DataFrame, group: str, mark: str) -> DataFrame:
@@ -18,7 +17,7 @@ def with_duplicate_flag(rows: DataFrame, group: str, mark: str, row_id: Column)
     repeated = opening_counts(rows, group, mark).where("n > 1").select(
         group, mark, F.lit(True).alias("duplicated")
     )
-    out = salted_join(rows, repeated, [group, mark], "left", row_id)
+    out = rows.join(repeated, [group, mark], "left")
     # Empty openings are left out here: a filter before the grouping would be pushed
     # down and have the fingerprint computed twice.
     return out.withColumn("duplicated", F.coalesce("duplicated", F.lit(False)) & (F.col(mark) != ""))

@@ -1,4 +1,4 @@
-"""Click depth and crawl order: level-by-level joins with reliable checkpoints."""
+"""Click depth and crawl order: level-by-level joins whose levels are stored tables."""
 
 from __future__ import annotations
 
@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from weftaudit.functions import urls
 from weftaudit.operators import robots
-from weftaudit.operators.joins import lookup_join
 from weftaudit.operators.rows import unrolled
-from weftaudit.sources.shared import checkpointed
+from weftaudit.sources.shared import bucketed, materialised
 
 
 def homepages(facts: DataFrame, site_meta: DataFrame) -> DataFrame:
@@ -20,19 +19,25 @@ def homepages(facts: DataFrame, site_meta: DataFrame) -> DataFrame:
     return both.select("site", urls.graph_key(picked).alias("home"))
 
 
-def click_depths(nodes: DataFrame, edges: DataFrame, homes: DataFrame, rounds: int | None = None) -> DataFrame:
+#: Levels searched unless told otherwise; pages further away count as not reached.
+MAX_DEPTH = 1000
+#: Stored levels that are joined into one table of reached pages.
+COMPACT = 8
+
+
+def click_depths(nodes: DataFrame, edges: DataFrame, homes: DataFrame, rounds: int = MAX_DEPTH) -> DataFrame:
     """Depth of every page by breadth-first search from the home page of its site.
 
-    All sites advance together, one join per level. ``rounds`` stops early when
-    only small depths matter; pages not reached get a null depth. ``nodes`` and
-    ``edges`` should be stored tables, as each level reads the edges again.
+    All sites advance together, one join per level. The edges are stored once, dealt and
+    sorted by their source, so a level moves only its own rows. The reached pages are
+    compacted every few levels, which keeps the time per level flat. Pages further away than
+    ``rounds`` levels, or not linked at all, get a null depth. ``nodes`` should be a stored table.
     """
     start = homes.select("site", F.col("home").alias("node")).join(nodes, ["site", "node"], "left_semi")
-    level = checkpointed(start.distinct().withColumn("depth", F.lit(0).cast("bigint")))
+    level = materialised(start.distinct().withColumn("depth", F.lit(0).cast("bigint")))
     reached = level
-    depth = 0
-    while rounds is None or depth < rounds:
-        depth += 1
+    edges = bucketed(edges, ["site", "src"])
+    for depth in range(1, rounds + 1):
         nexts = (
             level.select("site", F.col("node").alias("src"))
             .join(edges, ["site", "src"])
@@ -41,10 +46,12 @@ def click_depths(nodes: DataFrame, edges: DataFrame, homes: DataFrame, rounds: i
             .join(reached, ["site", "node"], "left_anti")
             .withColumn("depth", F.lit(depth).cast("bigint"))
         )
-        level = checkpointed(nexts)
+        level = materialised(nexts)
         if level.isEmpty():
             break
         reached = reached.unionByName(level)
+        if depth % COMPACT == 0:
+            reached = materialised(reached.coalesce(max(1, int(reached.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     return nodes.join(reached, ["site", "node"], "left")
 
 
@@ -112,13 +119,13 @@ def crawl_order(
         found = candidates.groupBy("site", "url").agg(F.min(F.struct("parent", "pos")).alias("place"))
         if visited is not None:
             found = found.join(visited, ["site", "url"], "left_anti")
-        found = lookup_join(found, rules, ["site"]).where(robots.allowed(F.col("url"), F.col("rules")))
+        found = found.join(rules, ["site"], "left").where(robots.allowed(F.col("url"), F.col("rules")))
         place = Window.partitionBy("site").orderBy("place")
         ranked = found.withColumn("ord", F.row_number().over(place).cast("bigint"))
         if visited is not None:
             done = visited.groupBy("site").agg(F.count("*").alias("done"))
             ranked = ranked.join(done, "site", "left").withColumn("ord", F.col("ord") + F.coalesce("done", F.lit(0)))
-        level = checkpointed(
+        level = materialised(
             ranked.where(F.col("ord") <= max_pages).select(
                 "site", "url", "ord", F.lit(depth).cast("bigint").alias("depth")
             )

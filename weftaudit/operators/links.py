@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from weftaudit.functions import urls
 from weftaudit.functions.common import strip
-from weftaudit.operators.joins import salted_join
 from weftaudit.operators.rows import unrolled
 
 # Anchor texts that count as weak, and rel values that protect a link.
@@ -39,7 +38,7 @@ def broken_links(
     """Links with status 400 and above, or 0 for an unreachable target.
 
     ``once`` checks each address of a page one time only. A target linked from
-    everywhere is a hot key, so the join is salted by page.
+    everywhere is a hot key; the join is plain, so adaptive execution splits its rows.
     """
     table = link_table(facts, sample).select(
         "site", "page_id", "url", "rank", "text", request_url(F.col("absolute_url")).alias("target")
@@ -49,7 +48,7 @@ def broken_links(
             F.min("rank").alias("rank"), F.min_by("text", "rank").alias("text")
         )
     status = link_status.groupBy(F.col("url").alias("target")).agg(F.max("status_code").alias("status_code"))
-    hit = salted_join(table, status, ["target"], "inner", F.struct("page_id", "rank"))
+    hit = table.join(status, "target")
     return hit.where((F.col("status_code") >= 400) | (F.col("status_code") == 0))
 
 
@@ -68,8 +67,8 @@ def nodes(facts: DataFrame) -> DataFrame:
 def edges(facts: DataFrame) -> DataFrame:
     """Distinct links between stored pages of a site, without self loops.
 
-    Targets are made distinct inside each page first; the semi-join is salted
-    by source because a homepage may be the target of most links.
+    Targets are made distinct inside each page first. A homepage may be the target of most
+    links; the semi-join is plain, so adaptive execution splits its rows.
     """
     targets = F.array_distinct(
         F.transform(F.filter("links", lambda x: x["internal"]), lambda x: urls.graph_key(x["absolute_url"]))
@@ -79,7 +78,7 @@ def edges(facts: DataFrame) -> DataFrame:
         .transform(unrolled, ["site", urls.graph_key(F.col("url")).alias("src")], targets, "node")
         .where((F.col("src") != F.col("node")) & (F.col("src") != ""))
     )
-    inside = salted_join(pairs, nodes(facts), ["site", "node"], "left_semi", F.col("src"))
+    inside = pairs.join(nodes(facts), ["site", "node"], "left_semi")
     return inside.select("site", "src", F.col("node").alias("dst")).distinct()
 
 

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a group that are numbered in one go, about.
 BUCKET = 65536
 
 
 def numbered(rows: DataFrame, group: str, order: str, name: str, bucket: int = BUCKET) -> DataFrame:
     """Add ``name``: the 1-based place of the row in its group by the whole-number key ``order``.
 
-    A plain window would sort a hot group in one task. Here each range of
-    ``bucket`` key values is numbered alone and shifted by the sizes of the
-    ranges before it; the key must be unique inside the group.
+    A plain window would sort a hot group in one task. Here the keys of a group, from the
+    smallest to the largest, are cut into ranges of about ``bucket`` rows each; a range is
+    numbered alone and shifted by the sizes of the ranges before it. That holds for dense
+    and for hashed keys alike; the key must be unique inside the group.
     """
-    cut = rows.withColumn("_bucket", F.floor(F.col(order) / F.lit(bucket)))
+    spans = rows.groupBy(group).agg(
+        F.min(order).cast("double").alias("_low"), F.max(order).cast("double").alias("_high"), F.count("*").alias("_rows")
+    )
+    share = (F.col(order).cast("double") - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1.0))
+    ranged = rows.join(spans, group).withColumn("_bucket", F.floor(share * F.ceil(F.col("_rows") / F.lit(bucket))))
+    cut = ranged.drop("_low", "_high", "_rows")
     sizes = cut.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(group, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))

@@ -104,6 +104,24 @@ def audit_changes(history: DataFrame) -> DataFrame:
     )
 
 
+def audit_alerts(audits: DataFrame) -> DataFrame:
+    """A row (site, ts, alert, amount) for each score drop and each rise of broken links against the audit before.
+
+    Audits of one time are ordered by their figures.
+    """
+    changes = audit_changes(audits.withColumn("run_id", F.struct("seo_score", "broken_links")))
+    alert = lambda name, amount: F.when(amount > 0, F.struct(F.lit(name).alias("alert"), amount.alias("amount")))
+    both = F.array_compact(F.array(alert("score_drop", -F.col("score_change")), alert("new_broken_links", F.col("broken_change"))))
+    return changes.select("site", "ts", F.explode(both).alias("a")).select("site", "ts", "a.alert", "a.amount")
+
+
+def latest_progress(log: DataFrame, terminal: list[str]) -> DataFrame:
+    """Newest state per job; once a job has finished, only another final state can follow."""
+    done = F.col("status").isin(terminal)
+    best = F.max(F.struct(done.alias("terminal"), "ts", "status", "progress")).alias("b")
+    return log.groupBy("job_id").agg(best).select("job_id", "b.status", "b.progress", "b.terminal")
+
+
 def trend(change: Column) -> Column:
     return (
         F.when(change < 0, say("SEO Score decreased by ", -change, " points"))

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from weftaudit.functions import advice, text, urls
 from weftaudit.functions.common import bind, collapse, say
-from weftaudit.operators.joins import lookup_join, salted_join
 from weftaudit.operators.rows import unrolled
 from weftaudit.operators.topics import topics
 
@@ -244,7 +243,7 @@ def _rule_columns() -> tuple[Column, ...]:
 def page_rules(facts: DataFrame, site_meta: DataFrame, page_scores: DataFrame | None = None) -> DataFrame:
     """Rules that read one page (with its site's names and, if given, its score)."""
     meta = site_meta.select("site", "site_name", "location", "call_to_action")
-    rows = lookup_join(facts, meta, ["site"], row_id=F.col("page_id"))
+    rows = facts.join(meta, ["site"], "left")
     if page_scores is None:
         rows = rows.withColumn("overall", F.lit(None).cast("double"))
     else:
@@ -278,7 +277,7 @@ def anchor_rules(facts: DataFrame) -> DataFrame:
         F.coalesce(F.nullif("title", F.lit("")), F.nullif("t.first_h1", F.lit("")), "t.topic").alias("name"),
     )
     titles = names.groupBy("site", "key").agg(F.max_by("name", "page_id").alias("target_title"))
-    hit = salted_join(weak, titles, ["site", "key"], "left", F.struct("page_id", "pos"))
+    hit = weak.join(titles, ["site", "key"], "left")
     better = F.coalesce(F.nullif("target_title", F.lit("")), text.title_case(urls.slug_topic(F.col("key"))))
     prefix = F.when(F.col("shown") == "", F.lit("Empty anchor text")).otherwise(
         say('Current anchor text is "', F.col("shown"), '"')
@@ -354,7 +353,8 @@ def rewritten(rows: DataFrame, rewrite: Callable[[Column], Column]) -> DataFrame
     """Let a user's vectorised function rewrite titles and descriptions.
 
     ``rewrite`` maps a prompt Column to a reply Column (a pandas UDF). A reply
-    is cleaned and fitted; a null, blank or too short one leaves the draft.
+    is cleaned and fitted; a null, blank or too short one leaves the draft. Other
+    rows ask nothing: their prompt is null.
     """
     is_title, is_meta = F.col("rule").startswith("title_"), F.col("rule").startswith("meta_")
     prompt = F.when(
@@ -363,11 +363,10 @@ def rewritten(rows: DataFrame, rewrite: Callable[[Column], Column]) -> DataFrame
     ).otherwise(
         say("Rewrite this meta description so it is compelling, accurate, and 150-160 characters long. Return only the meta description text. Draft: ", F.col("draft"))
     )
-    asked = rows.where(is_title | is_meta).withColumn("reply", collapse(rewrite(prompt)))
+    asked = rows.withColumn("reply", collapse(rewrite(F.when(is_title | is_meta, prompt))))
     fitted = F.when(is_meta, fit_description(F.col("reply"))).otherwise(text.limit_length(F.col("reply"), 60))
-    usable = (F.col("reply") != "") & (~is_meta | (F.length(fitted) >= 150))
-    changed = asked.withColumn("draft", F.when(usable, fitted).otherwise(F.col("draft"))).drop("reply")
-    return changed.unionByName(rows.where(~(is_title | is_meta)))
+    usable = (is_title | is_meta) & (F.col("reply") != "") & (~is_meta | (F.length(fitted) >= 150))
+    return asked.withColumn("draft", F.when(usable, fitted).otherwise(F.col("draft"))).drop("reply")
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
@@ -410,18 +409,21 @@ def severity_rank(severity: Column) -> Column:
     return rank
 
 
+#: What makes two recommendations the same.
+MERGE_KEYS = ["rec_id", "site", "rule", "severity", "exact_fix"]
+
+
 def merged(rows: DataFrame) -> DataFrame:
     """One row per distinct recommendation of a site; counts and first state only.
 
     Grouping first by page keeps the page count exact without a distinct
     aggregate, and both steps combine before the shuffle.
     """
-    keys = ["rec_id", "site", "rule", "severity", "exact_fix"]
     place = F.struct("page_id", "ord")
-    per_page = rows.groupBy(*keys, "page_url").agg(
+    per_page = rows.groupBy(*MERGE_KEYS, "page_url").agg(
         F.min_by("current_state", place).alias("state"), F.min(place).alias("place"), F.count("*").alias("rows")
     )
-    return per_page.groupBy(*keys).agg(
+    return per_page.groupBy(*MERGE_KEYS).agg(
         F.count("*").alias("n_pages"),
         F.sum("rows").alias("n_rows"),
         F.min("page_url").alias("first_url"),
@@ -431,12 +433,12 @@ def merged(rows: DataFrame) -> DataFrame:
 
 def merged_urls(rows: DataFrame) -> DataFrame:
     """The distinct pages of each merged recommendation."""
-    return rows.where(F.col("page_url") != "").select("rec_id", "page_url").distinct()
+    return rows.where(F.col("page_url") != "").select(*MERGE_KEYS, "page_url").distinct()
 
 
 def merged_states(rows: DataFrame) -> DataFrame:
     """The distinct states of each merged recommendation, with their first place."""
-    return rows.groupBy("rec_id", "current_state").agg(F.min(F.struct("page_id", "ord")).alias("place"))
+    return rows.groupBy(*MERGE_KEYS, "current_state").agg(F.min(F.struct("page_id", "ord")).alias("place"))
 
 
 def ordered(groups: DataFrame, rules: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ from weftaudit.operators import graph, links
 from weftaudit.operators.authority import authority_scores
 from weftaudit.operators.duplicates import with_duplicate_flag
 from weftaudit.operators.facts import level_gap, pair_value
-from weftaudit.operators.joins import lookup_join
 from weftaudit.operators.rows import unrolled
 from weftaudit.operators.topics import page_text, primary_keyword
 from weftaudit.sources.shared import materialised
@@ -279,7 +278,7 @@ def scoring_input(facts: DataFrame, site_meta: DataFrame, whole_site: bool = Tru
     meta = site_meta.select(
         "site", "primary_keyword", "https", "has_robots", "has_sitemap", F.col("load_time").alias("meta_load_time")
     )
-    rows = lookup_join(facts, meta, ["site"], row_id=F.col("page_id"))
+    rows = facts.join(meta, ["site"], "left")
     measured = rows.select("*", _page_text_column()).select("*", *_text_columns()).drop("page_text", "text_content")
     if whole_site:
         return with_duplicate_flag(measured, "site", "opening", F.col("page_id"))
@@ -302,9 +301,7 @@ def page_pillars(scored_input: DataFrame) -> DataFrame:
 
 def page_scores(pillars: DataFrame, authority: DataFrame) -> DataFrame:
     """Add the authority of the site and the weighted overall score."""
-    rows = lookup_join(
-        pillars, authority.select(F.col("domain").alias("site"), "authority"), ["site"], row_id=F.col("page_id")
-    )
+    rows = pillars.join(authority.select(F.col("domain").alias("site"), "authority"), ["site"], "left")
     overall = weighted({name: F.col(name)["score"] for name in PILLAR_WEIGHTS})
     return rows.withColumn("overall", overall).select(
         "*", grade(F.col("overall")).alias("grade"), label(F.col("overall")).alias("label")

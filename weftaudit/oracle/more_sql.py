@@ -515,6 +515,18 @@ ORACLE = {
               FROM audit_history WINDOW w AS (PARTITION BY site ORDER BY ts, run_id))""",
         tables=("audit_history",),
     ),
+    "str_job_progress": sql(
+        """SELECT job_id, status, progress, status IN ('completed', 'failed') AS terminal FROM (
+          SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY status IN ('completed', 'failed') DESC, ts DESC, status DESC, progress DESC) AS r FROM job_log) WHERE r = 1""",
+        tables=("job_log",),
+    ),
+    "str_audit_alerts": sql(
+        """SELECT site, ts, 'score_drop' AS alert, before_score - seo_score AS amount FROM ordered WHERE seo_score < before_score
+        UNION ALL SELECT site, ts, 'new_broken_links', broken_links - before_broken FROM ordered WHERE broken_links > before_broken""",
+        """ordered AS (SELECT *, lag(seo_score) OVER w AS before_score, lag(broken_links) OVER w AS before_broken
+          FROM audit_history WINDOW w AS (PARTITION BY site ORDER BY ts, seo_score, broken_links))""",
+        tables=("audit_history",),
+    ),
     "win_history": "SELECT conv_id, turn, role, text, back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 20",
     "win_latest_conversation": sql(
         "SELECT site, conv_id, turn, role, text FROM chat_messages c WHERE conv_id = (SELECT max(conv_id) FROM chat_messages x WHERE x.site = c.site)",

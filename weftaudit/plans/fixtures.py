@@ -103,6 +103,13 @@ SELECT event_id AS job_id, user_id AS owner, ts AS created_at,
 FROM events
 """
 
+# Progress rows of jobs: several per job, some of them late or after the end.
+JOB_LOG = """
+SELECT user_id AS job_id, CASE WHEN event_id % 11 = 0 THEN 'completed' WHEN event_id % 29 = 0 THEN 'failed' WHEN event_id % 3 = 0 THEN 'pending' ELSE 'running' END AS status,
+  CAST(event_id % 100 AS DOUBLE) AS progress, ts
+FROM events
+"""
+
 # Messages with English words added to every stored turn, as the stored text is invented, and blank messages between them.
 CHAT_MESSAGES = """
 SELECT conv_id, turn, role,
@@ -151,6 +158,7 @@ DERIVED = {
     "robots_rules": ROBOTS_RULES,
     "audit_history": AUDIT_HISTORY,
     "jobs": JOBS,
+    "job_log": JOB_LOG,
     "chat_messages": CHAT_MESSAGES,
 }
 NEEDS = {"pages_raw": ["pages_enriched"], "link_status": ["pages_enriched"]}

@@ -96,16 +96,11 @@ def rec_merged(spark, sf):
 
 
 def rec_merged_urls(spark, sf):
-    rows = materialised(_all_rows(spark, sf))
-    urls_ = recommend.merged_urls(rows)
-    keys = rows.select("rec_id", "site", "rule", "severity", "exact_fix").distinct()
-    return urls_.join(keys, "rec_id").drop("rec_id")
+    return recommend.merged_urls(_all_rows(spark, sf)).drop("rec_id")
 
 
 def rec_merged_states(spark, sf):
-    rows = materialised(_all_rows(spark, sf))
-    keys = rows.select("rec_id", "site", "rule", "severity", "exact_fix").distinct()
-    return recommend.merged_states(rows).join(keys, "rec_id").select(
+    return recommend.merged_states(_all_rows(spark, sf)).select(
         "site", "rule", "severity", "exact_fix", "current_state", F.col("place.page_id").alias("first_page")
     )
 
@@ -201,10 +196,8 @@ def _site_figures(spark, sf):
 
 
 def _questions(spark, sf):
-    from weftaudit.operators.joins import lookup_join
-
     asked = qa.normalised(derived(spark, sf, "chat_messages")).where(F.col("role") == "user")
-    return lookup_join(asked, _site_figures(spark, sf), ["site"], row_id=F.struct("conv_id", "turn"))
+    return asked.join(_site_figures(spark, sf), ["site"], "left")
 
 
 def qa_topics(spark, sf):
@@ -286,6 +279,18 @@ def sort_owner_jobs(spark, sf):
     return ops.list_jobs(derived(spark, sf, "jobs"), owner=7, limit=10, offset=2).select("job_id", "owner", "created_at")
 
 
+def str_job_progress(spark, sf):
+    """What the progress stream holds once all rows have come."""
+    from weftaudit.streaming.jobs import TERMINAL
+
+    return ops.latest_progress(derived(spark, sf, "job_log"), TERMINAL)
+
+
+def str_audit_alerts(spark, sf):
+    """What the alert stream has given out once all audits have come."""
+    return ops.audit_alerts(derived(spark, sf, "audit_history"))
+
+
 def win_audit_changes(spark, sf):
     return ops.audit_changes(derived(spark, sf, "audit_history"))
 

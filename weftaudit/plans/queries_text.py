@@ -9,7 +9,6 @@ from weftaudit.functions.common import collapse
 from weftaudit.operators import robots
 from weftaudit.operators import single_page as sp
 from weftaudit.operators.duplicates import opening_counts, with_duplicate_flag
-from weftaudit.operators.joins import lookup_join
 from weftaudit.operators.topics import page_text, primary_keyword, topics
 from weftaudit.operators.recommend import stuffing_rows
 from weftaudit.operators.rows import unrolled
@@ -58,7 +57,7 @@ def url_classes(spark, sf):
 def url_robots(spark, sf):
     rules = robots.rules_by_site(derived(spark, sf, "robots_rules"), "auditor")
     pages = derived(spark, sf, "pages_raw").select("page_id", "site", "url")
-    return lookup_join(pages, rules, ["site"], row_id=F.col("page_id")).select(
+    return pages.join(rules, ["site"], "left").select(
         "page_id", "url", robots.allowed(F.col("url"), F.col("rules")).alias("allowed")
     )
 
@@ -107,7 +106,7 @@ def txt_body_keywords(spark, sf):
 
 def txt_primary_keyword(spark, sf):
     meta = derived(spark, sf, "site_meta").select("site", "primary_keyword")
-    rows = lookup_join(facts(spark, sf), meta, ["site"], row_id=F.col("page_id"))
+    rows = facts(spark, sf).join(meta, ["site"], "left")
     return rows.select("page_id", primary_keyword(F.col("primary_keyword")).alias("keyword"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,9 +54,13 @@ def read_snapshots(spark: SparkSession, path: str, file_format: str = "parquet")
 
 
 def read_html_files(spark: SparkSession, path: str, base_url: str) -> DataFrame:
-    """A folder of HTML files, one page per file; the file name becomes the address."""
-    files = spark.read.option("wholetext", True).text(path).select(
-        F.col("value").alias("html"), F.concat(F.lit(base_url), F.element_at(F.split(F.input_file_name(), "/"), -1)).alias("url")
+    """A folder of HTML files at any depth, one page per file; the path below the folder becomes the address."""
+    root = re.sub(r"^[a-z][a-z0-9+.-]*:/+(?=/|$)", "", path.rstrip("/")) or path
+    root = "/" + root.lstrip("/") + "/"
+    name = F.input_file_name()
+    below = F.when(name.contains(root), F.substring_index(name, root, -1)).otherwise(F.element_at(F.split(name, "/"), -1))
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(
+        F.col("value").alias("html"), F.concat(F.lit(base_url), below).alias("url")
     )
     return page_snapshots(files)
 

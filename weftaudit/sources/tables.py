@@ -11,13 +11,18 @@ from weftaudit.plans.fixtures import with_clause
 GIVEN = r"\bFROM (pages|events|conversations|documents)\b"
 
 
+#: Tables of at most so many file splits are dealt out by a shuffle.
+FEW_SPLITS = 4
+
+
 def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Hash rows over all cores when the files give fewer splits than there are cores.
+    """Deal a table of few file splits over the cores.
 
-    Large inputs have more splits than cores and pass through without a shuffle.
+    The shuffle moves a few splits (at most ``FEW_SPLITS`` times ``spark.sql.files.maxPartitionBytes``),
+    however large the cluster is; all larger tables are read as their files are split.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
+    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() <= min(FEW_SPLITS, cores - 1) else frame
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,32 +33,31 @@ def audit_stream(snapshots: DataFrame) -> DataFrame:
 def job_progress(log: DataFrame, delay: str = "1 day", keep_ms: int = 86_400_000) -> DataFrame:
     """Newest state per job in update mode; ``log`` has job_id, status, progress and ts.
 
-    The state of a job is dropped at a terminal status, or when nothing came
-    for ``keep_ms`` of event time.
+    A finished job stays finished: its state is kept until no row of before its end can come
+    any more (the watermark passes it by ``keep_ms``), so late rows do not reopen it. Jobs
+    that just fall silent are dropped after the same time. A row is given out when the state
+    of its job changes.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        best = state.get if state.exists else None
+        before = state.get if state.exists else None
+        best = before
         for rows in batches:
-            top = rows.sort_values("ts").iloc[-1]
-            at = int(top["ts"].value // 1000)
-            if best is None or at >= best[0]:
-                best = (at, str(top["status"]), float(top["progress"]))
-        if best is None:
-            return
-        terminal = best[1] in TERMINAL
-        if terminal:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(best)
-            state.setTimeoutTimestamp(max(best[0] // 1000, state.getCurrentWatermarkMs()) + keep_ms)
-        yield pd.DataFrame(
-            {"job_id": [key[0]], "status": [best[1]], "progress": [best[2]], "terminal": [terminal]}
-        )
+            done = rows["status"].isin(TERMINAL)
+            top = rows.assign(done=done).sort_values(["done", "ts"], kind="stable").iloc[-1]
+            seen = (int(top["ts"].value // 1000), str(top["status"]), float(top["progress"]))
+            rank = lambda s: (s[1] in TERMINAL, s[0])
+            if best is None or rank(seen) >= rank(best):
+                best = seen
+        state.update(best)
+        state.setTimeoutTimestamp(max(best[0] // 1000, state.getCurrentWatermarkMs()) + keep_ms)
+        if best != before:
+            yield pd.DataFrame(
+                {"job_id": [key[0]], "status": [best[1]], "progress": [best[2]], "terminal": [best[1] in TERMINAL]}
+            )
 
     return (
         log.withWatermark("ts", delay)
@@ -73,41 +72,52 @@ def job_progress(log: DataFrame, delay: str = "1 day", keep_ms: int = 86_400_000
     )
 
 
-def audit_alerts(audits: DataFrame, delay: str = "1 day", keep_ms: int = 30 * 86_400_000) -> DataFrame:
-    """Alerts on a score drop or new broken links against the last audit of the site.
+def audit_alerts(audits: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Alerts on a score drop or new broken links against the audit before, as ``ops.audit_alerts`` gives them.
 
-    ``audits`` has site, ts, seo_score and broken_links. Audits older than the
-    last seen one of their site (or than the watermark) raise nothing.
+    ``audits`` has site (string), ts, seo_score and broken_links. An audit waits until the
+    watermark has passed it; by then every earlier one of its site is there, so audits that
+    arrive out of order within ``delay`` are compared in the order of their times. The state
+    of a site is its last audit and those that wait.
     """
+    columns = ["at", "score", "broken"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("ts")
-        out: list[tuple] = []
-        for ts, score, broken in zip(rows["ts"], rows["seo_score"], rows["broken_links"]):
-            at = int(ts.value // 1000)
-            if last is not None and at < last[0]:
-                continue
-            if last is not None and score < last[1]:
-                out.append((key[0], ts, "score_drop", int(last[1] - score)))
-            if last is not None and broken > last[2]:
-                out.append((key[0], ts, "new_broken_links", int(broken - last[2])))
-            last = (at, int(score), int(broken))
-        state.update(last)
-        state.setTimeoutTimestamp(max(last[0] // 1000, state.getCurrentWatermarkMs()) + keep_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["site", "ts", "alert", "amount"])
+        known = list(state.get) if state.exists else [[], [], [], []]
+        rows = pd.DataFrame(dict(zip(columns, known[:3])), columns=columns, dtype="int64")
+        last = known[3]
+        for batch in batches:
+            at = batch["ts"].astype("datetime64[us]").astype("int64")
+            rows = pd.concat([rows, pd.DataFrame({"at": at, "score": batch["seo_score"], "broken": batch["broken_links"]})])
+        rows = rows.sort_values(columns, kind="stable")
+        passed = rows["at"] < state.getCurrentWatermarkMs() * 1000
+        ready, waiting = rows[passed], rows[~passed]
+        if len(ready):
+            line = pd.concat([pd.DataFrame([last], columns=columns), ready]) if len(last) else ready
+            drop, more = -line["score"].diff(), line["broken"].diff()
+            found = pd.concat(
+                [
+                    pd.DataFrame({"at": line["at"], "alert": "score_drop", "amount": drop})[drop > 0],
+                    pd.DataFrame({"at": line["at"], "alert": "new_broken_links", "amount": more})[more > 0],
+                ]
+            )
+            last = [int(v) for v in ready.iloc[-1]]
+            if len(found):
+                yield pd.DataFrame(
+                    {"site": key[0], "ts": pd.to_datetime(found["at"], unit="us"), "alert": found["alert"], "amount": found["amount"].astype("int64")}
+                )
+        state.update((*[[int(v) for v in waiting[c]] for c in columns], last))
+        if len(waiting):
+            state.setTimeoutTimestamp(max(int(waiting["at"].min()) // 1000, state.getCurrentWatermarkMs()) + 1)
 
     return (
-        audits.withWatermark("ts", delay)
+        audits.withColumn("site", F.col("site").cast("string"))
+        .withWatermark("ts", delay)
         .groupBy("site")
         .applyInPandasWithState(
             step,
-            "site long, ts timestamp, alert string, amount long",
-            "at long, seo_score long, broken_links long",
+            "site string, ts timestamp, alert string, amount long",
+            "at array<long>, score array<long>, broken array<long>, last array<long>",
             "append",
             GroupStateTimeout.EventTimeTimeout,
         )
