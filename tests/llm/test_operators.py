@@ -288,6 +288,10 @@ def test_main_text():
     assert extract.main_text(PAGE.replace("article>", "div>"), {}) == want
     assert extract.main_text(None, {}) == extract.main_text("", {}) == extract.main_text("<nav>only a menu</nav>", {}) == ""
     assert extract.main_text("a < b <!-- no --> c", {}) == "a < b c"
+    framed = '<div class="page has-sidebar"><div class="post"><header class="entry-header"><h1>Head</h1></header>text</div></div>'
+    assert extract.main_text(framed.replace("post", "x").replace('<div class="x">', "<article>").replace("text</div>", "text</article>"), {}) == "Head\ntext"
+    assert extract.main_text("<article>Hi</article><div class=q>a long text that has many more words than the article has</div>", {}) == "Hi"
+    assert extract.main_text('<p>seen<p style="display:none">not seen at all by any reader</p><p hidden>nor this one</p>', {}) == "seen"
     assert extract.main_text("<p>" * 3000 + "deep" + "<div>" * 3000 + "er", {}).startswith("deep")
 
 

@@ -6,6 +6,7 @@ below zero. Words under an element whose kind the labelled pages have outside on
 below zero as well. One linear scan finds the contiguous run of the greatest sum. Parts that
 their element or its names mark as standing beside the main text (menus, adverts, forms,
 comments ...) are no words of it: their words score nothing, and the run may pass over them.
+On a page that labels its own main text, words elsewhere score below zero too.
 
 Labelled pages are those of the given table that mark their own main text by one ``article``
 or ``main`` element; counts of tag kinds are taken over all of them, outside the parts beside.
@@ -41,40 +42,47 @@ ASIDE_NAMES = frozenset(
     "widget contentinfo complementary skip copyright legal login".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<|[^<]+", re.S)
-_NAMES = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Of these, words that inside an article name its own head.
+HEAD_NAMES = frozenset(("header", "masthead", "banner"))
+_NAMES = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _CLOSES = {"p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _SPACES = re.compile(r"[ \t\n\r\f\v\xa0]+")
 FRAME = frozenset(("html", "body", "article", "main"))
-#: Tag scores lie between these; unknown kinds have UNKNOWN, the page's frame and borders of its articles BORDER.
-LEAST, MOST, UNKNOWN, BORDER = -0.05, -4.0, -0.5, -8.0
+#: Tag scores lie between these; the page's frame and the borders of its articles have BORDER, tags that the page itself
+#: labels as inside LABELLED.
+LEAST, MOST, BORDER, LABELLED = -0.05, -4.0, -1000.0, -1e-4
+#: Scores of kinds that no labelled page has: links (menus are made of them), blocks, other tags.
+UNKNOWN_LINK, UNKNOWN_BLOCK, UNKNOWN = -0.8, -0.3, -0.1
 SMOOTH = 0.5
 
 
-def _marks(rest: str) -> tuple[str, bool, bool]:
-    """The class name part of a tag's kind; whether names mark it as beside the main text, and as the main text."""
-    first, beside, main = "", False, False
+def _marks(rest: str, inside: bool) -> tuple[str, bool]:
+    """The first class name of a tag, and whether its names or states mark it as beside the main text.
+
+    ``inside``: the tag stands in an article, where a head is the article's own.
+    """
+    first, beside = "", False
     for name, *values in _NAMES.findall(rest):
-        value = "".join(values).lower()
-        words = re.split(r"[^a-z0-9]+", value)
-        if name.lower() == "class":
-            first = value.split()[0] if value.split() else ""
-        if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true"):
+        name, value = name.lower(), "".join(values).lower()
+        if name == "class" and value.split():
+            first = value.split()[0]
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
             beside = True
-        elif name.lower() == "itemprop":
-            main |= value == "articlebody"
-        else:
-            beside |= not ASIDE_NAMES.isdisjoint(words)
-            main |= name.lower() == "role" and value == "main"
-    return first, beside, main
+        elif name == "style":
+            beside |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+        elif name in ("class", "id", "role"):
+            words = ASIDE_NAMES.intersection(re.split(r"[^a-z0-9]+", value))
+            beside |= bool(words - HEAD_NAMES if inside else words)
+    return first, beside
 
 
 class Token:
     """A tag (kind; step +1 opens, -1 closes, 0 neither) or a text, with the number of open elements beside the main text."""
 
-    __slots__ = ("beside", "kind", "name", "step", "text")
+    __slots__ = ("aside", "beside", "kind", "name", "opener", "step", "text")
 
-    def __init__(self, kind: str, name: str, text: str, step: int, beside: int) -> None:
-        self.kind, self.name, self.text, self.step, self.beside = kind, name, text, step, beside
+    def __init__(self, kind: str, name: str, text: str, step: int, aside: bool = False, opener: Token | None = None) -> None:
+        self.kind, self.name, self.text, self.step, self.aside, self.opener, self.beside = kind, name, text, step, aside, opener, 0
 
 
 def tokens(page: str | None) -> list[Token]:
@@ -82,19 +90,22 @@ def tokens(page: str | None) -> list[Token]:
 
     A ``p``, list item or table cell ends where the standard ends it; a closing tag without
     opener stands alone; raw elements (scripts, styles, titles) are one text under their tag.
+    An element that only its names put beside the main text, but that holds an ``article`` or
+    ``main``, is a frame around it and not beside.
     """
     found: list[Token] = []
     page = page or ""
-    stack: list[tuple[str, str, bool]] = []
+    stack: list[Token] = []
+    named: list[Token] = []  # open elements that only names put beside
     open_names: Counter[str] = Counter()
-    beside, at = 0, 0
+    at = 0
 
     def close() -> None:
-        nonlocal beside
-        name, kind, aside = stack.pop()
-        open_names[name] -= 1
-        found.append(Token(kind, name, "", -1, beside))
-        beside -= aside
+        opener = stack.pop()
+        open_names[opener.name] -= 1
+        if named and named[-1] is opener:
+            named.pop()
+        found.append(Token(opener.kind, opener.name, "", -1, opener=opener))
 
     while at < len(page):
         match = _TOKEN.match(page, at)
@@ -102,43 +113,54 @@ def tokens(page: str | None) -> list[Token]:
         closing, name = match[1], (match[2] or "").lower()
         if not name:
             if match[0][0] != "<" or match[0] == "<":
-                found.append(Token("", "", match[0], 0, beside))
+                found.append(Token("", "", match[0], 0))
             continue
         if closing:
             if name == "p" and not open_names["p"]:
-                found.append(Token("p", "p", "", 0, beside))
+                found.append(Token("p", "p", "", 0))
             elif open_names[name]:
-                while stack[-1][0] != name:
+                while stack[-1].name != name:
                     close()
                 close()
             continue
-        while stack and name in _CLOSES.get(stack[-1][0], ()):
+        while stack and name in _CLOSES.get(stack[-1].name, ()):
             close()
-        first, aside, _ = _marks(match[3]) if match[3] and not match[3].isspace() else ("", False, False)
+        inside = open_names["article"] > 0
+        first, by_name = _marks(match[3], inside) if match[3] and not match[3].isspace() else ("", False)
         kind = f"{name}.{first}" if first else name
-        aside = aside and name not in ("html", "body", "article", "main") or name in ASIDE and not (name == "header" and open_names["article"])
         if name in VOID or match[3].endswith("/"):
-            found.append(Token(kind, name, "", 0, beside))
+            found.append(Token(kind, name, "", 0))
             continue
-        stack.append((name, kind, bool(aside)))
+        by_tag = name in ASIDE and not (name == "header" and inside)
+        opener = Token(kind, name, "", 1, by_tag or (by_name and name not in FRAME))
+        if name in ("article", "main"):
+            for outer in named:
+                outer.aside = False
+            named.clear()
+        elif opener.aside and not by_tag:
+            named.append(opener)
+        stack.append(opener)
         open_names[name] += 1
-        beside += bool(aside)
-        found.append(Token(kind, name, "", 1, beside))
+        found.append(opener)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else len(page)
     while stack:
         close()
+    beside = 0
+    for token in found:
+        beside += token.step > 0 and token.aside
+        token.beside = beside
+        beside -= token.step < 0 and token.opener.aside
     return found
 
 
 def labelled(found: list[Token]) -> tuple[int, int] | None:
-    """The span of the page's only ``article`` (or else ``main``) element; None if the page does not label itself."""
+    """The span of the page's only ``article`` (or else ``main``) element not beside; None if the page does not label itself."""
     for name in ("article", "main"):
-        opens = [i for i, t in enumerate(found) if t.name == name and t.step > 0]
-        if len(opens) == 1:
-            ends = [i for i, t in enumerate(found) if t.name == name and t.step < 0]
-            return (opens[0], ends[-1]) if ends and ends[-1] > opens[0] else None
+        at = [i for i, t in enumerate(found) if t.name == name and t.step and not t.beside]
+        if len(at) == 2:
+            return at[0], at[1]
     return None
 
 
@@ -195,19 +217,22 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     one token that scores its number of words.
     """
     found = tokens(page)
+    span = labelled(found)
     scores, foreign = [], 0  # open elements of kinds that labelled pages have outside
-    for token in found:
+    for i, token in enumerate(found):
         if token.beside:
             scores.append(LEAST if token.kind else 0.0)
         elif token.name in FRAME:
             scores.append(BORDER)
         elif token.kind:
-            score = weights.get(token.kind, weights.get(token.name, UNKNOWN))
+            unknown = UNKNOWN_LINK if token.name == "a" else UNKNOWN_BLOCK if token.name in BLOCK else UNKNOWN
+            score = weights.get(token.kind, weights.get(token.name, unknown))
             foreign += token.step * (score <= MOST / 2)
-            scores.append(score)
+            scores.append(LABELLED if span and span[0] < i < span[1] else score)
         else:
             words = float(len(token.text.split()))
-            scores.append(-words if foreign > 0 else words)
+            outside = not span[0] < i < span[1] if span else foreign > 0
+            scores.append(-words if outside else words)
     start, end = best_run(scores)
     blocks, block = [], []
     for token in found[start:end]:
