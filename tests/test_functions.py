@@ -248,3 +248,28 @@ def test_scores_stay_in_range(spark):
     for name in ("on_page_seo", "content_quality", "technical_seo", "ux_design", "links_architecture"):
         assert all(0 <= r[name]["score"] <= 100 for r in rows)
 
+
+
+def test_a_failing_rewriter_leaves_the_drafts(spark):
+    import pandas as pd
+
+    from weftaudit.operators import recommend
+
+    def away(prompts: pd.Series) -> pd.Series:
+        raise RuntimeError("no model")
+
+    rows = spark.createDataFrame([("title_long", "A draft"), ("h1_missing", "x")], "rule string, draft string")
+    done = {r["rule"]: r["draft"] for r in recommend.rewritten(rows, recommend.guarded(away)).collect()}
+    assert done == {"title_long": "A draft", "h1_missing": "x"}
+    loud = recommend.rewritten(rows, recommend.guarded(lambda p: p.str.slice(0, 3)))
+    assert {r["draft"] for r in loud.collect()} == {"Rew", "x"}
+
+
+def test_loaders_mend_their_tables(spark, tmp_path):
+    from weftaudit.sources import pages as src
+
+    status = [(" https://a.b/ ", None), ("https://a.b/", 404), ("", 200), (None, 200)]
+    spark.createDataFrame(status, src.LINK_STATUS).write.parquet(str(tmp_path / "s"))
+    assert [tuple(r) for r in src.read_link_status(spark, str(tmp_path / "s")).collect()] == [("https://a.b/", 404)]
+    spark.createDataFrame([(" A.org", "p", 1, "rank", 2.0), (None, "p", 1, "rank", 2.0)], src.AUTHORITY_METRICS).write.parquet(str(tmp_path / "a"))
+    assert [r["domain"] for r in src.read_authority_metrics(spark, str(tmp_path / "a")).collect()] == ["a.org"]

@@ -236,9 +236,21 @@ def conversation_state(rows: DataFrame) -> DataFrame:
     )
 
 
-def system_parts(rows: DataFrame) -> DataFrame:
-    """The system messages, one row each; in turn order they are the system prompt."""
-    return normalised(rows).where(F.col("role") == "system").select("conv_id", "turn", "text")
+def system_prompts(rows: DataFrame) -> DataFrame:
+    """The system prompt of each conversation: its system messages in order, a blank line between them."""
+    parts = normalised(rows).where(F.col("role") == "system")
+    listed = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("parts"))
+    return listed.select("conv_id", F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("system_prompt"))
+
+
+def without_system(rows: DataFrame) -> DataFrame:
+    """The messages of users and assistants."""
+    return normalised(rows).where(F.col("role") != "system")
+
+
+def prompt_line() -> Column:
+    """A message as its part of a plain prompt."""
+    return say(F.upper(F.substring("role", 1, 1)), F.lower(F.substring(F.col("role"), 2, 1000)), ": ", F.col("text"))
 
 
 def site_prompt() -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -349,6 +350,22 @@ def exact_fix(rule: Column, draft: Column) -> Column:
     )
 
 
+def guarded(reply: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Column]:
+    """A user's function on prompts as a vectorised one that leaves the drafts where it fails."""
+
+    @F.pandas_udf("string")
+    def run(prompts: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
+        asked = prompts.dropna()
+        try:
+            out[asked.index] = reply(asked)
+        except Exception:  # noqa: BLE001 - whatever the user's function raises, the rule-based drafts stay
+            out[:] = None
+        return out
+
+    return run
+
+
 def rewritten(rows: DataFrame, rewrite: Callable[[Column], Column]) -> DataFrame:
     """Let a user's vectorised function rewrite titles and descriptions.
 

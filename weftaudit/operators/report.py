@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftaudit.functions.common import say
@@ -280,6 +280,17 @@ def page_card(broken_items: Column, broken_count: Column) -> Column:
     )
 
 
+def broken_items(broken: DataFrame, shown: int = 3) -> DataFrame:
+    """Per page the number of broken links and the first ``shown`` of them as text; only these are gathered."""
+    place = Window.partitionBy("page_id").orderBy("rank")
+    item = say(F.col("target"), " (Status: ", F.col("status_code"), ")")
+    numbered_ = broken.withColumn("_place", F.row_number().over(place)).withColumn("_item", item)
+    kept = F.when(F.col("_place") <= shown, F.struct("_place", "_item"))
+    return numbered_.groupBy("page_id").agg(
+        F.count("*").alias("broken_links"), F.transform(F.sort_array(F.collect_list(kept)), lambda x: x["_item"]).alias("broken_items")
+    )
+
+
 def find_page(facts: DataFrame, wanted: str) -> DataFrame:
     """First page of each site whose address contains ``wanted``."""
     hits = facts.where(F.col("url").contains(wanted))

@@ -469,7 +469,26 @@ ORACLE = {
         "SELECT site, base_url, domain, pages_crawled, total_pages_analyzed, avg_word_count, critical, warnings, recommendations, positive FROM asm", *ASM
     ),
     "rpt_page_lookup": sql(
-        f"SELECT site, page_id, {CARD} AS card FROM fact2 WHERE page_id IN (SELECT min(page_id) FROM fact2 WHERE contains(url, '/p/2') GROUP BY site)", *PAGE
+        f"""SELECT site, page_id, {CARD} || coalesce((SELECT {NL} || 'Broken Links: ' || count(*) || {NL} || string_agg('  - ' || target || ' (Status: ' || status_code || ')' || {NL}, '' ORDER BY rank) FILTER (place <= 3)
+          FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank) AS place FROM broken) b WHERE b.page_id = f.page_id HAVING count(*) > 0), '') AS card
+        FROM fact2 f WHERE page_id IN (SELECT min(page_id) FROM fact2 WHERE contains(url, '/p/2') GROUP BY site)""",
+        *CORE, tables=ALL,
+    ),
+    "qa_system_prompts": sql(
+        "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS system_prompt FROM msg WHERE role = 'system' GROUP BY conv_id",
+        MSG, tables=("chat_messages",),
+    ),
+    "qa_messages_without_system": sql(
+        "SELECT conv_id, turn, role, text, upper(left(role, 1)) || lower(substr(role, 2)) || ': ' || text AS line FROM msg WHERE role <> 'system'",
+        MSG, tables=("chat_messages",),
+    ),
+    "qa_extended_answers": sql(
+        "SELECT conv_id, turn, CASE WHEN length(m.text) > 30 THEN 'You asked: ' || left(m.text, 40) ELSE answer END AS answer FROM answered JOIN msg m USING (conv_id, turn)",
+        *QA_ALL, ANSWERS, tables=QA_TABLES,
+    ),
+    "rec_rewritten": sql(
+        f"""SELECT page_id, rule, {limit(collapse("'Guide: ' || regexp_extract(exact_fix, '(?s)<title>(.*)</title>$', 1)"), 60)} AS title FROM title_rule WHERE rule IS NOT NULL""",
+        *SCORE, *PILLARS, AUTHORITY, PAGE_SCORE, TOPICS, STUFF, CONTEXT, rules("(SELECT overall FROM page_score p WHERE p.page_id = ctx.page_id)"), tables=ALL,
     ),
     "qa_topics": sql(
         f"SELECT conv_id, turn, array_to_string({TOPICS_SQL}, '|') AS topics, {PLAN} AS plan FROM msg WHERE role = 'user'", MSG, tables=("chat_messages",)
@@ -538,6 +557,8 @@ ORACLE = {
         CAST(0 AS BIGINT) AS depth, CAST(NULL AS DOUBLE) AS load_time, CASE WHEN coalesce(html, '') = '' THEN 'Failed to fetch' END AS error FROM pages""",
     "src_site_meta": sql("SELECT * FROM site_meta", tables=("site_meta",)),
     "src_link_status": sql("SELECT * FROM link_status", tables=("link_status",)),
+    "src_saved_reports": sql("SELECT url, status_code, error, text_length, site AS domain, image_count AS total_images FROM fact2", *PAGE),
+    "snk_log": "SELECT event_id, user_id, event_type, ts, CAST(ts AS DATE) AS day FROM events",
     "src_authority_metrics": sql("SELECT domain, provider, priority, metric, value FROM authority_metrics", tables=("authority_metrics",)),
     "src_page_payload": sql(
         """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url || '?stored' ELSE url END AS url, CAST(CASE WHEN page_id % 3 = 0 THEN 301 ELSE status_code END AS BIGINT) AS status_code,

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-
 from weftaudit.operators import authority, links, ops, qa, recommend, report, rollup, scoring
 from weftaudit.operators.numbering import numbered
 from weftaudit.operators.rows import unrolled
 from weftaudit.plans.queries_html import facts, joined
 from weftaudit.plans.queries_site import counted_facts
 from weftaudit.sources import pages as src
-from weftaudit.sources.shared import materialised, shared_dir
+from weftaudit.sources import shared
+from weftaudit.sources.shared import materialised
 from weftaudit.sources.tables import derived, table
 
 
@@ -173,9 +174,11 @@ def rpt_assembly(spark, sf):
 
 
 def rpt_page_lookup(spark, sf):
-    found = report.find_page(counted_facts(spark, sf), "/p/2")
-    none = F.array().cast("array<string>")
-    return found.select("site", "page_id", report.page_card(none, F.lit(0)).alias("card"))
+    """The card of the first page of each site with that address, its first broken links included."""
+    found = materialised(report.find_page(facts(spark, sf), "/p/2"))
+    shown = report.broken_items(links.broken_links(found, derived(spark, sf, "link_status")))
+    rows = found.join(shown, "page_id", "left")
+    return rows.select("site", "page_id", report.page_card(F.col("broken_items"), F.coalesce("broken_links", F.lit(0))).alias("card"))
 
 
 # Answers
@@ -235,6 +238,37 @@ def qa_conversations(spark, sf):
     return qa.conversation_state(derived(spark, sf, "chat_messages"))
 
 
+def qa_system_prompts(spark, sf):
+    """The system prompt of each conversation that has one."""
+    return qa.system_prompts(derived(spark, sf, "chat_messages"))
+
+
+def qa_messages_without_system(spark, sf):
+    """The other messages with their line of the prompt."""
+    rows = qa.without_system(derived(spark, sf, "chat_messages"))
+    return rows.select("conv_id", "turn", "role", "text", qa.prompt_line().alias("line"))
+
+
+def qa_extended_answers(spark, sf):
+    """Answers of a stand-in for a user's function, which repeats long questions and leaves the others to the rules."""
+
+    def reply(text: pd.Series, answer: pd.Series) -> pd.Series:
+        return ("You asked: " + text.str.slice(0, 40)).where(text.str.len() > 30, None)
+
+    return qa.with_extension(qa.answers(_questions(spark, sf)), F.pandas_udf(reply, "string")).select("conv_id", "turn", "answer")
+
+
+def rec_rewritten(spark, sf):
+    """Titles rewritten by a stand-in for a user's model, which repeats the draft with a word before it."""
+
+    def reply(prompt: pd.Series) -> pd.Series:
+        return "Guide: " + prompt.str.replace(r"(?s)^.*Draft: ", "", regex=True)
+
+    rows = recommend.page_rules(facts(spark, sf), _meta(spark, sf))
+    done = recommend.rewritten(rows, recommend.guarded(reply))
+    return done.where(F.col("rule").startswith("title_")).select("page_id", "rule", F.col("draft").alias("title"))
+
+
 # Jobs, logs and monitoring
 
 
@@ -327,15 +361,53 @@ def src_snapshots(spark, sf):
 
 
 def src_site_meta(spark, sf):
-    return _meta(spark, sf)
+    """Site facts as a loader gives them: names trimmed and in lower case, one row per site."""
+    rows = derived(spark, sf, "site_meta")
+    mixed = rows.withColumn("site", F.concat(F.upper("site"), F.lit(" ")))
+    return src.read_site_meta(spark, _stored(spark, mixed.unionByName(mixed), "json"), "json")
+
+
+def _stored(spark, rows, file_format):
+    path = shared.fresh_path(spark, file_format)
+    rows.write.format(file_format).save(path)
+    return path
 
 
 def src_link_status(spark, sf):
-    return derived(spark, sf, "link_status")
+    """Checks of links, some repeated with another result, written as JSON and loaded again."""
+    rows = derived(spark, sf, "link_status")
+    again = rows.where("status_code = 200").select(F.concat(F.lit(" "), "url").alias("url"), F.lit(None).cast("bigint").alias("status_code"))
+    return src.read_link_status(spark, _stored(spark, rows.unionByName(again), "json"), "json")
 
 
 def src_authority_metrics(spark, sf):
-    return derived(spark, sf, "authority_metrics").select("domain", "provider", "priority", "metric", "value")
+    rows = derived(spark, sf, "authority_metrics").select("domain", "provider", "priority", "metric", "value")
+    mixed = rows.withColumn("domain", F.concat(F.lit("  "), F.upper("domain")))
+    return src.read_authority_metrics(spark, _stored(spark, mixed, "orc"), "orc")
+
+
+def src_saved_reports(spark, sf):
+    """Saved report documents, one for each page here, loaded with one row per page."""
+    documents = facts(spark, sf).select(
+        F.to_json(
+            F.struct(
+                F.struct(F.col("url").alias("base_url"), F.col("site").alias("domain"), F.lit(1).cast("bigint").alias("pages_crawled")).alias("metadata"),
+                F.struct(F.col("image_count").alias("total_images"), F.col("word_count").alias("avg_word_count")).alias("summary"),
+                F.array(F.struct("url", "status_code", "error", "text_length")).alias("pages"),
+            )
+        ).alias("value")
+    )
+    loaded = src.load_report(spark, _stored(spark, documents, "text"), lines=True)
+    return loaded.select("page.url", "page.status_code", "page.error", "page.text_length", "metadata.domain", "summary.total_images")
+
+
+def snk_log(spark, sf):
+    """A log appended twice by day and read back."""
+    path = shared.fresh_path(spark, "log")
+    log = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    for part in (0, 1):
+        src.append_log(log.where(F.col("event_id") % 2 == part), path, "ts")
+    return spark.read.schema("event_id bigint, user_id bigint, event_type string, ts timestamp_ntz, day date").parquet(path)
 
 
 def src_page_payload(spark, sf):
@@ -354,18 +426,14 @@ def src_page_payload(spark, sf):
 
 def src_stored_results(spark, sf):
     """Results written by site and read back for one site."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    path = shared.fresh_path(spark, "results")
     src.write_results(facts(spark, sf).drop("suggestions"), path)
     return src.read_results(spark, path, "site1.example.org").select("page_id", "site", "title", "word_count", "image_count")
 
 
 def src_report_lines(spark, sf):
     """JSON report lines written per site and read back page by page."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    path = shared.fresh_path(spark, "report")
     f = materialised(facts(spark, sf))
     src.write_report(src.report_heads(_assembled(spark, sf, f)), src.report_pages(f), path)
     lines = spark.read.text(f"{path}/pages")
@@ -375,9 +443,8 @@ def src_report_lines(spark, sf):
 
 def set_all_links(spark, sf):
     """Internal and external links as one table."""
-    t = links.link_table(facts(spark, sf))
-    inside = t.where("internal").select("page_id", "absolute_url", F.lit("internal").alias("side"))
-    return inside.unionByName(t.where(~F.col("internal")).select("page_id", "absolute_url", F.lit("external").alias("side")))
+    side = F.when(F.col("internal"), "internal").otherwise("external")
+    return links.link_table(facts(spark, sf)).select("page_id", "absolute_url", side.alias("side"))
 
 
 def set_distinct_targets(spark, sf):
@@ -408,5 +475,5 @@ def join_assembly(spark, sf):
 QUERIES = {
     name: fn
     for name, fn in list(globals().items())
-    if name.startswith(("rec_", "rpt_", "qa_", "ops_", "sort_", "win_", "str_", "src_", "set_", "join_")) and callable(fn)
+    if name.startswith(("rec_", "rpt_", "qa_", "ops_", "sort_", "win_", "str_", "src_", "set_", "join_", "snk_")) and callable(fn)
 }

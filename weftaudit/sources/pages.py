@@ -119,9 +119,44 @@ def write_report(heads: DataFrame, pages: DataFrame, path: str) -> None:
     pages.select("site", "page").write.mode("overwrite").partitionBy("site").text(f"{path}/pages")
 
 
-def load_report(spark: SparkSession, path: str) -> DataFrame:
-    """A saved single-document report, one row per page with the head columns."""
-    report = spark.read.schema(REPORT).option("multiLine", True).json(path)
+SITE_META = (
+    "site string, base_url string, homepage_url string, site_name string, location string, primary_keyword string, call_to_action string, "
+    "https boolean, has_robots boolean, has_sitemap boolean, load_time double, n_pages bigint"
+)
+LINK_STATUS = "url string, status_code bigint"
+AUTHORITY_METRICS = "domain string, provider string, priority bigint, metric string, value double"
+
+
+def _name(column: str) -> Column:
+    return F.lower(F.trim(column))
+
+
+def read_site_meta(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
+    """Facts of sites, one row per site: names are trimmed and in lower case, rows without a name are left out.
+
+    Of several rows of a site each fact is the greatest one given.
+    """
+    rows = spark.read.schema(SITE_META).format(file_format).load(path).withColumn("site", _name("site"))
+    others = [c for c in rows.columns if c != "site"]
+    return rows.where(F.coalesce("site", F.lit("")) != "").groupBy("site").agg(*[F.max(c).alias(c) for c in others])
+
+
+def read_link_status(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
+    """Checked links, one row per address: a check without status counts as unreachable (0), of several the greatest stays."""
+    rows = spark.read.schema(LINK_STATUS).format(file_format).load(path)
+    checked = rows.select(F.trim("url").alias("url"), F.coalesce("status_code", F.lit(0)).alias("status_code"))
+    return checked.where(F.coalesce("url", F.lit("")) != "").groupBy("url").agg(F.max("status_code").alias("status_code"))
+
+
+def read_authority_metrics(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
+    """Authority figures by domain, provider and metric; domains are trimmed and in lower case, rows without one are left out."""
+    rows = spark.read.schema(AUTHORITY_METRICS).format(file_format).load(path).withColumn("domain", _name("domain"))
+    return rows.where((F.coalesce("domain", F.lit("")) != "") & F.col("metric").isNotNull())
+
+
+def load_report(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Saved report documents, one row per page with the head columns; ``lines``: one document per line."""
+    report = spark.read.schema(REPORT).option("multiLine", not lines).json(path)
     return report.select("metadata", "summary", "insights", F.explode_outer("pages").alias("page"))
 
 

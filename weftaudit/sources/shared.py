@@ -41,10 +41,15 @@ def remove_tables(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own among the intermediate tables."""
+    return f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialised(frame: DataFrame) -> DataFrame:
     """Write a frame that several steps read, and read it back column by column."""
     spark = frame.sparkSession
-    path = f"{tables_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "table")
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
