@@ -356,7 +356,7 @@ def guarded(reply: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Colum
     @F.pandas_udf("string")
     def run(prompts: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
-        asked = prompts.dropna()
+        asked = prompts[prompts != ""]
         try:
             out[asked.index] = reply(asked)
         except Exception:  # noqa: BLE001 - whatever the user's function raises, the rule-based drafts stay
@@ -371,7 +371,7 @@ def rewritten(rows: DataFrame, rewrite: Callable[[Column], Column]) -> DataFrame
 
     ``rewrite`` maps a prompt Column to a reply Column (a pandas UDF). A reply
     is cleaned and fitted; a null, blank or too short one leaves the draft. Other
-    rows ask nothing: their prompt is null.
+    rows ask nothing: their prompt is empty.
     """
     is_title, is_meta = F.col("rule").startswith("title_"), F.col("rule").startswith("meta_")
     prompt = F.when(
@@ -380,7 +380,7 @@ def rewritten(rows: DataFrame, rewrite: Callable[[Column], Column]) -> DataFrame
     ).otherwise(
         say("Rewrite this meta description so it is compelling, accurate, and 150-160 characters long. Return only the meta description text. Draft: ", F.col("draft"))
     )
-    asked = rows.withColumn("reply", collapse(rewrite(F.when(is_title | is_meta, prompt))))
+    asked = rows.withColumn("reply", collapse(rewrite(F.when(is_title | is_meta, prompt).otherwise(""))))
     fitted = F.when(is_meta, fit_description(F.col("reply"))).otherwise(text.limit_length(F.col("reply"), 60))
     usable = (is_title | is_meta) & (F.col("reply") != "") & (~is_meta | (F.length(fitted) >= 150))
     return asked.withColumn("draft", F.when(usable, fitted).otherwise(F.col("draft"))).drop("reply")
