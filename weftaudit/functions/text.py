@@ -66,10 +66,10 @@ def count_terms(tokens: Column) -> Column:
             ),
         )
 
-    pairs = F.array_sort(F.transform(tokens, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
+    pairs = F.sort_array(F.transform(tokens, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
     nothing = empty("struct<neg_n:bigint,pos:int,word:string>")
     counted = bind(pairs, lambda ps: F.when(F.size(ps) > 0, runs(ps)).otherwise(nothing))
-    return F.array_sort(counted)
+    return F.sort_array(counted)
 
 
 def _ranked(terms: Column, total: Column) -> Column:
@@ -159,23 +159,34 @@ def flesch(text: Column) -> Column:
 
 
 def long_tail_phrases(text: Column, k: int = 5) -> Column:
-    """Repeated phrases of 2-4 words that do not begin and end with a stop word."""
-
-    def grams(ws: Column, size: int) -> Column:
-        # Stop-word tests run on flags made once per word, not once per phrase.
-        def made(flags: Column) -> Column:
-            keep = F.filter(
-                F.sequence(F.lit(0), F.size(ws) - size),
-                lambda i: ~(F.get(flags, i) & F.get(flags, i + (size - 1))),
-            )
-            return F.transform(keep, lambda i: F.array_join(F.slice(ws, i + 1, F.lit(size)), " "))
+    """Repeated phrases of 2-4 words that do not begin and end with a stop word.
+
+    A longer phrase can repeat only where its word pairs do, so hashes of all pairs are
+    sorted first and strings are made for the places of repeated pairs alone.
+    """
+
+    def repeated_places(ws: Column) -> Column:
+        n = F.size(ws)
+        hashes = F.zip_with(F.slice(ws, 1, n - 1), F.slice(ws, 2, n - 1), lambda a, b: F.xxhash64(a, b))
+        same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+        return bind(
+            F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            lambda ps: F.transform(
+                F.filter(ps, lambda p, j: same(p, F.get(ps, j + 1)) | same(p, F.get(ps, j - 1))), lambda p: p["i"]
+            ),
+        )
 
-        return bind(F.transform(ws, lambda w: w.isin(PHRASE_STOP_WORDS)), made)
+    def grams(ws: Column, places: Column, size: int) -> Column:
+        stop = lambda i: F.get(ws, i).isin(PHRASE_STOP_WORDS)
+        kept = F.filter(places, lambda i: ~(stop(i) & stop(i + (size - 1))))
+        return F.transform(kept, lambda i: F.array_join(F.slice(ws, i + 1, F.lit(size)), " "))
 
-    def ranked(ws: Column) -> Column:
-        phrases = F.concat(grams(ws, 2), grams(ws, 3), grams(ws, 4))
+    def ranked(ws: Column, twos: Column) -> Column:
+        threes = F.array_intersect(twos, F.transform(twos, lambda i: i - 1))
+        fours = F.array_intersect(threes, F.transform(twos, lambda i: i - 2))
+        phrases = F.concat(grams(ws, twos, 2), grams(ws, threes, 3), grams(ws, fours, 4))
         repeated = F.filter(count_terms(phrases), lambda t: t["neg_n"] <= -2)
-        order = F.array_sort(
+        order = F.sort_array(
             F.transform(
                 repeated,
                 lambda t: F.struct(
@@ -187,7 +198,7 @@ def long_tail_phrases(text: Column, k: int = 5) -> Column:
 
     return bind(
         F.transform(plain_words(text), lambda w: F.lower(w)),
-        lambda ws: F.when(F.size(ws) >= 4, ranked(ws)).otherwise(empty("string")),
+        lambda ws: F.when(F.size(ws) >= 4, bind(repeated_places(ws), lambda twos: ranked(ws, twos))).otherwise(empty("string")),
     )
 
 
@@ -242,7 +253,7 @@ def before_separator(title: Column) -> Column:
 def dedupe_folded(items: Column) -> Column:
     """Drop blanks and repeats (ignoring case and outer blanks), keeping the order."""
     keys = F.transform(items, lambda x: F.lower(strip(x)))
-    firsts = F.array_sort(
+    firsts = F.sort_array(
         F.transform(F.filter(count_terms(keys), lambda t: t["word"] != ""), lambda t: t["pos"])
     )
     return bind(firsts, lambda ps: F.transform(ps, lambda p: F.get(items, p)))
