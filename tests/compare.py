@@ -9,6 +9,7 @@ import datetime as dt
 import decimal
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -22,6 +23,9 @@ TABLES = (
 ).split()
 
 
+_SHARED = tempfile.TemporaryDirectory(prefix="weftaudit-tests-", ignore_cleanup_errors=True)
+
+
 def session():
     from pyspark.sql import SparkSession
 
@@ -33,6 +37,8 @@ def session():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", _SHARED.name)
+        .config("spark.sql.warehouse.dir", f"{_SHARED.name}/warehouse")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

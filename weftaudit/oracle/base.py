@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from html.entities import name2codepoint
 
-from weftaudit.functions import html, text, urls
 from weftaudit.functions.cms import CMS_PATTERNS
+from weftaudit.oracle import literals
 from weftaudit.plans.fixtures import with_clause
 
 
@@ -41,7 +41,7 @@ def collapse(x: str) -> str:
 def decode(x: str) -> str:
     inner = "p[2:length(p)-1]"
     return f"""CASE WHEN contains({x}, '&') THEN array_to_string(list_transform(
-      regexp_extract_all({x}, {q(html.ENTITY_RE)}), lambda p: CASE
+      regexp_extract_all({x}, {q(literals.ENTITY_RE)}), lambda p: CASE
         WHEN NOT (p[1] = '&' AND right(p, 1) = ';') THEN p
         WHEN p[2:3] IN ('#x', '#X') THEN chr(CAST(('0x' || p[4:length(p)-1]) AS INTEGER))
         WHEN p[2] = '#' THEN chr(CAST(p[3:length(p)-1] AS INTEGER))
@@ -53,7 +53,7 @@ def round2(x: str) -> str:
 
 
 def up(x: str, n: int) -> str:
-    return f"regexp_extract({x}, {q(urls.SPLIT_RE)}, {n})"
+    return f"regexp_extract({x}, {q(literals.SPLIT_RE)}, {n})"
 
 
 def netloc(x: str) -> str:
@@ -110,11 +110,11 @@ tok_raw AS (
   FROM (SELECT page_id, regexp_extract_all(html, {q(TOKEN_RE)}) AS r FROM pages_raw)
 ),
 tok_kind AS (
-  SELECT page_id, pos, raw, lower(regexp_extract(raw, {q(html.TAG_NAME_RE)}, 1)) AS tag,
+  SELECT page_id, pos, raw, lower(regexp_extract(raw, {q(literals.TAG_NAME_RE)}, 1)) AS tag,
     CASE WHEN NOT starts_with(raw, '<') OR raw = '<' THEN 'text'
-         WHEN lower(regexp_extract(raw, {q(html.TAG_NAME_RE)}, 1)) IN ('script', 'style', 'noscript')
-              AND regexp_matches(raw, {q(html.RAW_END_RE)}) AND NOT starts_with(raw, '</') THEN 'raw'
-         WHEN regexp_extract(raw, {q(html.TAG_NAME_RE)}, 1) = '' THEN 'skip'
+         WHEN lower(regexp_extract(raw, {q(literals.TAG_NAME_RE)}, 1)) IN ('script', 'style', 'noscript')
+              AND regexp_matches(raw, {q(literals.RAW_END_RE)}) AND NOT starts_with(raw, '</') THEN 'raw'
+         WHEN regexp_extract(raw, {q(literals.TAG_NAME_RE)}, 1) = '' THEN 'skip'
          WHEN starts_with(raw, '</') THEN 'close' ELSE 'open' END AS kind
   FROM tok_raw
 ),
@@ -124,7 +124,7 @@ tok AS (
 attr_raw AS (
   SELECT page_id, pos, unnest(a) AS a, generate_subscripts(a, 1) AS ord
   FROM (SELECT page_id, pos, regexp_extract_all(
-          regexp_replace(regexp_extract(raw, {q(OPEN_TAG_RE)}, 0), '^<[^\\s/>]+|/?>$', '', 'g'), {q(html.ATTR_RE)}) AS a
+          regexp_replace(regexp_extract(raw, {q(OPEN_TAG_RE)}, 0), '^<[^\\s/>]+|/?>$', '', 'g'), {q(literals.ATTR_RE)}) AS a
         FROM tok WHERE kind IN ('open', 'raw'))
 ),
 attr_val AS (
@@ -181,7 +181,7 @@ anchor_abs AS (
 ),
 link AS (
   SELECT *, ({netloc('absolute_url')} = {netloc('url')} OR {netloc('absolute_url')} = '') AS internal
-  FROM anchor_abs WHERE href <> '' AND NOT regexp_matches(href, {q(urls.SKIPPED_HREF_RE)})
+  FROM anchor_abs WHERE href <> '' AND NOT regexp_matches(href, {q(literals.SKIPPED_HREF_RE)})
 )
 """
 
@@ -194,8 +194,8 @@ walk AS (
   SELECT page_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS up FROM pages_raw
   UNION ALL
   SELECT w.page_id, m.i, CASE
-    WHEN m.tag IN {in_list(html.VOID_TAGS)} THEN w.up
-    WHEN m.kind = 'open' AND m.tag IN {in_list(html.SELF_ENDING_TAGS)} AND coalesce(w.up[1] = m.tag, FALSE) THEN w.up
+    WHEN m.tag IN {in_list(literals.VOID_TAGS)} THEN w.up
+    WHEN m.kind = 'open' AND m.tag IN {in_list(literals.SELF_ENDING_TAGS)} AND coalesce(w.up[1] = m.tag, FALSE) THEN w.up
     WHEN m.kind = 'open' THEN list_prepend(m.tag, w.up)
     WHEN coalesce(list_position(w.up, m.tag), 0) > 0 THEN w.up[list_position(w.up, m.tag) + 1:]
     ELSE w.up END
@@ -226,7 +226,7 @@ image AS (
 
 WORDS = f"""
 wordlist AS (
-  SELECT page_id, text_content, regexp_extract_all(lower(text_content), {q(text.WORD_RE)}) AS ws FROM txt
+  SELECT page_id, text_content, regexp_extract_all(lower(text_content), {q(literals.WORD_RE)}) AS ws FROM txt
 ),
 word AS (SELECT page_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM wordlist),
 word_n AS (SELECT page_id, word, count(*) AS n, min(pos) AS pos FROM word GROUP BY page_id, word),
@@ -235,7 +235,7 @@ keyword AS (
     row_number() OVER (PARTITION BY k.page_id ORDER BY k.n DESC, k.pos) AS rank
   FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, pos) AS r FROM word_n) k
   JOIN wordlist w USING (page_id)
-  WHERE r <= 20 AND word NOT IN {in_list(text.KEYWORD_STOP_WORDS)} AND length(word) > 2
+  WHERE r <= 20 AND word NOT IN {in_list(literals.KEYWORD_STOP_WORDS)} AND length(word) > 2
 )
 """
 
@@ -293,8 +293,8 @@ fact AS (
 ),
 fact2 AS (
   SELECT *, title <> '' AS has_title, meta_description <> '' AS has_meta_description,
-    CAST(len(list_filter({in_list(html.SEMANTIC_ELEMENTS).replace('(', '[').replace(')', ']')}, lambda e: list_contains(tags, e))) AS BIGINT) AS semantic_count,
-    array_to_string(list_filter({in_list(html.SEMANTIC_ELEMENTS).replace('(', '[').replace(')', ']')}, lambda e: list_contains(tags, e)), '|') AS semantic_elements,
+    CAST(len(list_filter({in_list(literals.SEMANTIC_ELEMENTS).replace('(', '[').replace(')', ']')}, lambda e: list_contains(tags, e))) AS BIGINT) AS semantic_count,
+    array_to_string(list_filter({in_list(literals.SEMANTIC_ELEMENTS).replace('(', '[').replace(')', ']')}, lambda e: list_contains(tags, e)), '|') AS semantic_elements,
     coalesce(len(list_filter(levels, lambda x, i: i > 1 AND x - levels[i - 1] > 1)), 0) > 0 AS level_gap
   FROM fact
 )

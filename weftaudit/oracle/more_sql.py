@@ -5,8 +5,8 @@ from __future__ import annotations
 from weftaudit.functions import advice
 from weftaudit.functions.cms import CMS_PATTERNS
 from weftaudit.functions.suggest import PLATFORM_HELP, RULE_TEXTS
-from weftaudit.operators import ops, qa, report
-from weftaudit.operators.scoring import SEMANTIC_TARGETS
+from weftaudit.operators import qa, report
+from weftaudit.oracle import literals
 from weftaudit.oracle.base import PAGE, collapse, in_list, netloc, plain_path, q, round2, sql, strip, up
 from weftaudit.oracle.site_sql import (
     ALL, AUTHORITY, CORE, FALLBACK, INSIGHT, PAGE_SCORE, PILLARS, SCORE, list_count, summary,
@@ -329,10 +329,10 @@ MSG = f"""msg AS (
   SELECT conv_id, turn, site, coalesce(nullif(role, ''), 'user') AS role, {strip("coalesce(text, '')")} AS text FROM chat_messages WHERE {strip("coalesce(text, '')")} <> ''
 )"""
 TOPIC_LIST = "list_filter([" + ", ".join(
-    f"CASE WHEN contains(lower(text), {q(w)}) THEN {q(t)} END" for w, t in qa.KEYWORD_TOPICS
+    f"CASE WHEN contains(lower(text), {q(w)}) THEN {q(t)} END" for w, t in literals.KEYWORD_TOPICS
 ) + "], lambda x: x IS NOT NULL)"
 TOPICS_SQL = f"list_filter({TOPIC_LIST}, lambda x, i: list_position({TOPIC_LIST}, x) = i)"
-PLAN = "(" + " OR ".join(f"contains(lower(text), {q(w)})" for w in qa.PLAN_WORDS) + ")"
+PLAN = "(" + " OR ".join(f"contains(lower(text), {q(w)})" for w in literals.PLAN_WORDS) + ")"
 CMS_NAMED = "CASE " + " ".join(f"WHEN contains(lower(text), {q(n)}) THEN {q(n)}" for n, *_ in CMS_PATTERNS) + " ELSE site_cms END"
 
 
@@ -356,7 +356,7 @@ figures AS (
 asked AS (SELECT m.conv_id, m.turn, m.text, g.* FROM msg m LEFT JOIN figures g USING (site) WHERE m.role = 'user')"""
 
 TIP_CELLS = []
-for _topic in dict.fromkeys(t for _, t in qa.KEYWORD_TOPICS):
+for _topic in dict.fromkeys(t for _, t in literals.KEYWORD_TOPICS):
     _body = "[" + ", ".join(fill(t) for t in qa.TIPS[_topic]) + "]"
     if _topic == "cms":
         _extra = "CASE cms " + " ".join(f"WHEN {q(n)} THEN [{q(t)}]" for n, t in qa.CMS_TIPS.items()) + " ELSE CAST([] AS VARCHAR[]) END"
@@ -412,7 +412,7 @@ PAGE_LINE = """concat('- URL: ', url, '; status=', status_code, '; title=', CASE
 
 _stage = "CASE event_type WHEN 'view' THEN 'crawl' WHEN 'click' THEN 'analyze' WHEN 'signup' THEN 'score' WHEN 'purchase' THEN 'finish' ELSE 'done' END"
 _prog = "CASE " + _stage + " " + " ".join(
-    f"WHEN '{n}' THEN {a}::DOUBLE + value / 50.0::DOUBLE * {w}::DOUBLE" for n, (a, w) in ops.STAGES.items()
+    f"WHEN '{n}' THEN {a}::DOUBLE + value / 50.0::DOUBLE * {w}::DOUBLE" for n, (a, w) in literals.STAGES.items()
 ) + " ELSE 100.0::DOUBLE END"
 _tier = "CASE WHEN tier IN ('free', 'standard', 'full') THEN tier ELSE 'free' END"
 
@@ -570,7 +570,7 @@ ORACLE = {
     "set_distinct_targets": sql("SELECT DISTINCT site, absolute_url FROM link", *PAGE),
     "set_semantic_overlap": sql(
         f"""SELECT page_id, CAST(len(s) AS BIGINT) AS shared, array_to_string(list_sort(s), '|') AS names FROM (
-        SELECT page_id, list_filter([{', '.join(q(e) for e in SEMANTIC_TARGETS)}], lambda e: list_contains(coalesce(tags, []), e)) AS s FROM fact2)""",
+        SELECT page_id, list_filter([{', '.join(q(e) for e in literals.SEMANTIC_TARGETS)}], lambda e: list_contains(coalesce(tags, []), e)) AS s FROM fact2)""",
         *PAGE,
     ),
     "join_assembly": sql(

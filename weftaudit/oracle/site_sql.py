@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from weftaudit.functions import text, urls
-from weftaudit.functions.grades import PILLAR_WEIGHTS
 from weftaudit.operators.authority import METRICS, NEUTRAL_ISSUE, NEUTRAL_PASSED
-from weftaudit.operators.links import BAD_ANCHORS
-from weftaudit.operators.scoring import SEMANTIC_TARGETS
 from weftaudit.operators.single_page import GENERAL_ADVICE
+from weftaudit.oracle import literals
 from weftaudit.oracle.base import (
     A11Y, PAGE, collapse, crawl_key, graph_key, in_list, plain_path, q, round2, sql, strip, up,
 )
@@ -64,13 +61,13 @@ akey AS (
   FROM link
 ),
 page_anchor AS (
-  SELECT p.page_id, p.site, count(*) FILTER (k IN {in_list(BAD_ANCHORS)}) AS bad_anchors, count(*) FILTER (open_rel) AS unprotected,
+  SELECT p.page_id, p.site, count(*) FILTER (k IN {in_list(literals.BAD_ANCHORS)}) AS bad_anchors, count(*) FILTER (open_rel) AS unprotected,
     count(DISTINCT k) FILTER (k <> '') AS distinct_anchors, count(k) AS all_anchors, count(*) FILTER (NOT internal) AS external_count,
     count(*) FILTER (internal) AS inside
   FROM pages_raw p LEFT JOIN akey a ON a.page_id = p.page_id GROUP BY p.page_id, p.site
 ),
 site_anchor AS (
-  SELECT p.site, count(*) FILTER (k IN {in_list(BAD_ANCHORS)}) AS bad_anchors, count(*) FILTER (open_rel) AS unprotected,
+  SELECT p.site, count(*) FILTER (k IN {in_list(literals.BAD_ANCHORS)}) AS bad_anchors, count(*) FILTER (open_rel) AS unprotected,
     count(*) FILTER (NOT internal) AS external_links, count(DISTINCT k) FILTER (k <> '') AS distinct_anchors,
     count(k) FILTER (k <> '') AS all_anchors
   FROM pages_raw p LEFT JOIN akey a ON a.page_id = p.page_id GROUP BY p.site
@@ -106,7 +103,7 @@ def norm(raw: str, most: float) -> str:
 
 def weighted(cols: dict[str, str]) -> str:
     total = "0.0::DOUBLE"
-    for name, weight in PILLAR_WEIGHTS.items():
+    for name, weight in literals.PILLAR_WEIGHTS.items():
         total = f"({total} + {clamp(cols[name])} * {weight}::DOUBLE)"
     return round2(clamp(total))
 
@@ -138,7 +135,7 @@ ease AS (
 ),
 phr AS (SELECT doc_id AS page_id, string_agg(phrase, ', ' ORDER BY rank) FILTER (rank <= 3) AS phrases FROM phrase WHERE rank <= 5 GROUP BY doc_id),
 img AS (
-  SELECT page_id, count(*) AS n, count(*) FILTER (trim(alt) <> '') AS alts, count(*) FILTER (regexp_matches(trim(alt), {q(text.FILENAME_ALT_RE)})) AS file_alts,
+  SELECT page_id, count(*) AS n, count(*) FILTER (trim(alt) <> '') AS alts, count(*) FILTER (regexp_matches(trim(alt), {q(literals.FILENAME_ALT_RE)})) AS file_alts,
     count(*) FILTER (alt <> '' AND length(trim(alt)) < 5) AS short_alts, count(*) FILTER (lower(loading) = 'lazy') AS lazy_n,
     count(*) FILTER (regexp_matches(string_split(lower(src), '?')[1], '\\.(webp|avif)$')) AS modern
   FROM image GROUP BY page_id
@@ -159,7 +156,7 @@ si AS (
     EXISTS (SELECT 1 FROM tag_attr x WHERE x.page_id = f.page_id AND x.tag = 'script' AND x.type = 'application/ld+json'
       AND json_valid(trim(regexp_replace(regexp_replace(x.raw, '(?s)^<(?:[^"''>]|"[^"]*"|''[^'']*'')*>', ''), '(?i)</script\\s*>$', '')))) AS ld,
     regexp_matches(f.page_html, '(?i)style\\s*=\\s*[\"''][^\"'']*(?:color\\s*:|background(?:-color)?\\s*:)') AS color,
-    CAST(len(list_intersect(coalesce(f.tags, []), {in_list(SEMANTIC_TARGETS).replace('(', '[').replace(')', ']')})) AS DOUBLE) / 6.0::DOUBLE AS share,
+    CAST(len(list_intersect(coalesce(f.tags, []), {in_list(literals.SEMANTIC_TARGETS).replace('(', '[').replace(')', ']')})) AS DOUBLE) / 6.0::DOUBLE AS share,
     coalesce(nullif(f.load_time, 0), nullif(m.load_time, 0), 0.0::DOUBLE) AS seconds,
     coalesce(m.https, starts_with(f.url, 'https://')) AS secure, coalesce(m.has_robots, FALSE) AS robots, coalesce(m.has_sitemap, FALSE) AS sitemap,
     coalesce(len(f.levels), 0) > 0 AND NOT f.level_gap AS ordered
@@ -420,7 +417,7 @@ ps AS (
   FROM si2 JOIN p_on USING (page_id) JOIN p_content USING (page_id) JOIN p_tech USING (page_id) JOIN p_ux USING (page_id)
   JOIN p_links USING (page_id) JOIN auth_msg a ON a.domain = si2.site
 ),
-page_score AS (SELECT *, {weighted({n: n for n in PILLAR_WEIGHTS})} AS overall FROM ps)
+page_score AS (SELECT *, {weighted({n: n for n in literals.PILLAR_WEIGHTS})} AS overall FROM ps)
 """
 
 
@@ -433,14 +430,14 @@ def mean_cents(col: str) -> str:
 
 
 SITE_SCORE = f"""
-means AS (SELECT site, count(*) AS pages, {', '.join(f'{mean_cents(n)} AS {n}' for n in PILLAR_WEIGHTS if n != 'authority')} FROM page_score GROUP BY site),
+means AS (SELECT site, count(*) AS pages, {', '.join(f'{mean_cents(n)} AS {n}' for n in literals.PILLAR_WEIGHTS if n != 'authority')} FROM page_score GROUP BY site),
 ss AS (
   SELECT m.site, m.pages, {round2('m.on_page_seo')} AS on_page_seo, {round2('m.content_quality')} AS content_quality,
     {blend('t.score', 'm.technical_seo')} AS technical_seo, a.score AS authority, {round2('m.ux_design')} AS ux_design,
     {blend('l.score', 'm.links_architecture')} AS links_architecture
   FROM means m JOIN p_site_tech t USING (site) JOIN p_site_links l USING (site) JOIN auth_msg a ON a.domain = m.site
 ),
-site_score AS (SELECT *, {weighted({n: n for n in PILLAR_WEIGHTS})} AS overall FROM ss)
+site_score AS (SELECT *, {weighted({n: n for n in literals.PILLAR_WEIGHTS})} AS overall FROM ss)
 """
 
 CORE = (*PAGE, BROKEN, ANCHORS)
@@ -466,7 +463,7 @@ seo_score AS (
 """
 
 PLAIN_COUNT = f"""bw AS (SELECT page_id, count(*) AS n FROM (
-  SELECT page_id, unnest(regexp_extract_all(lower(body_text), {q(text.WORD_RE)})) AS word FROM body) WHERE regexp_matches(word, '^[a-z]{{3,}}$') GROUP BY page_id)"""
+  SELECT page_id, unnest(regexp_extract_all(lower(body_text), {q(literals.WORD_RE)})) AS word FROM body) WHERE regexp_matches(word, '^[a-z]{{3,}}$') GROUP BY page_id)"""
 
 
 def summary(broken: str, where: str) -> str:
@@ -561,7 +558,7 @@ CRAWL = f"""
 follow AS (
   SELECT l.site, {crawl_key('l.url')} AS src, l.pos, {crawl_key('l.absolute_url')} AS dst FROM link l JOIN pages_raw p USING (page_id)
   WHERE l.internal AND p.html <> '' AND lower({up('l.absolute_url', 1)}) IN ('http', 'https', '')
-    AND NOT regexp_matches(lower({plain_path(up('l.absolute_url', 3))}), {q(urls.SKIPPED_EXTENSION_RE)})
+    AND NOT regexp_matches(lower({plain_path(up('l.absolute_url', 3))}), {q(literals.SKIPPED_EXTENSION_RE)})
 ),
 path AS (
   SELECT s.site, 'https://' || s.site || '/p/0' AS url, CAST(0 AS BIGINT) AS depth, [CAST(0 AS BIGINT)] AS way FROM (SELECT DISTINCT site FROM pages_raw) s
@@ -654,7 +651,7 @@ ORACLE = {
     "scr_page_links": sql("SELECT page_id, score, grade, issues, passed FROM p_links", *PAGE, ANCHORS, P_LINKS),
     "scr_grades": f"SELECT event_id, score, {grade_of('score')} AS grade, {label_of('score')} AS label FROM (SELECT event_id, {norm('value', 85)} AS score FROM events)",
     "scr_weighted": "SELECT event_id, "
-    + weighted({n: f"(value + user_id % {10 + i})" for i, n in enumerate(PILLAR_WEIGHTS)})
+    + weighted({n: f"(value + user_id % {10 + i})" for i, n in enumerate(literals.PILLAR_WEIGHTS)})
     + " AS overall FROM events",
     "scr_site_technical": sql("SELECT site, score, grade, issues, passed FROM p_site_tech", *CORE, SITE_TECH, P_SITE_TECH, tables=ALL),
     "scr_authority": sql("SELECT domain, provider, educational_mode, score, grade, issues, passed FROM auth_msg", AUTHORITY, tables=ALL),
@@ -668,7 +665,7 @@ ORACLE = {
         *PAGE,
     ),
     "scr_page_scores": sql(
-        f"SELECT page_id, overall, {grade_of('overall')} AS grade, {label_of('overall')} AS label, {', '.join(PILLAR_WEIGHTS)} FROM page_score",
+        f"SELECT page_id, overall, {grade_of('overall')} AS grade, {label_of('overall')} AS label, {', '.join(literals.PILLAR_WEIGHTS)} FROM page_score",
         *SCORE, *PILLARS, AUTHORITY, PAGE_SCORE, tables=ALL,
     ),
     "scr_single_page": sql(

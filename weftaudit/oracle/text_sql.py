@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftaudit.functions import text, urls
+from weftaudit.oracle import literals
 from weftaudit.oracle.base import (
     PAGE, TOKENS, collapse, crawl_key, graph_key, in_list, netloc, plain_path, q, resolve, round2, sql, strip, unsplit, up,
 )
@@ -43,7 +43,7 @@ LABEL = f"CASE WHEN len({LABELS}) >= 2 THEN {LABELS}[-2] ELSE {LABELS}[1] END"
 
 DOC_WORDS = f"""
 d AS (SELECT doc_id, source, text FROM documents),
-wl AS (SELECT doc_id, regexp_extract_all(lower(text), {q(text.WORD_RE)}) AS ws FROM d),
+wl AS (SELECT doc_id, regexp_extract_all(lower(text), {q(literals.WORD_RE)}) AS ws FROM d),
 w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM wl)
 """
 
@@ -75,7 +75,7 @@ syl AS (
 )
 """
 
-STOPS = in_list(text.PHRASE_STOP_WORDS)
+STOPS = in_list(literals.PHRASE_STOP_WORDS)
 LONG_TAIL = f"""
 lw AS (SELECT doc_id, list_transform(ws, lambda x: lower(x)) AS ws FROM pw WHERE len(ws) >= 4),
 one AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM lw),
@@ -188,8 +188,8 @@ ORACLE = {
     ),
     "url_classes": sql(
         f"""SELECT page_id, n, ({netloc(S)} = {netloc('base_url')} OR {netloc(S)} = '') AS internal,
-        url <> '' AND {lower_up(S, 1)} IN ('http', 'https', '') AND NOT regexp_matches(lower({plain_path(up(S, 3))}), {q(urls.SKIPPED_EXTENSION_RE)}) AS crawlable,
-        url <> '' AND NOT regexp_matches(url, {q(urls.SKIPPED_HREF_RE)}) AS link_href,
+        url <> '' AND {lower_up(S, 1)} IN ('http', 'https', '') AND NOT regexp_matches(lower({plain_path(up(S, 3))}), {q(literals.SKIPPED_EXTENSION_RE)}) AS crawlable,
+        url <> '' AND NOT regexp_matches(url, {q(literals.SKIPPED_HREF_RE)}) AS link_href,
         {lower_up('abs', 1)} IN ('http', 'https') AS plain_href
         FROM (SELECT *, {ABS} AS abs FROM url_samples)""",
         tables=SAMPLES,
@@ -212,7 +212,7 @@ ORACLE = {
         "SELECT doc_id, CAST(len(ws) AS BIGINT) AS word_count, array_to_string(ws, ' ') AS words FROM wl", DOC_WORDS, tables=()
     ),
     "txt_top_keywords": sql(
-        top("TRUE", f"word NOT IN {in_list(text.KEYWORD_STOP_WORDS)} AND length(word) > 2"), DOC_WORDS, tables=()
+        top("TRUE", f"word NOT IN {in_list(literals.KEYWORD_STOP_WORDS)} AND length(word) > 2"), DOC_WORDS, tables=()
     ),
     "txt_plain_keywords": sql(top("regexp_matches(word, '^[a-z]{3,}$')", "TRUE"), DOC_WORDS, tables=()),
     "txt_primary_keyword": sql(
@@ -263,10 +263,10 @@ ORACLE = {
         FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(word) ORDER BY r) AS fr
           FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS r
             FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos
-                  FROM (SELECT doc_id, regexp_extract_all(text, {q(text.WORD_RE)}) AS ws FROM documents)) GROUP BY doc_id, word))
+                  FROM (SELECT doc_id, regexp_extract_all(text, {q(literals.WORD_RE)}) AS ws FROM documents)) GROUP BY doc_id, word))
         GROUP BY doc_id""",
     "txt_alt_checks": sql(
-        f"""SELECT page_id, index, regexp_matches(trim(alt || CASE WHEN page_id % 2 = 0 THEN '.jpg' ELSE '' END), {q(text.FILENAME_ALT_RE)}) AS filename_alt,
+        f"""SELECT page_id, index, regexp_matches(trim(alt || CASE WHEN page_id % 2 = 0 THEN '.jpg' ELSE '' END), {q(literals.FILENAME_ALT_RE)}) AS filename_alt,
         alt <> '' AND length(trim(alt)) < 5 AS short_alt
         FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS index, coalesce(alt, '') AS alt FROM tag_attr
               WHERE tag = 'img' AND kind = 'open')""",
@@ -287,6 +287,6 @@ ORACLE["txt_body_keywords"] = sql(
     TOKENS, BODY_TEXT,
     f"""bw AS (SELECT page_id, word, pos FROM (
       SELECT page_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos
-      FROM (SELECT page_id, regexp_extract_all(lower(body_text), {q(text.WORD_RE)}) AS ws FROM body))
+      FROM (SELECT page_id, regexp_extract_all(lower(body_text), {q(literals.WORD_RE)}) AS ws FROM body))
       WHERE regexp_matches(word, '^[a-z]{{3,}}$'))""",
 )
