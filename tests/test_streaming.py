@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from weftaudit.operators import ops
+from weftaudit.operators import ops, scoring
 from weftaudit.operators.facts import page_facts
 from weftaudit.sources import pages as src
 from weftaudit.sources.tables import derived, table
@@ -28,6 +28,18 @@ def test_page_audit_stream(spark, sf, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_scores_are_stored_once(spark, sf, tmp_path):
+    derived(spark, sf, "pages_raw").where("page_id < 12").repartition(2).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing new
+        rows = jobs.scored_stream(jobs.stream_snapshots(spark, str(tmp_path / "in"), 1), derived(spark, sf, "site_meta"))
+        jobs.store_stream(rows.select("page_id", "on_page_seo.score"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {r["page_id"]: r["score"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    facts = page_facts(derived(spark, sf, "pages_raw").where("page_id < 12")).withColumn("broken_count", F.lit(0).cast("bigint"))
+    want = scoring.page_pillars(scoring.scoring_input(facts, derived(spark, sf, "site_meta"), whole_site=False))
+    assert got == {r["page_id"]: r["score"] for r in want.select("page_id", "on_page_seo.score").collect()} and len(got) == 12
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 12
+
+
 def test_event_windows_stream(spark, sf, tmp_path):
     table(spark, sf, "events").write.parquet(str(tmp_path / "ev"))
     got = drain(jobs.event_windows(jobs.read_events(spark, str(tmp_path / "ev"))), "complete", "windows", spark)

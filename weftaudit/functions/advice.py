@@ -6,6 +6,7 @@ from __future__ import annotations
 SEVERITIES = ["Critical", "High", "Medium", "Low"]
 VAGUE_ANCHORS = ["click here", "here", "read more", "learn more", "more"]
 
+# Places and steps that several rules share.
 _TITLE_PLACE = "In your HTML <head> section, replace the existing <title> tag (or add one before </head>)"
 _TITLE_STEPS = {
     "wordpress": "Dashboard → Pages → Edit page → SEO settings or theme header → paste the suggested title in the SEO/Page Title field.",

@@ -51,10 +51,6 @@ def percent0(ratio: Column) -> Column:
     return F.concat(F.rint(ratio * 100.0).cast("bigint").cast("string"), F.lit("%"))
 
 
-def text_of(value: Column) -> Column:
-    return value.cast("string")
-
-
 def say(*parts: Column | str) -> Column:
     """Concatenate literals and Columns into one string."""
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])

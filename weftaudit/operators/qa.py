@@ -139,6 +139,7 @@ def cms_named(message: Column, site_cms: Column) -> Column:
 @cache
 def action_plan() -> Column:
     first = lambda k: F.get(F.col(k), F.lit(0))
+    # The lines of the plan.
     return messages(
         (first("critical").isNotNull(), say("Phase 1: resolve critical issues such as ", first("critical"))),
         (first("warnings").isNotNull(), say("Phase 2: clean up warning-level items like ", first("warnings"))),

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftaudit.functions import advice, text, urls
@@ -301,10 +301,12 @@ def broken_rules(broken: DataFrame) -> DataFrame:
         F.when(collapse(F.col("text")) != "", collapse(F.col("text"))).otherwise(F.lit("this link")),
         " → ", F.col("target"), " (", F.col("status_code"), ")",
     )
-    per_page = broken.groupBy("site", "page_id", "url").agg(
-        F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))).alias("items")
+    place = F.row_number().over(Window.partitionBy("site", "page_id", "url").orderBy("rank"))
+    first = broken.withColumn("_place", place).where("_place <= 5")  # the others are dropped before their texts are gathered
+    per_page = first.groupBy("site", "page_id", "url").agg(
+        F.sort_array(F.collect_list(F.struct("_place", item.alias("item")))).alias("items")
     )
-    listed = F.array_join(F.transform(F.slice("items", 1, 5), lambda i: i["item"]), "; ")
+    listed = F.array_join(F.transform("items", lambda i: i["item"]), "; ")
     return per_page.select(
         "site", "page_id", F.col("url").alias("page_url"), F.lit(100000).cast("bigint").alias("ord"),
         F.lit("broken_links").alias("rule"), F.lit("High").alias("severity"),

@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 from weftaudit.functions.common import messages, say
 from weftaudit.operators.rows import unrolled
 
-SUMMARY_COLUMNS = [
-    "total_pages_analyzed", "total_images", "images_without_alt", "total_internal_links", "total_external_links",
-    "broken_links_found", "avg_word_count",
-]
-
-
 def site_summary(facts: DataFrame, count_broken: bool = False, include_failed: bool = False) -> DataFrame:
     """Seven figures per site. The platform reports no broken links here, the crawl tool sums them."""
     rows = facts if include_failed else facts.where("fetched")

@@ -23,8 +23,6 @@ from weftaudit.operators.rows import unrolled
 from weftaudit.operators.topics import page_text, primary_keyword
 from weftaudit.sources.shared import materialised
 
-META_COLUMNS = ["primary_keyword", "https", "has_robots", "has_sitemap", "meta_load_time"]
-
 # Fixed value: elements that count for the semantic share.
 SEMANTIC_TARGETS = ["header", "main", "footer", "nav", "article", "section"]
 
@@ -484,7 +482,3 @@ def site_scores(
     return rows.withColumn("overall", overall).select(
         "*", grade(F.col("overall")).alias("grade"), label(F.col("overall")).alias("label")
     )
-
-
-def authority_of_sites(facts: DataFrame, metrics: DataFrame) -> DataFrame:
-    return authority_scores(facts.select(F.col("site").alias("domain")).distinct(), metrics)

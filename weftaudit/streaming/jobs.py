@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from weftaudit.operators import scoring
 from weftaudit.operators.facts import page_facts
 from weftaudit.operators.ops import events_per_window
 from weftaudit.sources.pages import PAGES_RAW, page_snapshots
@@ -30,6 +31,22 @@ def audit_stream(snapshots: DataFrame) -> DataFrame:
     return page_facts(snapshots)
 
 
+def scored_stream(snapshots: DataFrame, site_meta: DataFrame) -> DataFrame:
+    """Pillar scores of each new page that read the page alone; the stored site facts are joined to the stream.
+
+    Openings that other pages repeat, broken links and authority need the whole site and
+    come from the batch job.
+    """
+    facts = page_facts(snapshots).withColumn("broken_count", F.lit(0).cast("bigint"))
+    return scoring.page_pillars(scoring.scoring_input(facts, site_meta, whole_site=False))
+
+
+def store_stream(rows: DataFrame, path: str, checkpoint: str):
+    """Append a stream to parquet files, with the checkpoint folder that makes each row appear once."""
+    writer = rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 def job_progress(log: DataFrame, delay: str = "1 day", keep_ms: int = 86_400_000) -> DataFrame:
     """Newest state per job in update mode; ``log`` has job_id, status, progress and ts.
 
