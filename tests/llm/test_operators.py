@@ -133,6 +133,13 @@ def test_winnowing_against_plain_windows():
         assert set(winnow_(a + common)[0]) & set(winnow_(common + b)[0])
 
 
+def test_rolling_hashes_do_not_depend_on_blocks(monkeypatch):
+    points = code_points("".join(random.Random(9).choice("abcé🙂") for _ in range(500)))
+    whole = RollingHash(7)(points)
+    monkeypatch.setattr(RollingHash, "BLOCK", 40)
+    assert len(whole) == 494 and (RollingHash(7)(points) == whole).all()
+
+
 def test_comparison_with_the_next_document(spark, texts):
     texts = [*texts, (None, "no id")]
     order = sorted(texts, key=lambda r: (r[0] is None, -(r[0] or 0)))

@@ -38,6 +38,8 @@ class RollingHash:
     """
 
     BASE = 0x9E3779B97F4A7C15
+    #: Code points worked on at a time: what is needed besides the result stays small for a text of any length.
+    BLOCK = 1 << 20
 
     def __init__(self, k: int) -> None:
         self.k = k
@@ -54,13 +56,16 @@ class RollingHash:
 
     def __call__(self, points: np.ndarray) -> np.ndarray:
         """One hash for each start; empty if the text is shorter than ``k``."""
-        n = len(points)
-        if n < self.k:
+        n = len(points) - self.k + 1
+        if n <= 0:
             return np.empty(0, dtype=np.uint64)
-        self._grow(n)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * self.powers[:n], out=sums[1:])
-        return mix((sums[self.k :] - sums[: -self.k]) * self.inverse[: n - self.k + 1])
+        if n > self.BLOCK:
+            blocks = range(0, n, self.BLOCK)
+            return np.concatenate([self(points[a : a + self.BLOCK + self.k - 1]) for a in blocks])
+        self._grow(len(points))
+        sums = np.zeros(len(points) + 1, dtype=np.uint64)
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * self.powers[: len(points)], out=sums[1:])
+        return mix((sums[self.k :] - sums[: -self.k]) * self.inverse[:n])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
