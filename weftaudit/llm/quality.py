@@ -165,11 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text", "n_chars")
     found = rows.mapInArrow(_featurised, "doc_id long, quality int, at binary, x binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["at"]))
-    machine = FactorisationMachine.start()
     if not found:
-        return machine
+        return FactorisationMachine(0.0, np.zeros(N_FEATURES), np.zeros((N_FEATURES, FACTORS)))
     data = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(np.float64)) for r in found]
-    return machine.fit(data, np.array([float(r["quality"] > 0) for r in found]), epochs=max(4, min(30, 40_000 // len(found))))
+    return FactorisationMachine.start().fit(data, np.array([float(r["quality"] > 0) for r in found]), epochs=max(4, min(30, 40_000 // len(found))))
 
 
 def score_documents(docs: DataFrame, machine: FactorisationMachine) -> DataFrame:
