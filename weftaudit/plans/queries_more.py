@@ -436,8 +436,8 @@ def src_report_lines(spark, sf):
     path = shared.fresh_path(spark, "report")
     f = materialised(facts(spark, sf))
     src.write_report(src.report_heads(_assembled(spark, sf, f)), src.report_pages(f), path)
-    lines = spark.read.text(f"{path}/pages")
-    page = lines.select("site", F.from_json("value", src.REPORT_PAGE).alias("p"))
+    lines = spark.read.schema("site string, page string").json(f"{path}/pages")
+    page = lines.select("site", F.from_json("page", src.REPORT_PAGE).alias("p"))
     return page.select("site", "p.url", "p.status_code", "p.title", "p.word_count", "p.image_count", "p.load_time")
 
 

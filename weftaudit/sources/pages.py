@@ -76,15 +76,31 @@ def page_payload(rows: DataFrame, payload: str, columns: list[str]) -> DataFrame
     return parsed.select(*others, *[F.coalesce(F.col("_p")[c], F.col(c)).alias(c) for c in columns])
 
 
+#: Folders into which the sites of a store are hashed, however many sites there are.
+SITE_BUCKETS = 64
+
+
+def site_bucket(site: Column) -> Column:
+    return F.pmod(F.xxhash64(site), F.lit(SITE_BUCKETS)).cast("int")
+
+
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    """Rows with their folder, brought together so that each folder gets few files; large folders are split by size."""
+    return rows.withColumn("site_bucket", site_bucket(F.col("site"))).hint("rebalance", "site_bucket")
+
+
 def write_results(facts: DataFrame, path: str) -> None:
-    """Page results by site, nested values kept typed."""
-    facts.write.mode("append").partitionBy("site").parquet(path)
+    """Page results in folders of hashed sites, nested values kept typed."""
+    _by_bucket(facts).write.mode("append").partitionBy("site_bucket").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str, site: str | None = None) -> DataFrame:
-    """Stored results; a site reads its partition only."""
+    """Stored results; a site reads its folder only."""
     stored = spark.read.parquet(path)
-    return stored if site is None else stored.where(F.col("site") == site)
+    if site is not None:
+        bucket = spark.range(1).select(site_bucket(F.lit(site))).first()[0]
+        stored = stored.where((F.col("site_bucket") == bucket) & (F.col("site") == site))
+    return stored.drop("site_bucket")
 
 
 def report_pages(facts: DataFrame) -> DataFrame:
@@ -113,10 +129,10 @@ def report_heads(assembled: DataFrame) -> DataFrame:
 def write_report(heads: DataFrame, pages: DataFrame, path: str) -> None:
     """JSON report of many sites: ``heads`` has one line per site, ``pages`` one per page.
 
-    Both are split by site, so a site of any size is written by many tasks.
+    Both are JSON lines in folders of hashed sites, so a site of any size is written by many tasks.
     """
-    heads.write.mode("overwrite").partitionBy("site").text(f"{path}/heads")
-    pages.select("site", "page").write.mode("overwrite").partitionBy("site").text(f"{path}/pages")
+    for rows, name in ((heads.select("site", "head"), "heads"), (pages.select("site", "page"), "pages")):
+        _by_bucket(rows).write.mode("overwrite").partitionBy("site_bucket").json(f"{path}/{name}")
 
 
 SITE_META = (
