@@ -16,7 +16,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
-from weftaudit.llm import bpe, decontaminate, extract, lines, lm, quality, secrets, simhash, tokenfile, winnow  # noqa: E402
+from weftaudit.llm import bpe, common, decontaminate, extract, lines, lm, quality, secrets, simhash, tokenfile, winnow  # noqa: E402
 from weftaudit.llm.common import RollingHash, code_points  # noqa: E402
 from weftaudit.llm.queries import tokenizer_file  # noqa: E402
 
@@ -89,6 +89,13 @@ def test_simhash_of_nulls_and_repeats(spark):
     assert simhash.simhash_components(frame(spark, [])).count() == 0
 
 
+def test_without_ids_either_way(spark, monkeypatch):
+    docs, ids = frame(spark, [(1, "a"), (2, "b"), (2, "c"), (None, "d"), (4, None)]), spark.createDataFrame([(2,), (2,), (None,), (9,)], "doc_id long")
+    for most in (10, 1):
+        monkeypatch.setattr(common, "BROADCAST_IDS", most)
+        assert sorted((r["doc_id"] or -1) for r in common.without_ids(docs, ids).collect()) == [-1, 1, 4]
+
+
 def test_covering_masks_miss_no_pair():
     rnd = random.Random(2)
     free = list(range(64))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftaudit.sources.shared import materialised
+
 #: Rows turned into Python objects at a time inside a task.
 SLICE = 256
 
@@ -18,6 +20,21 @@ def doc_crc(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
+#: Ids that are sent to every task at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not among ``ids`` (column doc_id); null ids stay.
+
+    The ids are stored and counted first. Few enough are broadcast, so that no text is
+    shuffled; any larger number takes a merge join with the same result.
+    """
+    gone = materialised(ids.filter("doc_id is not null").select(F.col("doc_id").alias("__doc")).distinct())
+    way = "broadcast" if gone.count() <= BROADCAST_IDS else "merge"
+    return docs.join(gone.hint(way), docs["doc_id"] == gone["__doc"], "left_anti")
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches, so that only a few texts at a time are Python objects."""
     for batch in batches:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftaudit.llm.common import mix, slices
+from weftaudit.llm.common import mix, slices, without_ids
 
 WINDOW = 5
 #: An item is found if this share of its windows is, or a run of so many words in a row.
@@ -229,5 +229,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item; rows without an id stay, as none can be named."""
-    ids = contaminated(docs, benchmark).filter("doc_id is not null").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(ids, docs["doc_id"] == ids["__doc"], "left_anti")
+    return without_ids(docs, contaminated(docs, benchmark))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftaudit.llm.common import slices
+from weftaudit.llm.common import slices, without_ids
 from weftaudit.sources.shared import materialised
 
 RADIUS = 4
@@ -241,10 +241,9 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     Of rows that repeat this id one stays. Rows without an id cannot be named by a component,
     so all of them stay.
     """
-    kept = simhash_components(docs, radius, shingle).filter(F.col("doc_id") == F.col("component_id"))
-    chosen = materialised(kept.groupBy(F.col("doc_id").alias("__doc")).agg(F.count(F.lit(1)).alias("__rows")))
-    rows = docs.join(chosen.select("__doc"), docs["doc_id"] == chosen["__doc"], "left")
-    rows = rows.filter(F.col("__doc").isNotNull() | F.col("doc_id").isNull()).drop("__doc")
-    if not chosen.filter("__rows > 1").take(1):
+    found = materialised(simhash_components(docs, radius, shingle))
+    rows = without_ids(docs, found.filter("doc_id <> component_id"))
+    repeated = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeated.take(1):
         return rows
     return rows.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id is null"))
