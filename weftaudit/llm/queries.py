@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftaudit.llm import bpe, decontaminate, extract, lines, lm, quality, secrets, simhash, tokenfile, winnow
+from weftaudit.llm import bpe, centroids, decontaminate, divergence, exact, extract, lines, lm, quality, secrets, simhash, tokenfile, winnow
+from weftaudit.llm.oracle import DIVERGENCES, EXACT_COPIES, LINES, centroid_rounds
 
 
 def tokenizer_file(name: str) -> str:
@@ -66,6 +67,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read(keys).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings")).report()
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.find_copies(_table(spark, sf_dir, "documents")).drop("row")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -74,25 +87,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_decontamination, op3_quality, op4_bpe, op5_winnowing, op6_simhash, op7_main_text, op8_language_model,
-        op9_secrets, op10_token_files, pipeline,
+        op9_secrets, op10_token_files, op11_centroid_clustering, op12_exact_dedup, op13_source_divergence, pipeline,
     )
 }
 
-_LINES = r"""
-WITH numbered AS (
-  SELECT doc_id, unnest(list) AS line, generate_subscripts(list, 1) AS pos
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS list FROM documents)
-), keyed AS (
-  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM numbered
-), repeated AS (
-  SELECT key, max(doc_id) AS keep FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
-), marked AS (
-  SELECT k.*, r.key IS NOT NULL AND k.doc_id <> r.keep AS dropped FROM keyed k LEFT JOIN repeated r USING (key)
-)
-SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (dropped) AS BIGINT) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
-"""
-
-ORACLE: dict[str, str] = {"op1_line_dedup": _LINES}
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": LINES,
+    "op11_centroid_clustering": centroid_rounds(),
+    "op12_exact_dedup": EXACT_COPIES,
+    "op13_source_divergence": DIVERGENCES,
+}
