@@ -27,6 +27,14 @@ from weftaudit.sources.shared import materialised
 SEMANTIC_TARGETS = ["header", "main", "footer", "nav", "article", "section"]
 
 
+#: The facts that pillars, site figures and the link graph read; the other half is not computed for scores.
+SCORE_FACTS = [
+    "page_id", "site", "url", "title", "meta_description", "canonical_url", "h1_count", "heading_counts", "headings", "images", "inline_color",
+    "internal_count", "external_count", "json_ld", "links", "load_time", "open_graph", "semantic_elements", "structure", "text_content", "top_keywords",
+    "twitter_card", "viewport", "word_count",
+]
+
+
 def valid_hierarchy(counts: Column) -> Column:
     """Some heading is there and no level between the present ones is missing."""
     return F.exists(counts, lambda n: n > 0) & ~level_gap(counts)
@@ -283,12 +291,19 @@ def scoring_input(facts: DataFrame, site_meta: DataFrame, whole_site: bool = Tru
     return measured.withColumn("duplicated", F.lit(False))
 
 
-def page_pillars(scored_input: DataFrame) -> DataFrame:
-    """The five pillars that read one page."""
+def page_pillars_either_way(scored_input: DataFrame) -> DataFrame:
+    """The pillars of pages without a shared opening, ``content_if_shared``, the content pillar with one, and the opening."""
+    shared = scored_input.withColumn("duplicated", F.lit(True)).withColumn("content_if_shared", _content())
+    return page_pillars(shared.withColumn("duplicated", F.lit(False)), "content_if_shared", "opening")
+
+
+def page_pillars(scored_input: DataFrame, *more: str) -> DataFrame:
+    """The five pillars that read one page, and the columns named in ``more``."""
     return scored_input.select(
         "site",
         "page_id",
         "url",
+        *more,
         _on_page().alias("on_page_seo"),
         _content().alias("content_quality"),
         _technical().alias("technical_seo"),

@@ -552,7 +552,16 @@ ORACLE = {
         tables=("chat_messages",),
     ),
     "win_page_numbers": sql("SELECT site, page_id, row_number() OVER (PARTITION BY site ORDER BY page_id) AS number FROM pages_raw"),
-    "str_event_windows": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS entries FROM events GROUP BY ALL",
+    # The watermark of a landing is the latest time of the landings before it less an hour. A row is dropped if its day has
+    # ended by then; a day is given out if it has ended by the last watermark.
+    "str_event_windows": sql(
+        """SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS entries FROM event_landings e JOIN mark USING (landing)
+        WHERE (before IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > before)
+          AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM event_landings) GROUP BY ALL""",
+        """mark AS (SELECT landing, (SELECT max(ts) - INTERVAL 1 HOUR FROM event_landings x WHERE x.landing < l.landing) AS before
+          FROM (SELECT DISTINCT landing FROM event_landings) l)""",
+        tables=("event_landings",),
+    ),
     "src_snapshots": f"""SELECT page_id, {netloc('url')} AS site, url, length(html) AS html_length, CAST(CASE WHEN coalesce(html, '') = '' THEN 0 ELSE 200 END AS BIGINT) AS status_code,
         CAST(0 AS BIGINT) AS depth, CAST(NULL AS DOUBLE) AS load_time, CASE WHEN coalesce(html, '') = '' THEN 'Failed to fetch' END AS error FROM pages""",
     "src_site_meta": sql("SELECT * FROM site_meta", tables=("site_meta",)),

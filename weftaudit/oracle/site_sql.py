@@ -699,3 +699,4 @@ ORACLE = {
         *PAGE, CRAWL, tables=ALL,
     ),
 }
+ORACLE["str_page_audit"] = ORACLE["scr_page_scores"]  # the stream ends with the scores of the batch job

@@ -110,6 +110,19 @@ SELECT user_id AS job_id, CASE WHEN event_id % 11 = 0 THEN 'completed' WHEN even
 FROM events
 """
 
+# Rows land by thirds of the month, up to 19 hours late; nothing is later than the streams wait for.
+_LANDING = "CAST(least(2, floor((day(ts + CASE event_id % 4 WHEN 0 THEN INTERVAL '0' HOUR WHEN 1 THEN INTERVAL '3' HOUR WHEN 2 THEN INTERVAL '11' HOUR ELSE INTERVAL '19' HOUR END) - 1) / 10)) AS BIGINT)"
+
+JOB_LOG_LANDINGS = JOB_LOG.replace("ts\nFROM", f"ts, {_LANDING} AS landing\nFROM")
+AUDIT_LANDINGS = AUDIT_HISTORY.replace("SELECT user_id", f"SELECT {_LANDING} AS landing, user_id")
+
+# Events that land by thirds of the month; every 53rd comes a third later, mostly after its day was closed.
+EVENT_LANDINGS = """
+SELECT event_id, ts, user_id, event_type, value, props,
+  CAST(least(2, floor((day(ts) - 1) / 10) + CASE WHEN event_id % 53 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS landing
+FROM events
+"""
+
 # Messages with English words added to every stored turn, as the stored text is invented, and blank messages between them.
 CHAT_MESSAGES = """
 SELECT conv_id, turn, role,
@@ -159,6 +172,9 @@ DERIVED = {
     "audit_history": AUDIT_HISTORY,
     "jobs": JOBS,
     "job_log": JOB_LOG,
+    "job_log_landings": JOB_LOG_LANDINGS,
+    "audit_landings": AUDIT_LANDINGS,
+    "event_landings": EVENT_LANDINGS,
     "chat_messages": CHAT_MESSAGES,
 }
 NEEDS = {"pages_raw": ["pages_enriched"], "link_status": ["pages_enriched"]}

@@ -313,18 +313,6 @@ def sort_owner_jobs(spark, sf):
     return ops.list_jobs(derived(spark, sf, "jobs"), owner=7, limit=10, offset=2).select("job_id", "owner", "created_at")
 
 
-def str_job_progress(spark, sf):
-    """What the progress stream holds once all rows have come."""
-    from weftaudit.streaming.jobs import TERMINAL
-
-    return ops.latest_progress(derived(spark, sf, "job_log"), TERMINAL)
-
-
-def str_audit_alerts(spark, sf):
-    """What the alert stream has given out once all audits have come."""
-    return ops.audit_alerts(derived(spark, sf, "audit_history"))
-
-
 def win_audit_changes(spark, sf):
     return ops.audit_changes(derived(spark, sf, "audit_history"))
 
@@ -346,11 +334,6 @@ def win_page_numbers(spark, sf):
     return numbered(rows, "site", "page_id", "number", bucket=16)
 
 
-def str_event_windows(spark, sf):
-    """Batch twin of the streaming window count."""
-    return ops.events_per_window(table(spark, sf, "events"), "ts", "event_type")
-
-
 # Sources, sinks and sets
 
 
@@ -475,5 +458,5 @@ def join_assembly(spark, sf):
 QUERIES = {
     name: fn
     for name, fn in list(globals().items())
-    if name.startswith(("rec_", "rpt_", "qa_", "ops_", "sort_", "win_", "str_", "src_", "set_", "join_", "snk_")) and callable(fn)
+    if name.startswith(("rec_", "rpt_", "qa_", "ops_", "sort_", "win_", "src_", "set_", "join_", "snk_")) and callable(fn)
 }

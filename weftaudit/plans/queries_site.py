@@ -23,14 +23,6 @@ def _status(spark, sf):
     return derived(spark, sf, "link_status")
 
 
-#: The facts that pillars, site figures and the link graph read; the other half is not computed for scores.
-SCORE_FACTS = [
-    "page_id", "site", "url", "title", "meta_description", "canonical_url", "h1_count", "heading_counts", "headings", "images", "inline_color",
-    "internal_count", "external_count", "json_ld", "links", "load_time", "open_graph", "semantic_elements", "structure", "text_content", "top_keywords",
-    "twitter_card", "viewport", "word_count",
-]
-
-
 def counted_facts(spark, sf, sample=None, once=False, columns=None):
     """Stored facts (all, or the named ones) with the number of broken links of each page."""
     f = facts(spark, sf)
@@ -173,7 +165,7 @@ def agg_pillar_messages(spark, sf):
 
 
 def _pillars(spark, sf, whole_site=True):
-    f = counted_facts(spark, sf, columns=SCORE_FACTS)
+    f = counted_facts(spark, sf, columns=scoring.SCORE_FACTS)
     return scoring.page_pillars(scoring.scoring_input(f, _meta(spark, sf), whole_site))
 
 
@@ -256,7 +248,7 @@ def scr_single_page(spark, sf):
 
 
 def scr_site_scores(spark, sf):
-    f = counted_facts(spark, sf, columns=SCORE_FACTS)
+    f = counted_facts(spark, sf, columns=scoring.SCORE_FACTS)
     meta = _meta(spark, sf)
     pages = scoring.page_pillars(scoring.scoring_input(f, meta))
     return scoring.site_scores(

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftaudit.plans import queries_html, queries_more, queries_site, queries_text
+from weftaudit.plans import queries_html, queries_more, queries_site, queries_streams, queries_text
 
 QUERIES = {
     **queries_html.QUERIES,
     **queries_text.QUERIES,
     **queries_site.QUERIES,
     **queries_more.QUERIES,
+    **queries_streams.QUERIES,
 }
 
 
