@@ -206,22 +206,43 @@ def corpus():
 
 
 @pytest.mark.parametrize("spill, tile, block", [(divergence.SPILL, divergence.TILE, divergence.BLOCK), (25, 2, 7)])
-def test_divergences_match_plain_counts(spark, monkeypatch, spill, tile, block):
-    monkeypatch.setattr(divergence, "BLOCK", block)
+def test_divergences_match_plain_counts(spark, spill, tile, block):
     rows = corpus()
     frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "lang string, source string, text string, term string, df int").repartition(4)
-    got = divergence.divergences(frame, min_docs=8, top=5, spill=spill, tile=tile).collect()
+    got = divergence.divergences(frame, min_docs=8, top=5, spill=spill, tile=tile, block=block).collect()
     assert sorted(tuple(r) for r in got) == plain_divergences(rows, 8, 5)
 
 
-def test_words_do_not_depend_on_blocks(monkeypatch):
+def test_stripes_do_not_depend_on_blocks_and_spills():
     rnd = random.Random(5)
     text = "".join(rnd.choice(["a", "Éé", " ", "  ", "9", "z" * 30, "\n"]) for _ in range(400))
-    want = [w.encode() for w in WORD.findall(text.translate(LOWER))]
-    for block in (1, 2, 3, 8, 31, 1000):
-        monkeypatch.setattr(divergence, "BLOCK", block)
-        assert [w for part in divergence.words(text.encode()) for w in part] == want
-    assert list(divergence.words(b"")) == []
+    want = Counter(WORD.findall(text.translate(LOWER)))
+    for block in (1, 2, 3, 8, 31, 100_000):
+        held = divergence.Stripes(1000, block)
+        held.add("en", "a", text.encode())
+        held.add("en", "b", b"")
+        (rows,) = held.spill()
+        assert {t: c[0] for t, c in zip(rows["term"].to_pylist(), rows["counts"].to_pylist())} == want
+        assert set(rows["df"].to_pylist()) == {1} and list(held.spill()) == []
+
+
+def test_sorted_partial_stripes_merge_across_batches():
+    rnd = random.Random(6)
+    partial = [(rnd.choice("de"), f"t{rnd.randint(0, 9)}", rnd.randint(1, 4), rnd.sample("abc", 2), [1, rnd.randint(1, 9)]) for _ in range(80)]
+    partial.sort(key=lambda r: r[:2])
+    want = {}
+    for lang, term, df, sources, counts in partial:
+        old = want.setdefault((lang, term), [0, Counter()])
+        old[0] += df
+        old[1].update(dict(zip(sources, counts)))
+    for size in (1, 2, 7, 80):
+        batches = [
+            divergence.pa.RecordBatch.from_pylist([dict(zip(divergence._STRIPE.names, r)) for r in partial[i : i + size]], divergence._STRIPE)
+            for i in range(0, 80, size)
+        ]
+        rows = [r for b in divergence._merge(9)(iter(batches)) for r in b.to_pylist()]
+        got = {(r["lang"], r["term"]): [r["df"], Counter(dict(zip(r["sources"], r["counts"])))] for r in rows}
+        assert got == {k: v for k, v in want.items() if v[0] >= 9} and len(rows) == len(got)
 
 
 def test_likelihoods_beyond_64_bits():

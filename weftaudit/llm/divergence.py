@@ -13,11 +13,12 @@ its key is one stripe per partition and spill, however often it occurs.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +30,9 @@ SMOOTHING = 5
 SCALE = 1_000_000_000
 TOP = 50
 #: Entries (lang, source, term) that a task holds before it spills.
-SPILL = 400_000
-#: Bytes of a text that are split into words at a time.
-BLOCK = 1 << 20
+SPILL = 1_000_000
+#: Bytes of texts that are split into words at a time.
+BLOCK = 4 << 20
 #: Stripes that are given out or worked on together.
 ROWS = 2048
 #: Sources whose differences a task holds as one square.
@@ -48,112 +49,190 @@ _STRIPE = pa.schema(
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def words(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a UTF-8 text, block by block; ASCII other than letters separates them."""
+def tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of UTF-8 texts, one after the other, and the number of the text of each; ASCII other than letters separates."""
+    joined = np.frombuffer(b" ".join(texts).translate(_WORDS), dtype=np.uint8)
+    letter = joined != 32
+    edge = np.diff(letter.astype(np.int8), prepend=0, append=0)
+    starts = np.flatnonzero(edge == 1)
+    ends = np.concatenate([[0], np.cumsum(np.flatnonzero(edge == -1) - starts)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(joined[letter])])
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    return words, np.searchsorted(begin, starts, side="right") - 1
+
+
+def entries(texts: list[bytes], groups: np.ndarray) -> pa.Table:
+    """(group, term, docs, count) of texts: in how many texts of the group a term is, and how often."""
+    words, text = tokens(texts)
+    coded = words.dictionary_encode()
+    v = max(1, len(coded.dictionary))
+    pair, times = np.unique(text * v + coded.indices.to_numpy(), return_counts=True)
+    of, term = np.divmod(pair, v)
+    cell, at = np.unique(groups[of] * v + term, return_inverse=True)
+    count = np.zeros(len(cell), dtype=np.int64)
+    np.add.at(count, at, times)
+    group, term = np.divmod(cell, v)
+    return pa.table({"group": group, "term": coded.dictionary.take(pa.array(term)), "docs": np.bincount(at, minlength=len(cell)), "count": count})
+
+
+def _blocks(text: bytes, size: int) -> Iterator[bytes]:
+    """A long text cut at separators into blocks of ``size`` bytes or, where a word is longer, of more."""
+    separator = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]")
     at = 0
     while at < len(text):
-        end = at + BLOCK
-        part = text[at:end].translate(_WORDS)
-        if end < len(text) and not part.endswith(b" "):
-            cut = part.rfind(b" ")
-            while cut < 0 and end < len(text):  # one word longer than a block
-                part += text[end : end + BLOCK].translate(_WORDS)
-                end += BLOCK
-                cut = part.find(b" ")
-            if end < len(text) or cut >= 0:
-                end = at + cut + 1
-                part = part[: cut + 1]
-        yield part.split()
+        cut = separator.search(text, at + size)
+        end = cut.end() if cut else len(text)
+        yield text[at:end]
         at = end
 
 
 class Stripes:
-    """The hash table of one task: for each lang the document frequency of terms, and their counts by source."""
-
-    def __init__(self) -> None:
-        self.df: dict[str, Counter] = {}
-        self.counts: dict[tuple[str, str], Counter] = {}
-        self.entries = 0
-
-    def fold(self, lang: str, source: str, text: bytes) -> None:
-        counts = self.counts.setdefault((lang, source), Counter())
-        before = len(counts)
-        seen: set[bytes] = set()
-        for part in words(text):
-            counts.update(part)
-            seen.update(part)
-        self.df.setdefault(lang, Counter()).update(seen)
-        self.entries += len(counts) - before
+    """The hash table of one task: term -> (document frequency, count) for each lang and source.
+
+    Documents are counted some megabytes at a time; their entries are folded into those that
+    are there already by a hash aggregate.
+    """
+
+    def __init__(self, spill: int, block: int) -> None:
+        self.limit, self.block = spill, block
+        self._clear()
+
+    def _clear(self) -> None:
+        self.groups: dict[tuple[str, str], int] = {}
+        self.tables: list[pa.Table] = []
+        self.waiting: list[tuple[int, bytes]] = []
+        self.bytes = 0
+
+    def add(self, lang: str, source: str, text: bytes) -> None:
+        group = self.groups.setdefault((lang, source), len(self.groups))
+        if len(text) > self.block:  # counted block by block, as one document
+            parts = pa.concat_tables([entries([part], np.array([group])) for part in _blocks(text, self.block)])
+            whole = _summed(parts)
+            self.tables.append(whole.set_column(2, "docs", pa.array(np.ones(whole.num_rows, dtype=np.int64))))
+            return
+        self.waiting.append((group, text))
+        self.bytes += len(text)
+        if self.bytes >= self.block:
+            self._count()
+
+    def _count(self) -> None:
+        if self.waiting:
+            self.tables.append(entries([t for _, t in self.waiting], np.array([g for g, _ in self.waiting], dtype=np.int64)))
+            self.waiting, self.bytes = [], 0
+
+    def full(self) -> bool:
+        """Whether the table, folded together, holds more entries than half of the limit."""
+        if sum(t.num_rows for t in self.tables) < self.limit:
+            return False
+        self.tables = [_summed(pa.concat_tables(self.tables))]
+        return 2 * self.tables[0].num_rows > self.limit
 
     def spill(self) -> Iterator[pa.RecordBatch]:
         """All stripes, one for each lang and term; the table is empty afterwards."""
-        for lang, df in self.df.items():
-            held: dict[bytes, tuple[list[str], list[int]]] = {}
-            for source, counts in ((s, c) for (at, s), c in self.counts.items() if at == lang):
-                for term, count in counts.items():
-                    names, numbers = held.setdefault(term, ([], []))
-                    names.append(source)
-                    numbers.append(count)
-            terms = list(held)
-            for at in range(0, len(terms), ROWS):
-                some = terms[at : at + ROWS]
-                columns = [[lang] * len(some), some, [df[t] for t in some], [held[t][0] for t in some], [held[t][1] for t in some]]
-                columns[1] = pa.array(some, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _STRIPE)], schema=_STRIPE)
-        self.__init__()
-
-
-def _fold(spill: int):
+        self._count()
+        if self.tables:
+            table = _summed(pa.concat_tables(self.tables)).combine_chunks()
+            names = list(self.groups)
+            langs = sorted({lang for lang, _ in names})
+            lang_of = np.array([langs.index(lang) for lang, _ in names])
+            coded = table["term"].chunk(0).dictionary_encode() if table.num_rows else pa.array([], pa.binary()).dictionary_encode()
+            v, group = max(1, len(coded.dictionary)), table["group"].to_numpy()
+            key = lang_of[group] * v + coded.indices.to_numpy() if table.num_rows else np.zeros(0, dtype=np.int64)
+            order = np.argsort(key, kind="stable")
+            key, first = np.unique(key[order], return_index=True)
+            if len(key):
+                lang, term = np.divmod(key, v)
+                yield from _stripe_batches(
+                    pa.array(langs, pa.string()).take(pa.array(lang)),
+                    coded.dictionary.take(pa.array(term)).cast(pa.string()),
+                    pa.array(np.add.reduceat(table["docs"].to_numpy()[order], first)),
+                    np.append(first, len(order)).astype(np.int32),
+                    pa.array([s for _, s in names], pa.string()).take(pa.array(group[order])),
+                    pa.array(table["count"].to_numpy()[order]),
+                )
+        self._clear()
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    done = table.group_by(["group", "term"], use_threads=False).aggregate([("docs", "sum"), ("count", "sum")])
+    return done.select(["group", "term", "docs_sum", "count_sum"]).rename_columns(["group", "term", "docs", "count"])
+
+
+def _stripe_batches(lang: pa.Array, term: pa.Array, df: pa.Array, ends: np.ndarray, sources: pa.Array, counts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Stripes from columns; stripe i has the sources and counts from ``ends[i]`` to ``ends[i + 1]``."""
+    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), c) for c in (sources, counts)]
+    whole = pa.RecordBatch.from_arrays([lang, term, df, *lists], schema=_STRIPE)
+    for at in range(0, whole.num_rows, ROWS):
+        yield whole.slice(at, ROWS)
+
+
+def _fold(spill: int, block: int):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes = Stripes()
+        stripes = Stripes(spill, block)
         for batch in slices(batches):
             texts = batch["text"].cast(pa.binary())
             for lang, source, text in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), texts):
-                stripes.fold(lang, source, text.as_py())
-                if stripes.entries >= spill:
-                    yield from stripes.spill()
+                stripes.add(lang, source, text.as_py())
+            if stripes.full():
+                yield from stripes.spill()
         yield from stripes.spill()
 
     return fold
 
 
+def merged(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """One stripe for each key of a batch that is sorted by key."""
+    n = rows.num_rows
+    new = np.ones(n, dtype=bool)
+    differs = [pc.not_equal(rows[c].slice(1), rows[c].slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in ("lang", "term")]
+    new[1:] = differs[0] | differs[1]
+    first = np.flatnonzero(new)
+    if len(first) == n:
+        return rows
+    sizes = rows["sources"].value_lengths().to_numpy()
+    names = rows["sources"].flatten().dictionary_encode()
+    code = np.repeat(np.cumsum(new) - 1, sizes) * len(names.dictionary) + names.indices.to_numpy()
+    cell, at = np.unique(code, return_inverse=True)
+    counts = np.zeros(len(cell), dtype=np.int64)
+    np.add.at(counts, at, rows["counts"].flatten().to_numpy())
+    key, source = np.divmod(cell, max(1, len(names.dictionary)))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=len(first)))]).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(ends), c) for c in (names.dictionary.take(pa.array(source)), pa.array(counts))]
+    df = pa.array(np.add.reduceat(rows["df"].to_numpy(), first))
+    return pa.RecordBatch.from_arrays([rows["lang"].take(pa.array(first)), rows["term"].take(pa.array(first)), df, *lists], schema=_STRIPE)
+
+
 def _merge(min_docs: int):
-    """Partial stripes in the order of their keys become one stripe for each key; rare terms go."""
+    """Partial stripes in the order of their keys become one stripe for each key; rare terms go.
+
+    Batches are merged whole; the last key of a batch, one stripe by then, is put before the next batch.
+    """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, df, held = None, 0, {}
-        done: list[tuple] = []
+        last = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch if last is None else pa.concat_batches([last, batch.cast(_STRIPE)])
+                done = merged(rows)
+                last = done.slice(done.num_rows - 1)
+                yield _frequent(done.slice(0, done.num_rows - 1), min_docs)
+        if last is not None:
+            yield _frequent(last, min_docs)
 
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*done)) or [()] * 5
-            done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _STRIPE)], schema=_STRIPE)
+    return merge
 
-        for batch in slices(batches):
-            for lang, term, n, sources, counts in zip(*(batch[c].to_pylist() for c in _STRIPE.names)):
-                if (lang, term) != key:
-                    if key is not None and df >= min_docs:
-                        done.append((*key, df, list(held), list(held.values())))
-                    key, df, held = (lang, term), 0, {}
-                    if len(done) >= ROWS:
-                        yield flush()
-                df += n
-                for source, count in zip(sources, counts):
-                    held[source] = held.get(source, 0) + count
-        if key is not None and df >= min_docs:
-            done.append((*key, df, list(held), list(held.values())))
-        yield flush()
 
-    return merge
+def _frequent(rows: pa.RecordBatch, min_docs: int) -> pa.RecordBatch:
+    return rows.filter(pc.greater_equal(rows["df"], min_docs))
 
 
-def stripes(docs: DataFrame, min_docs: int = MIN_DOCS, spill: int = SPILL) -> DataFrame:
+def stripes(docs: DataFrame, min_docs: int = MIN_DOCS, spill: int = SPILL, block: int = BLOCK) -> DataFrame:
     """Merged stripes (lang, term, df, sources, counts) of the terms in ``min_docs`` documents or more of their lang.
 
     ``docs`` has lang, source and text; nulls count as ''. Every row is a document.
     """
     read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    partial = read.mapInArrow(_fold(spill), STRIPE)
+    partial = read.mapInArrow(_fold(spill, block), STRIPE)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = partial.repartition(parts, "lang", "term").sortWithinPartitions("lang", "term")
     return keyed.mapInArrow(_merge(min_docs), STRIPE)
@@ -278,7 +357,7 @@ def _top_terms(groups: Groups, top: int):
 
 
 def divergences(
-    docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, spill: int = SPILL, tile: int = TILE, most_groups: int = MOST_GROUPS
+    docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, spill: int = SPILL, block: int = BLOCK, tile: int = TILE, most_groups: int = MOST_GROUPS
 ) -> DataFrame:
     """(lang, source, part, item, value, rank) of every (lang, source) group of ``docs``.
 
@@ -297,7 +376,7 @@ def divergences(
     """
     spark = docs.sparkSession
     read = docs.select("lang", "source", "text")
-    merged = materialised(stripes(read, min_docs, spill))
+    merged = materialised(stripes(read, min_docs, spill, block))
     n_terms = {r["lang"]: r["n"] for r in merged.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     counts = merged.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("s"))
     totals = counts.groupBy("lang", F.col("s.sources").alias("source")).agg(F.sum("s.counts").alias("total"))
