@@ -81,17 +81,51 @@ def test_numbers_of_hashed_ids_in_one_site(spark):
     assert [r["number"] for r in rows] == list(range(1, 20_001))
 
 
-def test_depth_of_a_long_chain(spark):
-    n = 40
-    nodes = spark.createDataFrame([("s", f"n{i}") for i in range(n + 1)], "site string, node string")
-    edges = spark.createDataFrame([("s", f"n{i}", f"n{i + 1}") for i in range(n)], "site string, src string, dst string")
+def plain_depths(n, edges):
+    depths, level = {"n0": 0}, ["n0"]
+    while level:
+        nexts = [d for s, d in edges if s in set(level) and d not in depths]
+        for d in nexts:
+            depths[d] = depths[level[0]] + 1
+        level = list(dict.fromkeys(nexts))
+    return {f"n{i}": depths.get(f"n{i}") for i in range(n)}
+
+
+def found_depths(spark, n, edges, **how):
+    nodes = spark.createDataFrame([("s", f"n{i}") for i in range(n)], "site string, node string")
+    frame = spark.createDataFrame([("s", *e) for e in edges], "site string, src string, dst string")
     homes = spark.createDataFrame([("s", "n0")], "site string, home string")
-    depths = {r["node"]: r["depth"] for r in graph.click_depths(nodes, edges, homes).collect()}
-    assert depths == {f"n{i}": i for i in range(n + 1)}
-    near = {r["node"]: r["depth"] for r in graph.click_depths(nodes, edges, homes, rounds=3).collect()}
+    return {r["node"]: r["depth"] for r in graph.click_depths(nodes, frame.distinct(), homes, **how).collect()}
+
+
+def test_depth_of_a_chain_of_5000_pages(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "materialised", lambda frame: written.append(1) or shared.materialised(frame))
+    n = 5000
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(n - 1)] + [("n4000", "n4500"), (f"n{n}", f"n{n + 1}"), (f"n{n + 1}", f"n{n}")]
+    want = {f"n{i}": i if i < 4500 else min(i, i - 4500 + 4001) for i in range(n)} | {f"n{n}": None, f"n{n + 1}": None}
+    assert found_depths(spark, n + 2, edges, small=0) == want
+    assert len(written) < 60  # jobs grow with the logarithm of the depth
+    near = found_depths(spark, n + 2, edges, rounds=3)
     assert near["n3"] == 3 and near["n4"] is None
 
 
+def test_depth_of_a_chain_with_links_both_ways(spark):
+    n = 1200
+    edges = [(f"n{i}", f"n{j}") for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n]
+    assert found_depths(spark, n, edges) == {f"n{i}": i for i in range(n)}
+
+
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_depths_of_random_graphs(spark, small):
+    for seed in (1, 2):
+        rnd = random.Random(seed)
+        n = 120
+        edges = {(f"n{i}", f"n{max(0, min(n - 1, i + rnd.randint(-6, 2)))}") for i in range(n) for _ in range(rnd.choice((1, 1, 2)))}
+        edges = sorted(e for e in edges if e[0] != e[1])
+        assert found_depths(spark, n, edges, near=2, small=small) == plain_depths(n, edges)
+
+
 def test_tables_can_be_removed(spark):
     stored = shared.materialised(spark.range(5))
     assert stored.count() == 5

@@ -1,7 +1,10 @@
-"""Click depth and crawl order: level-by-level joins whose levels are stored tables."""
+"""Click depth and crawl order: joins whose levels are stored tables, and pointer doubling for what lies deep."""
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,25 +22,28 @@ def homepages(facts: DataFrame, site_meta: DataFrame) -> DataFrame:
     return both.select("site", urls.graph_key(picked).alias("home"))
 
 
-#: Levels searched unless told otherwise; pages further away count as not reached.
-MAX_DEPTH = 1000
-#: Stored levels that are joined into one table of reached pages.
-COMPACT = 8
+#: Levels searched by one join each; what lies deeper is contracted first.
+NEAR = 8
+#: Edges of the contracted rest of a site that one task works off at most.
+SMALL = 200_000
 
 
-def click_depths(nodes: DataFrame, edges: DataFrame, homes: DataFrame, rounds: int = MAX_DEPTH) -> DataFrame:
-    """Depth of every page by breadth-first search from the home page of its site.
+def click_depths(nodes: DataFrame, edges: DataFrame, homes: DataFrame, rounds: int | None = None, near: int = NEAR, small: int = SMALL) -> DataFrame:
+    """Depth of every page by breadth-first search from the home page of its site; null if it cannot be reached.
 
-    All sites advance together, one join per level. The edges are stored once, dealt and
-    sorted by their source, so a level moves only its own rows. The reached pages are
-    compacted every few levels, which keeps the time per level flat. Pages further away than
-    ``rounds`` levels, or not linked at all, get a null depth. ``nodes`` should be a stored table.
+    All sites advance together, one join per level, for ``near`` levels (``rounds``, if given,
+    ends the search there: pages further away get a null depth). Deeper pages are mostly long
+    chains. A page with one link from what is not reached yet hangs on that page; pointer
+    doubling takes all pages of such a chain to its head in a number of jobs that is the
+    logarithm of its length. The heads keep weighted edges, few enough in most sites for one task
+    per site; a site with more than ``small`` of them is relaxed by joins until nothing improves.
+    No depth is cut off. ``nodes`` should be a stored table.
     """
     start = homes.select("site", F.col("home").alias("node")).join(nodes, ["site", "node"], "left_semi")
     level = materialised(start.distinct().withColumn("depth", F.lit(0).cast("bigint")))
     reached = level
     edges = bucketed(edges, ["site", "src"])
-    for depth in range(1, rounds + 1):
+    for depth in range(1, (near if rounds is None else rounds) + 1):
         nexts = (
             level.select("site", F.col("node").alias("src"))
             .join(edges, ["site", "src"])
@@ -50,11 +56,96 @@ def click_depths(nodes: DataFrame, edges: DataFrame, homes: DataFrame, rounds: i
         if level.isEmpty():
             break
         reached = reached.unionByName(level)
-        if depth % COMPACT == 0:
-            reached = materialised(reached.coalesce(max(1, int(reached.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    else:
+        if rounds is None:
+            reached = reached.unionByName(_deeper(edges, reached, level, small))
     return nodes.join(reached, ["site", "node"], "left")
 
 
+def _deeper(edges: DataFrame, reached: DataFrame, level: DataFrame, small: int) -> DataFrame:
+    """Depths of the pages beyond the last level of a search."""
+    done = reached.select("site", "node")
+    inner = done.join(level, ["site", "node"], "left_anti")
+    rest = edges.join(done.withColumnRenamed("node", "dst"), ["site", "dst"], "left_anti")
+    rest = materialised(rest.join(inner.withColumnRenamed("node", "src"), ["site", "src"], "left_anti"))
+    heads = chain_heads(rest)
+    hanging = heads.select("site", "node")
+    onward = rest.join(hanging.withColumnRenamed("node", "dst"), ["site", "dst"], "left_anti")
+    moved = onward.join(heads.withColumnRenamed("node", "src"), ["site", "src"], "left").select(
+        "site", F.coalesce("head", "src").alias("src"), "dst", (F.coalesce("hops", F.lit(0)) + 1).alias("weight")
+    )
+    links_between = materialised(moved.where("src <> dst").groupBy("site", "src", "dst").agg(F.min("weight").alias("weight")))
+    found = least_weights(links_between, level, small)
+    along = heads.join(found.withColumnRenamed("node", "head"), ["site", "head"])
+    both = found.unionByName(along.select("site", "node", (F.col("depth") + F.col("hops")).alias("depth")))
+    return materialised(both.join(level.select("site", "node"), ["site", "node"], "left_anti"))
+
+
+def chain_heads(edges: DataFrame) -> DataFrame:
+    """(site, node, head, hops) of the nodes with one incoming edge: the nearest node before them that is none of these.
+
+    Pointers double: after each step every pointer reaches twice as far. Rings of such nodes
+    have no head, and nothing outside leads to them; they are left out.
+    """
+    single = edges.groupBy("site", "dst").agg(F.count("*").alias("n"), F.min("src").alias("head")).where("n = 1")
+    open_ones = materialised(single.select("site", F.col("dst").alias("node"), "head", F.lit(1).cast("bigint").alias("hops")))
+    count, span, closed = open_ones.count(), 1, None
+    while True:
+        # A pointer is done if its head has no pointer itself; done ones are set aside and still serve as targets.
+        known = open_ones if closed is None else open_ones.unionByName(closed)
+        further = known.select("site", F.col("node").alias("head"), F.col("head").alias("next"), F.col("hops").alias("more"))
+        stepped = materialised(open_ones.join(further, ["site", "head"], "left"))
+        ended = stepped.where("next IS NULL").select("site", "node", "head", "hops")
+        closed = ended if closed is None else closed.unionByName(ended)
+        open_ones = stepped.where("next IS NOT NULL").select("site", "node", F.col("next").alias("head"), (F.col("hops") + F.col("more")).alias("hops"))
+        span *= 2
+        if span > 2 * count or open_ones.isEmpty():
+            return closed
+
+
+def least_weights(edges: DataFrame, starts: DataFrame, small: int) -> DataFrame:
+    """(site, node, depth): the least sum of edge weights from any start, added to the depth of that start."""
+    sizes = edges.groupBy("site").agg(F.count("*").alias("n"))
+    large = materialised(sizes.where(F.col("n") > small).select("site"))
+    begin = starts.select("site", F.lit(None).cast("string").alias("src"), F.col("node").alias("dst"), F.col("depth").alias("weight"))
+    rows = edges.unionByName(begin)
+    if large.isEmpty():
+        return materialised(rows.groupBy("site").applyInPandas(_least_in_task, "site string, node string, depth bigint"))
+    little = rows.join(large, "site", "left_anti").groupBy("site").applyInPandas(_least_in_task, "site string, node string, depth bigint")
+    ways = bucketed(edges.join(large, "site", "left_semi"), ["site", "src"])
+    best = materialised(starts.join(large, "site", "left_semi").select("site", "node", "depth"))
+    better = best
+    while not better.isEmpty():
+        step = better.withColumnRenamed("node", "src").join(ways, ["site", "src"])
+        offered = step.groupBy("site", F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("weight")).alias("depth"))
+        old = best.withColumnRenamed("depth", "old")
+        better = materialised(offered.join(old, ["site", "node"], "left").where("old IS NULL OR depth < old").drop("old"))
+        best = materialised(best.unionByName(better).groupBy("site", "node").agg(F.min("depth").alias("depth")))
+    return materialised(little).unionByName(best)
+
+
+def _least_in_task(rows: pd.DataFrame) -> pd.DataFrame:
+    """Shortest ways inside one site of bounded size; rows without src are the starts."""
+    site = rows["site"].iloc[0]
+    ways: dict[str, list[tuple[str, int]]] = {}
+    heap = []
+    for src, dst, weight in zip(rows["src"], rows["dst"], rows["weight"]):
+        if src is None or src != src:
+            heap.append((int(weight), dst))
+        else:
+            ways.setdefault(src, []).append((dst, int(weight)))
+    heapq.heapify(heap)
+    best: dict[str, int] = {}
+    while heap:
+        depth, node = heapq.heappop(heap)
+        if node not in best:
+            best[node] = depth
+            for dst, weight in ways.get(node, ()):
+                if dst not in best:
+                    heapq.heappush(heap, (depth + weight, dst))
+    return pd.DataFrame({"site": site, "node": list(best), "depth": list(best.values())})
+
+
 def in_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("site", F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"))
 
