@@ -30,9 +30,9 @@ SMOOTHING = 5
 SCALE = 1_000_000_000
 TOP = 50
 #: Entries (lang, source, term) that a task holds before it spills.
-SPILL = 1_000_000
+SPILL = 500_000
 #: Bytes of texts that are split into words at a time.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Stripes that are given out or worked on together.
 ROWS = 2048
 #: Sources whose differences a task holds as one square.
