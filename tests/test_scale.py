@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftaudit.functions import html, walk
 from weftaudit.operators import graph, links
 from weftaudit.operators.facts import page_facts
-from weftaudit.operators.numbering import numbered
+from weftaudit.operators.numbering import numbered, ranged
 from weftaudit.sources import shared
 
 PAGE = "page_id long, url string, site string, html string, status_code long, depth long, load_time double, error string"
@@ -81,6 +81,19 @@ def test_numbers_of_hashed_ids_in_one_site(spark):
     assert [r["number"] for r in rows] == list(range(1, 20_001))
 
 
+def test_ranges_of_outlier_keys_are_even(spark):
+    """One key far away, dense runs, hashed keys and a hot group: no range above twice the target."""
+    ids = [(f"s{i % 3}", i) for i in range(300)] + [(f"s{i}", i + 10**12) for i in range(3)] + [("hot", i) for i in range(2000)]
+    ids += [("hot", 10**15), ("hashed", -(2**62)), ("hashed", 2**62), (None, 4), (None, 3)]
+    rows = spark.createDataFrame(ids, "site string, page_id long").repartition(6)
+    sizes = [r["count"] for r in ranged(rows, "site", ["page_id"], 16).groupBy("_range").count().collect()]
+    assert sum(sizes) == len(ids) and max(sizes) <= 32
+    got = {(r["site"], r["page_id"]): r["number"] for r in numbered(rows, "site", "page_id", "number", bucket=16).collect()}
+    for site in {s for s, _ in ids}:
+        assert [got[site, i] for i in sorted(i for s, i in ids if s == site)] == list(range(1, sum(s == site for s, _ in ids) + 1))
+    assert numbered(rows.where("false"), "site", "page_id", "number").count() == 0
+
+
 def plain_depths(n, edges):
     depths, level = {"n0": 0}, ["n0"]
     while level:

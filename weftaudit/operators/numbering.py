@@ -5,30 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a group that are numbered in one go, about.
+from weftaudit.sources.shared import materialised
+
+#: Rows that are numbered in one go, about.
 BUCKET = 65536
+#: Ranges at most; with more rows than these hold, ranges get longer. Spark's sample of keys is 100 for each range then.
+MOST_RANGES = 10_000
 
 
-def numbered(rows: DataFrame, group: str, order: str, name: str, bucket: int = BUCKET) -> DataFrame:
-    """Add ``name``: the 1-based place of the row in its group by the whole-number key ``order``.
+def ranged(rows: DataFrame, group: str, order: list[str], bucket: int = BUCKET) -> DataFrame:
+    """The stored rows with ``_range``, the number of their range in the order of the keys.
 
-    A plain window would sort a hot group in one task. Here the keys of a group, from the
-    smallest to the largest, are cut into ranges of about ``bucket`` rows each; a range is
-    numbered alone and shifted by the sizes of the ranges before it. That holds for dense
-    and for hashed keys alike; the key must be unique inside the group.
+    Ranges are cut at quantiles that Spark samples from the keys themselves, group first, so
+    far outliers, dense runs and hashed keys make ranges of like size, and a hot group has many.
     """
-    spans = rows.groupBy(group).agg(
-        F.min(order).cast("double").alias("_low"), F.max(order).cast("double").alias("_high"), F.count("*").alias("_rows")
-    )
-    share = (F.col(order).cast("double") - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1.0))
-    ranged = rows.join(spans, group).withColumn("_bucket", F.floor(share * F.ceil(F.col("_rows") / F.lit(bucket))))
-    cut = ranged.drop("_low", "_high", "_rows")
-    sizes = cut.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(group, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(group, "_bucket").orderBy(order)
-    return (
-        cut.join(shifts, [group, "_bucket"])
-        .withColumn(name, (F.row_number().over(inside) + F.col("_shift")).cast("bigint"))
-        .drop("_bucket", "_shift")
+    parts = max(1, min(MOST_RANGES, -(-rows.count() // bucket)))
+    dealt = rows.repartitionByRange(parts, group, *order) if parts > 1 else rows.coalesce(1)
+    return materialised(dealt.withColumn("_range", F.spark_partition_id()))
+
+
+def numbered(rows: DataFrame, group: str, order: str | list[str], name: str, bucket: int = BUCKET) -> DataFrame:
+    """Add ``name``: the 1-based place of the row in its group by the columns ``order``.
+
+    A plain window would sort a hot group in one task. Here all rows are cut into ranges of
+    about ``bucket`` rows, which are stored; a range is numbered alone and shifted by the sizes
+    of the group's ranges before it. Rows of equal keys get places in any order among themselves.
+    """
+    keys = [order] if isinstance(order, str) else order
+    cut = ranged(rows, group, keys, bucket)
+    sizes = cut.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(
+        F.col(group).alias("_group"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift")
     )
+    inside = Window.partitionBy(group, "_range").orderBy(*keys)
+    joined = cut.join(shifts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
+    return joined.withColumn(name, (F.row_number().over(inside) + F.col("_shift")).cast("bigint")).drop("_range", "_shift", "_group", "_at")

@@ -144,8 +144,13 @@ def _text_section() -> Column:
     )
 
 
+#: The facts that page sections read; only these need to be stored.
+TEXT_FACTS = ["site", "page_id", "url", "status_code", "title", "word_count", "suggestions"]
+HTML_FACTS = [*TEXT_FACTS, "title_length", "title_optimal", "meta_description", "meta_description_length", "description_optimal", "cms_detected"]
+
+
 def text_sections(facts: DataFrame) -> DataFrame:
-    """Page summaries of the text report, one row per page with its number."""
+    """Page summaries of the text report, one row per page with its number. ``facts`` should be a stored table of ``TEXT_FACTS``."""
     return numbered(facts, "site", "page_id", "number").select(
         "site", "number", "page_id", _text_section().alias("section")
     )
@@ -256,7 +261,7 @@ def _html_section() -> Column:
 
 
 def html_sections(facts: DataFrame) -> DataFrame:
-    """Page sections of the HTML report, one row per page with its number."""
+    """Page sections of the HTML report, one row per page with its number. ``facts`` should be a stored table of ``HTML_FACTS``."""
     return numbered(facts, "site", "page_id", "number").select(
         "site", "number", "page_id", _html_section().alias("section")
     )
