@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from weftaudit.functions import advice, text, urls
 from weftaudit.functions.common import bind, collapse, say
+from weftaudit.operators.numbering import numbered
 from weftaudit.operators.rows import unrolled
 from weftaudit.operators.topics import topics
+from weftaudit.sources.shared import materialised
 
 
 
@@ -241,8 +243,30 @@ def _rule_columns() -> tuple[Column, ...]:
     return (F.concat(single, alts, stuffed).alias("recs"),)
 
 
+# Fixed value: the score of a page that neither has one itself nor through its site.
+UNSCORED = 80.0
+
+
+def resolved_scores(pages: DataFrame, page_scores: DataFrame, site_scores: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """(site, page_id, overall): the score of each page by its address, that of its site, or ``UNSCORED``.
+
+    ``page_scores`` has site, page_id, url and overall. Addresses are compared without slashes
+    at their ends; of several scores for one address that of the plain address counts, then that of
+    the smallest page id. ``site_scores`` gives (site, overall), where 0 counts as none; it is only called
+    if a page has no score by its address. ``pages`` should be a stored table.
+    """
+    key = urls.lookup_key(F.col("url")).alias("key")
+    found = page_scores.where("overall IS NOT NULL").select("site", key, "overall", F.struct(F.col("url") != key, "page_id").alias("place"))
+    by_key = found.groupBy("site", "key").agg(F.min_by("overall", "place").alias("overall"))
+    rows = materialised(pages.select("site", "page_id", key).join(by_key, ["site", "key"], "left").drop("key"))
+    if site_scores is not None and not rows.where("overall IS NULL").isEmpty():
+        whole = site_scores().select("site", F.nullif("overall", F.lit(0.0)).alias("site_overall"))
+        rows = rows.join(whole, "site", "left").withColumn("overall", F.coalesce("overall", "site_overall")).drop("site_overall")
+    return rows.withColumn("overall", F.coalesce("overall", F.lit(UNSCORED)))
+
+
 def page_rules(facts: DataFrame, site_meta: DataFrame, page_scores: DataFrame | None = None) -> DataFrame:
-    """Rules that read one page (with its site's names and, if given, its score)."""
+    """Rules that read one page (with its site's names and, if given, its score by page_id as ``resolved_scores`` has it)."""
     meta = site_meta.select("site", "site_name", "location", "call_to_action")
     rows = facts.join(meta, ["site"], "left")
     if page_scores is None:
@@ -460,6 +484,56 @@ def merged_states(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*MERGE_KEYS, "current_state").agg(F.min(F.struct("page_id", "ord")).alias("place"))
 
 
+#: Letters of the parts by which states are looked up in one another.
+GRAM = 12
+#: Kept states that are put into one text at most.
+MOST_JOINED = 10_000
+
+
+def kept_states(states: DataFrame, gram: int = GRAM) -> DataFrame:
+    """Distinct states with ``kept`` and ``ord``, the 1-based place among the kept ones.
+
+    States come in the order of their first places. One that is empty, or part of an earlier
+    state of its recommendation, is not kept. (What is part of a state that is not kept is part
+    of a kept one too, so states need not be looked at one after the other.)
+
+    A state is not compared with all others: of the parts of ``gram`` letters that it has (all
+    of it, if it is shorter), the one that the fewest states hold is looked up in an index of the parts
+    of all states; only those that hold it are searched for the whole state.
+    """
+    rows = materialised(states.where("current_state <> ''"))
+    several = rows.groupBy("rec_id").agg(F.count("*").alias("n")).where("n > 1").select("rec_id")
+    own = rows.join(several, "rec_id", "left_semi").select("rec_id", F.col("current_state").alias("state"), "place", F.least(F.length("current_state"), F.lit(gram)).alias("g"))
+    own = materialised(own)
+    parts = lambda text, g: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - g + 1), lambda i: F.substring(text, i, g)))
+    lengths = own.select("rec_id", "g").distinct()
+    whole = own.drop("g").join(lengths, "rec_id").where(F.length("state") >= F.col("g"))
+    index = materialised(whole.select("rec_id", "g", "state", "place", F.explode(parts(F.col("state"), F.col("g"))).alias("part")))
+    held = index.groupBy("rec_id", "g", "part").agg(F.count("*").alias("held"))
+    asked = own.select("rec_id", "g", "state", "place", F.explode(parts(F.col("state"), F.col("g"))).alias("part"))
+    rarest = asked.join(held, ["rec_id", "g", "part"]).groupBy("rec_id", "g", "state", "place").agg(F.min(F.struct("held", "part")).alias("r"))
+    looked = rarest.where("r.held > 1").select("rec_id", "g", F.col("r.part").alias("part"), "state", "place")
+    there = index.select("rec_id", "g", "part", F.col("state").alias("other"), F.col("place").alias("before"))
+    inside = looked.join(there, ["rec_id", "g", "part"]).where((F.col("before") < F.col("place")) & F.col("other").contains(F.col("state")))
+    gone = inside.select("rec_id", F.col("state").alias("current_state")).distinct().withColumn("inside", F.lit(True))
+    marked = materialised(states.join(gone, ["rec_id", "current_state"], "left"))
+    kept = F.col("inside").isNull() & (F.col("current_state") != "")
+    places = numbered(materialised(marked.where(kept).select("rec_id", "current_state", "place")), "rec_id", "place", "ord").drop("place")
+    return marked.withColumn("kept", kept).drop("inside").join(places, ["rec_id", "current_state"], "left")
+
+
+def joined_states(kept: DataFrame, most: int = MOST_JOINED) -> DataFrame:
+    """The kept states of each recommendation, joined in order, and their number.
+
+    A recommendation of more than ``most`` states has no joined text, as one row could not hold
+    it at any size; its states are all in ``kept_states``.
+    """
+    few = F.when(F.col("ord") <= most, F.struct("ord", "current_state"))  # the rest is dropped before it is gathered
+    rows = kept.groupBy(*MERGE_KEYS).agg(F.count("ord").alias("n_states"), F.sort_array(F.collect_list(few)).alias("s"))
+    text_ = F.array_join(F.transform("s", lambda x: x["current_state"]), " | ")
+    return rows.select(*MERGE_KEYS, "n_states", F.when(F.col("n_states") <= most, text_).alias("joined_state"))
+
+
 def ordered(groups: DataFrame, rules: DataFrame) -> DataFrame:
     """Merged recommendations with their fixed texts, most severe first."""
     full = groups.join(F.broadcast(rules), "rule")

@@ -9,7 +9,8 @@ from weftaudit.operators import qa, report
 from weftaudit.oracle import literals
 from weftaudit.oracle.base import PAGE, collapse, in_list, netloc, plain_path, q, round2, sql, strip, up
 from weftaudit.oracle.site_sql import (
-    ALL, AUTHORITY, CORE, FALLBACK, INSIGHT, PAGE_SCORE, PILLARS, SCORE, list_count, summary,
+    ALL, AUTHORITY, CORE, FALLBACK, GRAPH, INSIGHT, P_SITE_LINKS, P_SITE_TECH, PAGE_SCORE, PILLARS, SCORE, SITE_SCORE, SITE_TECH,
+    list_count, summary,
 )
 from weftaudit.oracle.text_sql import LABEL, SLUG, STUFF, TOPICS, limit, title_case
 
@@ -192,8 +193,32 @@ rule_text AS (SELECT * FROM (VALUES {', '.join(f"({q(k)}, {q(r['pillar'])}, {q(r
 rule_step AS (SELECT * FROM (VALUES {', '.join(f"({q(k)}, {q(p)}, {q(s)})" for k, r in advice.RULES.items() for p, s in r['steps'].items())}) AS v(rule, platform, steps))
 """
 
+# The score of a page: by its address without slashes at the end (the plain address first), else that of the site unless it is 0, else 80.
+SCORE_OF = """
+score_of AS (
+  SELECT x.site, rtrim(coalesce(x.url, ''), '/') AS key, first(p.overall ORDER BY x.url <> rtrim(x.url, '/'), x.page_id) AS overall
+  FROM pages_raw x JOIN page_score p USING (page_id) GROUP BY x.site, rtrim(coalesce(x.url, ''), '/')
+)
+"""
+SCORED = (*SCORE, *PILLARS, AUTHORITY, PAGE_SCORE, SITE_TECH, P_SITE_TECH, GRAPH, P_SITE_LINKS, SITE_SCORE, SCORE_OF, TOPICS, STUFF, CONTEXT)
+OVERALL = """coalesce((SELECT s.overall FROM score_of s WHERE s.site = ctx.site AND s.key = rtrim(ctx.url, '/')),
+  (SELECT nullif(t.overall, 0) FROM site_score t WHERE t.site = ctx.site))"""
+
+STATES = """
+state AS (
+  SELECT site, rule, severity, exact_fix, current_state, min((page_id, o)) AS place, min(page_id) AS first_page FROM rec
+  GROUP BY site, rule, severity, exact_fix, current_state
+),
+kept_state AS (
+  SELECT *, current_state <> '' AND NOT EXISTS (
+    SELECT 1 FROM state e WHERE e.site = s.site AND e.rule = s.rule AND e.severity = s.severity AND e.exact_fix = s.exact_fix
+      AND e.place < s.place AND contains(e.current_state, s.current_state)) AS kept
+  FROM state s
+)
+"""
+
 REC_PAGE = (*CORE, TOPICS, STUFF, CONTEXT, rules())
-REC = (*REC_PAGE, ANCHOR_RULE, BROKEN_RULE, SITE_RULE, ALL_RULES)
+REC = (*SCORED, rules(OVERALL), ANCHOR_RULE, BROKEN_RULE, SITE_RULE, ALL_RULES)
 
 
 def rule_query(where: str) -> str:
@@ -421,9 +446,7 @@ ORACLE = {
         "SELECT page_id, ord, priority, category, issue, suggestion, plain_language, platform_help FROM sugg", *PAGE, SUGG_BLOCK
     ),
     "rec_titles": sql(
-        "SELECT page_id, rule, severity, current_state, exact_fix FROM title_rule WHERE rule IS NOT NULL",
-        *SCORE, *PILLARS, AUTHORITY, PAGE_SCORE, TOPICS, STUFF, CONTEXT,
-        rules("(SELECT overall FROM page_score p WHERE p.page_id = ctx.page_id)"), tables=ALL,
+        "SELECT page_id, rule, severity, current_state, exact_fix FROM title_rule WHERE rule IS NOT NULL", *SCORED, rules(OVERALL), tables=ALL
     ),
     "rec_descriptions": rule_query("starts_with(rule, 'meta_')"),
     "rec_h1": rule_query("starts_with(rule, 'h1_')"),
@@ -440,7 +463,14 @@ ORACLE = {
         "SELECT DISTINCT site, rule, severity, exact_fix, page_url FROM rec WHERE page_url <> ''", *REC, tables=ALL
     ),
     "rec_merged_states": sql(
-        "SELECT site, rule, severity, exact_fix, current_state, min(page_id) AS first_page FROM rec GROUP BY ALL", *REC, tables=ALL
+        """SELECT site, rule, severity, exact_fix, current_state, first_page, kept,
+        CASE WHEN kept THEN row_number() OVER (PARTITION BY site, rule, severity, exact_fix, kept ORDER BY place) END AS ord FROM kept_state""",
+        *REC, STATES, tables=ALL,
+    ),
+    "rec_joined_states": sql(
+        """SELECT site, rule, severity, exact_fix, count(*) FILTER (kept) AS n_states,
+        coalesce(string_agg(current_state, ' | ' ORDER BY place) FILTER (kept), '') AS joined_state FROM kept_state GROUP BY site, rule, severity, exact_fix""",
+        *REC, STATES, tables=ALL,
     ),
     "rec_ordered": sql(
         """SELECT site, pillar, severity, element, why_it_matters, exact_fix, placement_instructions, estimated_impact, n_pages, first_url,

@@ -39,14 +39,25 @@ def _rule_rows(spark, sf, prefixes):
     return rows.where(keep).select("page_id", "rule", "severity", "current_state", fix)
 
 
+def _scored(spark, sf, f, broken):
+    """Scores of the pages in stored facts, and how to get those of their sites where a page has none."""
+    meta, metrics = _meta(spark, sf), derived(spark, sf, "authority_metrics")
+    counted = links.with_broken_count(f, broken)
+    found = authority.authority_scores(f.select(F.col("site").alias("domain")).distinct(), metrics)
+    pillars = scoring.page_pillars(scoring.scoring_input(counted, meta))
+
+    def of_sites():
+        inputs = scoring.site_links(scoring.site_link_inputs(counted, meta))
+        return scoring.site_scores(scoring.pillar_means(pillars), scoring.site_technical(counted, meta), inputs, found)
+
+    return scoring.page_scores(pillars, found).select("site", "page_id", "url", "overall"), of_sites
+
+
 def rec_titles(spark, sf):
     """Title rules; the severity of a long title reads the score of the page."""
-    f = counted_facts(spark, sf)
-    scored = scoring.page_scores(
-        scoring.page_pillars(scoring.scoring_input(f, _meta(spark, sf))),
-        authority.authority_scores(f.select(F.col("site").alias("domain")).distinct(), derived(spark, sf, "authority_metrics")),
-    )
-    rows = recommend.page_rules(f, _meta(spark, sf), scored).where(F.col("rule").startswith("title_"))
+    f = materialised(facts(spark, sf))
+    scores = recommend.resolved_scores(f, *_scored(spark, sf, f, links.broken_links(f, derived(spark, sf, "link_status"))))
+    rows = recommend.page_rules(f, _meta(spark, sf), scores).where(F.col("rule").startswith("title_"))
     return rows.select("page_id", "rule", "severity", "current_state", recommend.exact_fix(F.col("rule"), F.col("draft")).alias("exact_fix"))
 
 
@@ -84,8 +95,9 @@ def rec_site(spark, sf):
 
 def _all_rows(spark, sf):
     f = materialised(facts(spark, sf))
-    broken = links.broken_links(f, derived(spark, sf, "link_status"))
-    return recommend.recommendations(f, _meta(spark, sf), broken)
+    broken = materialised(links.broken_links(f, derived(spark, sf, "link_status")))
+    scores = recommend.resolved_scores(f, *_scored(spark, sf, f, broken))
+    return recommend.recommendations(f, _meta(spark, sf), broken, scores)
 
 
 def rec_all(spark, sf):
@@ -101,11 +113,17 @@ def rec_merged_urls(spark, sf):
 
 
 def rec_merged_states(spark, sf):
-    return recommend.merged_states(_all_rows(spark, sf)).select(
-        "site", "rule", "severity", "exact_fix", "current_state", F.col("place.page_id").alias("first_page")
+    """The states of each merged recommendation, which of them are kept, and their places in the joined state."""
+    return recommend.kept_states(recommend.merged_states(_all_rows(spark, sf))).select(
+        "site", "rule", "severity", "exact_fix", "current_state", F.col("place.page_id").alias("first_page"), "kept", "ord"
     )
 
 
+def rec_joined_states(spark, sf):
+    """The kept states of each merged recommendation as one text."""
+    return recommend.joined_states(recommend.kept_states(recommend.merged_states(_all_rows(spark, sf)))).drop("rec_id")
+
+
 def rec_ordered(spark, sf):
     """Merged recommendations with pillar, element, texts and rank of severity."""
     done = recommend.ordered(recommend.merged(_all_rows(spark, sf)), recommend.rule_table(spark))
@@ -158,11 +176,11 @@ def rpt_html(spark, sf):
 
 
 def rpt_text_pages(spark, sf):
-    return report.text_sections(materialised(facts(spark, sf))).drop("page_id")
+    return report.text_sections(materialised(facts(spark, sf).select(*report.TEXT_FACTS))).drop("page_id")
 
 
 def rpt_html_pages(spark, sf):
-    return report.html_sections(materialised(facts(spark, sf))).drop("page_id")
+    return report.html_sections(materialised(facts(spark, sf).select(*report.HTML_FACTS))).drop("page_id")
 
 
 def rpt_assembly(spark, sf):
