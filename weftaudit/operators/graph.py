@@ -198,7 +198,7 @@ def crawl_order(
     """The pages a breadth-first crawl of the stored web would visit, in order.
 
     ``seeds`` has site and url, ``stored`` site and url (crawl key) of pages
-    that answer, ``rules`` site and ordered robots rules. Each level keeps at
+    that answer, ``rules`` the robots rules that count (``robots.active_rules``). Each level keeps at
     most ``max_pages`` rows per site (that cap is the feature), so the window
     over a site stays small however many pages the site has.
     """
@@ -210,7 +210,7 @@ def crawl_order(
         found = candidates.groupBy("site", "url").agg(F.min(F.struct("parent", "pos")).alias("place"))
         if visited is not None:
             found = found.join(visited, ["site", "url"], "left_anti")
-        found = found.join(rules, ["site"], "left").where(robots.allowed(F.col("url"), F.col("rules")))
+        found = robots.with_allowed(found, rules).where("allowed").drop("allowed")
         place = Window.partitionBy("site").orderBy("place")
         ranked = found.withColumn("ord", F.row_number().over(place).cast("bigint"))
         if visited is not None:

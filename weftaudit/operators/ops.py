@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftaudit.functions.common import round2, say
+from weftaudit.sources.versioned import VersionedTable
 
 # Limits per tier; an unknown tier gets the first one.
 TIERS = [
@@ -50,6 +51,30 @@ def latest_status(log: DataFrame, job: str, status: str, at: str, tie: str) -> D
     return log.groupBy(job).agg(F.max_by(status, F.struct(at, tie)).alias("status"), F.max(at).alias("changed_at"))
 
 
+JOB = "job_id bigint, owner bigint, max_pages bigint, created_at timestamp_ntz, status string, finished_at timestamp_ntz, report_path string, error string"
+
+
+def job_table(spark: SparkSession, path: str) -> VersionedTable:
+    """Stored jobs by their id."""
+    return VersionedTable(spark, path, "job_id", JOB)
+
+
+def create_jobs(jobs: VersionedTable, label: str, requests: DataFrame) -> bool:
+    """Add jobs as pending; an id that is there already keeps its job. False if the label was applied before."""
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("finished_at", "timestamp_ntz"), ("report_path", "string"), ("error", "string"))]
+    return jobs.insert(label, requests.select("job_id", "owner", "max_pages", "created_at", F.lit("pending").alias("status"), *none))
+
+
+def update_jobs(jobs: VersionedTable, label: str, changes: DataFrame) -> bool:
+    """Set status, report and error of stored jobs from their last change (job_id, status, ts, report_path, error).
+
+    The time of a change is the end of the job if its status is a final one, and else there is no
+    end. Changes of unknown jobs are passed over. False if the label was applied before.
+    """
+    ended = F.when(F.col("status").isin("completed", "failed"), F.col("ts"))
+    return jobs.update(label, changes.withColumn("finished_at", ended), ["ts", "status", "report_path", "error"], ["status", "finished_at", "report_path", "error"])
+
+
 def status_funnel(jobs: DataFrame) -> DataFrame:
     """Jobs per status with their mean and longest duration in seconds."""
     return jobs.groupBy("status").agg(

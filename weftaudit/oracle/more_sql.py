@@ -598,6 +598,13 @@ ORACLE = {
     "src_link_status": sql("SELECT * FROM link_status", tables=("link_status",)),
     "src_saved_reports": sql("SELECT url, status_code, error, text_length, site AS domain, image_count AS total_images FROM fact2", *PAGE),
     "snk_log": "SELECT event_id, user_id, event_type, ts, CAST(ts AS DATE) AS day FROM events",
+    "snk_job_updates": sql(
+        """SELECT j.job_id, j.owner, j.max_pages, j.created_at, coalesce(u.status, 'pending') AS status,
+        CASE WHEN u.status IN ('completed', 'failed') THEN u.ts END AS finished_at, u.report_path, u.error
+        FROM jobs j LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY part DESC, ts DESC, status DESC, report_path DESC, error DESC) AS r
+          FROM job_updates) u ON u.job_id = j.job_id AND u.r = 1""",
+        tables=("jobs", "job_updates"),
+    ),
     "src_authority_metrics": sql("SELECT domain, provider, priority, metric, value FROM authority_metrics", tables=("authority_metrics",)),
     "src_page_payload": sql(
         """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url || '?stored' ELSE url END AS url, CAST(CASE WHEN page_id % 3 = 0 THEN 301 ELSE status_code END AS BIGINT) AS status_code,

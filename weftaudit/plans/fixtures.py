@@ -110,6 +110,15 @@ SELECT user_id AS job_id, CASE WHEN event_id % 11 = 0 THEN 'completed' WHEN even
 FROM events
 """
 
+# Changes of stored jobs in two rounds; some of jobs that are not there.
+JOB_UPDATES = """
+SELECT user_id * 3 AS job_id, ts, CASE WHEN day(ts) <= 15 THEN 0 ELSE 1 END AS part,
+  CASE event_id % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN event_id % 4 >= 2 THEN concat('reports/', CAST(event_id AS STRING), '.json') END AS report_path,
+  CASE WHEN event_id % 4 = 1 THEN concat('stopped by ', event_type) END AS error
+FROM events
+"""
+
 # Rows land by thirds of the month, up to 19 hours late; nothing is later than the streams wait for.
 _LANDING = "CAST(least(2, floor((day(ts + CASE event_id % 4 WHEN 0 THEN INTERVAL '0' HOUR WHEN 1 THEN INTERVAL '3' HOUR WHEN 2 THEN INTERVAL '11' HOUR ELSE INTERVAL '19' HOUR END) - 1) / 10)) AS BIGINT)"
 
@@ -172,6 +181,7 @@ DERIVED = {
     "audit_history": AUDIT_HISTORY,
     "jobs": JOBS,
     "job_log": JOB_LOG,
+    "job_updates": JOB_UPDATES,
     "job_log_landings": JOB_LOG_LANDINGS,
     "audit_landings": AUDIT_LANDINGS,
     "event_landings": EVENT_LANDINGS,

@@ -411,6 +411,16 @@ def snk_log(spark, sf):
     return spark.read.schema("event_id bigint, user_id bigint, event_type string, ts timestamp_ntz, day date").parquet(path)
 
 
+def snk_job_updates(spark, sf):
+    """Stored jobs after two rounds of updates, of which the first comes again afterwards and changes nothing."""
+    jobs = ops.job_table(spark, shared.fresh_path(spark, "jobs"))
+    ops.create_jobs(jobs, "create", derived(spark, sf, "jobs"))
+    updates = derived(spark, sf, "job_updates")
+    for part in (0, 1, 0):
+        ops.update_jobs(jobs, f"round {part}", updates.where(F.col("part") == part))
+    return jobs.rows()
+
+
 def src_page_payload(spark, sf):
     """Stored JSON over row columns."""
     rows = derived(spark, sf, "pages_raw").select(

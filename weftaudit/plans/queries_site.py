@@ -295,7 +295,7 @@ def graph_position_counts(spark, sf):
 
 def graph_crawl_order(spark, sf):
     f = materialised(facts(spark, sf).select("site", "page_id", "url", "links", "fetched"))
-    rules = robots.rules_by_site(derived(spark, sf, "robots_rules"), "auditor")
+    rules = materialised(robots.active_rules(derived(spark, sf, "robots_rules"), "auditor"))
     seeds = f.select("site").distinct().select("site", F.concat(F.lit("https://"), "site", F.lit("/p/0")).alias("url"))
     stored = f.where("fetched").select("site", urls.crawl_key(F.col("url")).alias("url"))
     return graph.crawl_order(materialised(graph.crawl_links(f)), stored, seeds, rules, max_pages=50, max_depth=3)

@@ -55,11 +55,9 @@ def url_classes(spark, sf):
 
 
 def url_robots(spark, sf):
-    rules = robots.rules_by_site(derived(spark, sf, "robots_rules"), "auditor")
+    rules = robots.active_rules(derived(spark, sf, "robots_rules"), "auditor")
     pages = derived(spark, sf, "pages_raw").select("page_id", "site", "url")
-    return pages.join(rules, ["site"], "left").select(
-        "page_id", "url", robots.allowed(F.col("url"), F.col("rules")).alias("allowed")
-    )
+    return robots.with_allowed(pages, rules).select("page_id", "url", "allowed")
 
 
 def url_slugs(spark, sf):
