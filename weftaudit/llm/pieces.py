@@ -10,17 +10,22 @@ piece that a worker meets. All other texts take the library's whole path.
 from __future__ import annotations
 
 import os
+import re
 
 import regex
 
-#: The word patterns of the two public tokenizers.
-WORD_END_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The letters and digits among the characters of plain texts (and what these are in lower case).
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯⱥⱦ"
+DIGITS = "0-9²³¹¼-¾"
+# The word patterns of the two public tokenizers, for plain texts.
+WORD_END_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+"
+BYTE_LEVEL_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+"
 
-_PLAIN = regex.compile(r"[ \n\t\r\x21-\x7e\xa1-ɏ]*")
+_PLAIN = re.compile(r"[ \n\t\r\x21-\x7e\xa1-ɏ]*")
 #: Before a lone space between two other characters every pattern starts anew.
 _CUT = regex.compile(r"(?<=[^\s\x1c-\x1f\u200b\ufeff])(?= [^\s\x1c-\x1f\u200b\ufeff])")
-CACHE_PIECES = 250_000
+#: Pieces of a generation; the one before it is kept too, so pieces in use are not learned again.
+CACHE_PIECES = 100_000
 
 
 def byte_alphabet() -> list[str]:
@@ -41,11 +46,12 @@ class Pieces:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.split = regex.compile(pattern).findall
+        self.split = re.compile(pattern).findall
         self.lower = lower
         self.digest = digest
         self.table = dict(enumerate(byte_alphabet()))
         self.known: dict = {}
+        self.before: dict = {}
         self.vocabulary = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
 
     def library(self, text: str) -> list[int]:
@@ -59,16 +65,19 @@ class Pieces:
             if len(parts) == 1:
                 return [self.digest(self.library(text))]
             return [d for part in parts for d in self(part)]
-        known = self.known
         pieces = self.split(text.lower() if self.lower else text)
-        found = list(map(known.get, pieces))
-        if None in found:
-            if len(known) >= CACHE_PIECES:
-                known.clear()
-            found = [known.get(p) or self._learn(p) for p in pieces]
+        found = list(map(self.known.get, pieces))
+        for i, digest in enumerate(found):
+            if digest is None:
+                found[i] = self._learn(pieces[i])
         return found
 
     def _learn(self, piece: str):
-        mapped = piece.encode().decode("latin-1").translate(self.table)
-        self.known[piece] = digest = self.digest([t.id for t in self.model.tokenize(mapped)])
+        digest = self.known.get(piece) or self.before.get(piece)
+        if digest is None:
+            mapped = piece.encode().decode("latin-1").translate(self.table)
+            digest = self.digest([t.id for t in self.model.tokenize(mapped)])
+        if len(self.known) >= CACHE_PIECES:
+            self.before, self.known = self.known, {}
+        self.known[piece] = digest
         return digest
