@@ -6,13 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftaudit.sources.shared import materialised
 
 #: Rows turned into Python objects at a time inside a task.
 SLICE = 256
+#: Bytes of a slice where slices are bounded by bytes too, about (a longer text is a slice by itself).
+SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes in this session unless it has a lower bound: rows may be long, and ten thousand go into one batch else."""
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
 def doc_crc(doc_id: str = "doc_id") -> Column:
@@ -42,6 +53,14 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
+def small_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same, with fewer rows where rows are long."""
+    for batch in batches:
+        rows = max(1, min(SLICE, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def code_points(text: str) -> np.ndarray:
     """The code points of a text as unsigned 32-bit integers."""
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")

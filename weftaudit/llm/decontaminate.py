@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftaudit.llm.common import mix, slices, without_ids
+from weftaudit.llm.common import mix, small_slices, without_ids
 
 WINDOW = 5
 #: An item is found if this share of its windows is, or a run of so many words in a row.
@@ -45,6 +45,10 @@ WORD, NUMBER, UNIT, NAME, JOINED = range(5)
 _SLOT = [0, *(xxhash.xxh64_intdigest(f"slot {k}") for k in range(1, 5))]
 
 
+#: Places of a table that tells hashes apart from those of a block by their last bits.
+MARKS = 1 << 21
+
+
 class Canon:
     """Words of a text as arrays: value hash, template hash, and whether the word is a slot."""
 
@@ -81,22 +85,32 @@ class Canon:
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(values, templates, slots). Words of signs only are left out."""
-        raw = (text or "").split()
+        return self.many([text])[1:]
+
+    def many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for several texts, one after the other, and before it the number of the text of each word."""
         if len(self.known) > self.MOST:
             self._reset()
-        known = self.known
+        known, raw, sizes = self.known, [], []
+        for text in texts:
+            words = (text or "").split()
+            raw += words
+            sizes.append(len(words))
         ids = np.fromiter([known[w] if w in known else self._learn(w) for w in raw], dtype=np.int64, count=len(raw))
-        first = np.ones(len(ids), dtype=bool)
-        first[1:] = self.ends[ids[:-1]]
+        of = np.repeat(np.arange(len(texts)), sizes)
+        start = np.ones(len(ids), dtype=bool)
+        start[1:] = of[1:] != of[:-1]
+        first = start.copy()
+        first[1:] |= self.ends[ids[:-1]]
         kept = ~self.empty[ids]
-        ids, first = ids[kept], first[kept]
+        ids, first, of = ids[kept], first[kept], of[kept]
         kinds, values = self.kinds[ids].astype(np.int64), self.values[ids]
         after = np.zeros(len(ids), dtype=bool)
-        after[1:] = kinds[:-1] == NUMBER
+        after[1:] = (kinds[:-1] == NUMBER) & (of[1:] == of[:-1])
         kinds[(kinds == UNIT) & ~after] = WORD
         kinds[(kinds == WORD) & self.capital[ids] & ~first] = NAME
         slots = kinds != WORD
-        return values, np.where(slots, np.array(_SLOT, dtype=np.uint64)[kinds], values), slots
+        return of, values, np.where(slots, np.array(_SLOT, dtype=np.uint64)[kinds], values), slots
 
 
 def windows(templates: np.ndarray, slots: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +137,7 @@ class Block:
     item: np.ndarray
     at: np.ndarray
     items: list[tuple[int, np.ndarray, np.ndarray, int]]
+    marks: np.ndarray | None = None
 
     @staticmethod
     def of(rows: list[tuple[int, str]]) -> Block:
@@ -139,6 +154,34 @@ class Block:
         entries = np.unique(np.rec.fromarrays([hashes, item, at], names="h,i,a")) if len(hashes) else np.rec.fromarrays([hashes, item, at], names="h,i,a")
         return Block(np.array(entries["h"]), np.array(entries["i"]), np.array(entries["a"]), items)
 
+    def held(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each hash is one of the block's; most of those that are not are told by their last bits."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), dtype=bool)
+        if self.marks is None:
+            self.marks = np.zeros(MARKS, dtype=bool)
+            self.marks[(self.hashes % np.uint64(MARKS)).astype(np.int64)] = True
+        found = self.marks[(hashes % np.uint64(MARKS)).astype(np.int64)]
+        some = np.flatnonzero(found)
+        low = np.minimum(np.searchsorted(self.hashes, hashes[some]), len(self.hashes) - 1)
+        found[some] = self.hashes[low] == hashes[some]
+        return found
+
+    def search_many(self, canon: Canon, texts: list[str | None]) -> Iterator[tuple[int, tuple[int, int, int, int]]]:
+        """(number of the text, find) of several texts; only those that hold a window of the block are looked at one by one."""
+        of, values, templates, slots = canon.many(texts)
+        if len(of) < WINDOW:
+            return
+        inside = of[: len(of) - WINDOW + 1] == of[WINDOW - 1 :]
+        some: set[int] = set()
+        for words, marks in ((templates, slots), (values, np.zeros_like(slots))):
+            hashes, usable = windows(words, marks)
+            some.update(np.unique(of[: len(hashes)][usable & inside & self.held(hashes)]).tolist())
+        for number in sorted(some):
+            a, b = np.searchsorted(of, [number, number + 1])
+            for find in self.search(values[a:b], templates[a:b], slots[a:b]):
+                yield number, find
+
     def search(self, values: np.ndarray, templates: np.ndarray, slots: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item_id, windows found, windows of the item, words of the longest run) of each item found in a document."""
         hits = []
@@ -195,8 +238,9 @@ def _consistent(starts: np.ndarray, own: np.ndarray, own_slots: np.ndarray, valu
 def _searched(block: Block):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
-        for batch in slices(batches):
-            out = [(d, *f) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()) for f in block.search(*canon(t))]
+        for batch in small_slices(batches):
+            ids = batch["doc_id"].to_pylist()
+            out = [(ids[i], *f) for i, f in block.search_many(canon, batch["text"].to_pylist())]
             columns = list(zip(*out)) if out else [[] for _ in range(5)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "n_found", "n_windows", "longest_run"])
 
