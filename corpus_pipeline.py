@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftaudit.llm import bpe, decontaminate, lines, quality, simhash
+from weftaudit.llm.common import bounded_batches
 from weftaudit.llm.queries import tokenizer_file
 from weftaudit.sources.shared import shared_dir
 
@@ -21,6 +22,7 @@ ORACLE_SQL: str | None = None
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones of ``docs``, does not reject."""
+    bounded_batches(spark)
     machine = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.with_scores(docs, machine, "__score")
     return scored.filter(F.col("__score") >= quality.THRESHOLD).drop("__score")
@@ -28,6 +30,7 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that other documents repeat; n_chars counts the new text."""
+    bounded_batches(spark)
     found = lines.dedup_lines(docs)
     text = F.col("line_dedup.kept")
     result = found.withColumn("text", text)
@@ -38,16 +41,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component."""
+    bounded_batches(spark)
     return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items."""
+    bounded_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text of each document."""
+    bounded_batches(spark)
     return bpe.encode_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 

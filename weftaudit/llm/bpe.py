@@ -21,13 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftaudit.llm.common import RollingHash, code_points, slices
+from weftaudit.llm.common import RollingHash, code_points, small_slices
 from weftaudit.llm.pieces import WORD_END_PATTERN, Pieces
 
 #: Mean chunk length in code points is 2 ** CHUNK_BITS; the rolling hash sees WINDOW of them.
 CHUNK_BITS = 11
 WINDOW = 24
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 16 << 20
 _SPACE = re.compile(r"[\x20\x09-\x0d]")
 _WORDS = re.compile(r"[^\x20\x09-\x0d]+")
 Encoded = tuple[int, bytes, bytes]  # tokens, decimal ids and decoded tokens, each joined by a space
@@ -153,7 +153,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in slices(batches):
+        for batch in small_slices(batches):
             found = [encode(t) for t in batch["text"].to_pylist()]
             arrays = [
                 batch["doc_id"],

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftaudit.llm.common import doc_crc, slices
+from weftaudit.llm.common import doc_crc, small_slices
 
 WORD_BINS = 1 << 14
 STAT_BINS = 12
@@ -34,20 +34,7 @@ _CLASS[128:] = 6
 
 
 class Features:
-    """Turns a text into (feature numbers, values); hashes of words met before are kept, up to a bound."""
-
-    MOST = 400_000
-
-    def __init__(self) -> None:
-        self.bins: dict[bytes, int] = {}
-
-    def _bin(self, word: bytes) -> int:
-        found = self.bins.get(word)
-        if found is None:
-            if len(self.bins) >= self.MOST:
-                self.bins.clear()
-            found = self.bins[word] = zlib.crc32(word) % WORD_BINS
-        return found
+    """Turns a text into (feature numbers, values)."""
 
     def __call__(self, text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
         raw = (text or "").encode()
@@ -74,7 +61,7 @@ class Features:
         at = np.array([WORD_BINS + j * STAT_BINS + min(STAT_BINS - 1, int(s * STAT_BINS)) for j, s in enumerate(stats)], dtype=np.int64)
         if not n:
             return at, np.full(len(at), 0.5)
-        bins = np.fromiter(map(self._bin, counts), dtype=np.int64, count=len(counts))
+        bins = np.fromiter(map(zlib.crc32, counts), dtype=np.int64, count=len(counts)) % WORD_BINS
         weight = 1.0 + np.log(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))
         summed = np.bincount(bins, weights=weight, minlength=WORD_BINS)
         kept = np.flatnonzero(summed)
@@ -135,7 +122,7 @@ class FactorisationMachine:
 
 def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features = Features()
-    for batch in slices(batches):
+    for batch in small_slices(batches):
         at, x = zip(*(features(t, n) for t, n in zip(batch["text"].to_pylist(), batch["n_chars"].to_pylist()))) if batch.num_rows else ((), ())
         yield pa.RecordBatch.from_arrays(
             [batch["doc_id"], batch["quality"], pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([v.astype("<f4").tobytes() for v in x], pa.binary())],
@@ -176,7 +163,7 @@ def score_documents(docs: DataFrame, machine: FactorisationMachine) -> DataFrame
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in slices(batches):
+        for batch in small_slices(batches):
             scores = [machine.score(*features(t, n)) for t, n in zip(batch["text"].to_pylist(), batch["n_chars"].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
