@@ -1,4 +1,4 @@
-"""Robots rules as an index, and tables that are updated by commits."""
+"""Robots rules and addresses as indexes, and tables that are updated by commits."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftaudit.operators import ops, robots
+from weftaudit.operators import addresses, ops, robots
 from weftaudit.sources.versioned import VersionedTable
 
 RULE = "site string, agent string, ord long, allow boolean, prefix string"
@@ -81,3 +81,29 @@ def test_job_states(spark, tmp_path):
     assert got == {1: ("completed", at(2), "r.json"), 2: ("pending", None, None)}
     ops.update_jobs(jobs, "again", spark.createDataFrame([(1, "running", at(3), None, None)], schema))
     assert {r["job_id"]: (r["status"], r["finished_at"], r["report_path"]) for r in jobs.rows().collect()}[1] == ("running", None, None)
+
+
+def test_addresses_are_found_by_their_rarest_parts(spark, tmp_path):
+    rnd = random.Random(3)
+    urls = [f"https://s{i % 3}.org/" + "".join(rnd.choice("ab/é") for _ in range(rnd.randint(0, 8))) for i in range(120)] + ["x", "", None, "https://s0.org/only-here"]
+    rows = [(i, f"s{i % 3}", u) for i, u in enumerate(urls)]
+    index = addresses.AddressIndex(spark, str(tmp_path / "index"))
+    frame = spark.createDataFrame(rows, "page_id long, site string, url string")
+    for part in (0, 1):  # in two parts
+        index.add(frame.where(F.col("page_id") % 2 == part))
+    for wanted in ("/ab", "aa", "", "/", "only-here", "é/a", "not there", "https://s1.org/"):
+        want = {r for r in rows if r[2] is not None and wanted in r[2]}
+        assert {tuple(r) for r in index.holding(wanted).collect()} == want
+        first = {s: min(i for i, t, _ in want if t == s) for s in {t for _, t, _ in want}}
+        assert {r["site"]: r["page_id"] for r in index.first_of_sites(wanted).collect()} == first
+    assert index.rarest("https://s0.org/only-here")[0] in {"onl", "nly", "ly-", "y-h", "-he", "her", "ere"} and index.rarest("ab") is None
+
+
+def test_a_lookup_reads_the_rows_of_its_parts_only(spark, tmp_path):
+    """No more rows leave the index's scans than the rarest parts and the folders of candidates have."""
+    frame = spark.range(3000).selectExpr("id AS page_id", "'s' AS site", "concat('https://s.org/page/', id, '/end') AS url")
+    index = addresses.AddressIndex(spark, str(tmp_path / "index"))
+    index.add(frame)
+    plan = index.holding("/2718/")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(folder" in plan and "PushedFilters: [IsNotNull(part), EqualTo(part," in plan
+    assert [r["page_id"] for r in index.holding("/2718/").collect()] == [2718]

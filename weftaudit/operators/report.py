@@ -267,6 +267,13 @@ def html_sections(facts: DataFrame) -> DataFrame:
     )
 
 
+#: The facts that page cards and the broken links on them read.
+CARD_FACTS = [
+    "site", "page_id", "url", "status_code", "word_count", "title", "title_length", "meta_description", "meta_description_length",
+    "semantic_elements", "image_count", "missing_alt_count", "internal_count", "external_count", "links",
+]
+
+
 def page_card(broken_items: Column, broken_count: Column) -> Column:
     """The short description of one page; ``broken_items`` are its broken links as text."""
     broken = F.when(
@@ -294,10 +301,3 @@ def broken_items(broken: DataFrame, shown: int = 3) -> DataFrame:
     return numbered_.groupBy("page_id").agg(
         F.count("*").alias("broken_links"), F.transform(F.sort_array(F.collect_list(kept)), lambda x: x["_item"]).alias("broken_items")
     )
-
-
-def find_page(facts: DataFrame, wanted: str) -> DataFrame:
-    """First page of each site whose address contains ``wanted``."""
-    hits = facts.where(F.col("url").contains(wanted))
-    cols = [c for c in facts.columns if c != "site"]
-    return hits.groupBy("site").agg(F.min_by(F.struct(*cols), "page_id").alias("p")).select("site", "p.*")

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftaudit.operators import authority, links, ops, qa, recommend, report, rollup, scoring
+from weftaudit.operators import addresses, authority, links, ops, qa, recommend, report, rollup, scoring
+from weftaudit.operators.facts import page_facts
 from weftaudit.operators.numbering import numbered
 from weftaudit.operators.rows import unrolled
 from weftaudit.plans.queries_html import facts, joined
@@ -192,8 +193,12 @@ def rpt_assembly(spark, sf):
 
 
 def rpt_page_lookup(spark, sf):
-    """The card of the first page of each site with that address, its first broken links included."""
-    found = materialised(report.find_page(facts(spark, sf), "/p/2"))
+    """The card of the first page of each site with that address, its first broken links included; found by an index of addresses."""
+    pages = derived(spark, sf, "pages_raw")
+    index = addresses.AddressIndex(spark, shared.fresh_path(spark, "addresses"))
+    index.add(materialised(pages.select("page_id", "site", "url")))
+    wanted = materialised(index.first_of_sites("/p/2"))
+    found = materialised(page_facts(pages.join(wanted, ["site", "page_id"], "left_semi")).select(*report.CARD_FACTS))
     shown = report.broken_items(links.broken_links(found, derived(spark, sf, "link_status")))
     rows = found.join(shown, "page_id", "left")
     return rows.select("site", "page_id", report.page_card(F.col("broken_items"), F.coalesce("broken_links", F.lit(0))).alias("card"))
