@@ -594,6 +594,7 @@ ORACLE = {
     ),
     "src_snapshots": f"""SELECT page_id, {netloc('url')} AS site, url, length(html) AS html_length, CAST(CASE WHEN coalesce(html, '') = '' THEN 0 ELSE 200 END AS BIGINT) AS status_code,
         CAST(0 AS BIGINT) AS depth, CAST(NULL AS DOUBLE) AS load_time, CASE WHEN coalesce(html, '') = '' THEN 'Failed to fetch' END AS error FROM pages""",
+    "src_page_dumps": sql("SELECT page_id, site, url, md5(html) AS html_md5, status_code, depth, load_time, error FROM pages_raw"),
     "src_site_meta": sql("SELECT * FROM site_meta", tables=("site_meta",)),
     "src_link_status": sql("SELECT * FROM link_status", tables=("link_status",)),
     "src_saved_reports": sql("SELECT url, status_code, error, text_length, site AS domain, image_count AS total_images FROM fact2", *PAGE),

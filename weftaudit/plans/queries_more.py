@@ -366,6 +366,14 @@ def src_snapshots(spark, sf):
     return s.select("page_id", "site", "url", F.length("html").cast("bigint").alias("html_length"), "status_code", "depth", "load_time", "error")
 
 
+def src_page_dumps(spark, sf):
+    """All pages written as dump files and read back."""
+    path = shared.fresh_path(spark, "dumps")
+    src.write_page_dumps(derived(spark, sf, "pages_raw"), path, pages_per_file=100)
+    back = src.read_page_dumps(spark, path)
+    return back.select("page_id", "site", "url", F.md5("html").alias("html_md5"), "status_code", "depth", "load_time", "error")
+
+
 def src_site_meta(spark, sf):
     """Site facts as a loader gives them: names trimmed and in lower case, one row per site."""
     rows = derived(spark, sf, "site_meta")

@@ -65,6 +65,44 @@ def read_html_files(spark: SparkSession, path: str, base_url: str) -> DataFrame:
     return page_snapshots(files)
 
 
+# Fixed values of the dump format: what ends a page, and how this and the escape sign are written inside one.
+_END, _ESCAPE = "\x1e", "\x1b"
+_ESCAPED = [(_ESCAPE, _ESCAPE + "0"), (_END, _ESCAPE + "1")]
+_HEAD = "page_id bigint, site string, url string, status_code bigint, depth bigint, load_time double, error string, no_html boolean"
+
+
+def write_page_dumps(pages: DataFrame, path: str, pages_per_file: int = 10_000) -> None:
+    """Add page snapshots to a folder of dump files with many pages each: a line of JSON facts, the raw page, an end sign."""
+    body = F.coalesce("html", F.lit(""))
+    for plain, escaped in _ESCAPED:
+        body = F.replace(body, F.lit(plain), F.lit(escaped))
+    facts = [c for c in page_snapshots(pages).columns if c != "html"]
+    given = [F.col(c) for c in facts if c in pages.columns]
+    head = F.to_json(F.struct(*given, F.col("html").isNull().alias("no_html")))
+    rows = pages.select(F.concat(head, F.lit("\n"), body).alias("value"))
+    rows.write.mode("append").option("lineSep", _END).option("maxRecordsPerFile", pages_per_file).text(path)
+
+
+def read_page_dumps(spark: SparkSession, path: str, urls_wanted: list[str] | None = None, stream: bool = False, files_per_batch: int = 100) -> DataFrame:
+    """Pages of dump files as they were written, in batch or as a stream of the files that land.
+
+    Files are split between tasks at any place, as each page ends with a sign that no page holds.
+    With ``urls_wanted`` only the heads of other pages are looked at.
+    """
+    source = spark.readStream.option("maxFilesPerTrigger", files_per_batch) if stream else spark.read
+    pages = source.option("lineSep", _END).text(path).withColumn("_cut", F.locate("\n", "value"))
+    head = F.from_json(F.expr("substring(value, 1, _cut - 1)"), _HEAD).alias("_head")
+    rows = pages.select(head, "value", "_cut")
+    if urls_wanted is not None:
+        rows = rows.where(F.col("_head.url").isin(urls_wanted))
+    body = F.expr("substring(value, _cut + 1)")
+    for plain, escaped in reversed(_ESCAPED):
+        body = F.replace(body, F.lit(escaped), F.lit(plain))
+    return rows.select("_head.*", body.alias("_body")).select(
+        "page_id", "site", "url", F.when(~F.col("no_html"), F.col("_body")).alias("html"), "status_code", "depth", "load_time", "error"
+    )
+
+
 def page_payload(rows: DataFrame, payload: str, columns: list[str]) -> DataFrame:
     """Stored JSON over row columns: the payload wins, the row fills what is missing.
 
