@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-
 def opening_counts(rows: DataFrame, group: str, mark: str) -> DataFrame:
     """Rows per group and opening fingerprint (partial counts before the shuffle)."""
     return rows.groupBy(group, mark).agg(F.count("*").alias("n"))
 
 
-def with_duplicate_flag(rows: DataFrame, group: str, mark: str, row_id: Column) -> DataFrame:
-    """Add ``duplicated``. Only repeated openings come back, salted against hot ones."""
+def with_duplicate_flag(rows: DataFrame, group: str, mark: str) -> DataFrame:
+    """Add ``duplicated``. Only repeated openings are joined back; the join is plain, so adaptive execution splits the rows of a hot one."""
     repeated = opening_counts(rows, group, mark).where("n > 1").select(
         group, mark, F.lit(True).alias("duplicated")
     )

@@ -177,10 +177,10 @@ def _rule_columns() -> tuple[Column, ...]:
     title_rule = (
         F.when(title == "", _row("title_missing", "Critical", "No <title> tag found.", built))
         .when(
-            n > 60,
+            n > TITLE_FITS,
             _row(
                 "title_long",
-                F.when(F.coalesce("overall", F.lit(80.0)) >= 40, F.lit("Medium")).otherwise(F.lit("High")),
+                F.when(F.coalesce("overall", F.lit(UNSCORED)) >= 40, F.lit("Medium")).otherwise(F.lit("High")),
                 say("Current title is ", n, " characters: ", title),
                 short_title(title, keyword, name),
             ),
@@ -243,6 +243,15 @@ def _rule_columns() -> tuple[Column, ...]:
     return (F.concat(single, alts, stuffed).alias("recs"),)
 
 
+#: Letters of a title that is not too long; the rule of longer ones is the only one that reads a score.
+TITLE_FITS = 60
+
+
+def score_readers(facts: DataFrame) -> DataFrame:
+    """The pages whose rules read their score."""
+    return facts.where(F.length(collapse(F.col("title"))) > TITLE_FITS)
+
+
 # Fixed value: the score of a page that neither has one itself nor through its site.
 UNSCORED = 80.0
 

@@ -287,7 +287,7 @@ def scoring_input(facts: DataFrame, site_meta: DataFrame, whole_site: bool = Tru
     rows = facts.join(meta, ["site"], "left")
     measured = rows.select("*", _page_text_column()).select("*", *_text_columns()).drop("page_text", "text_content")
     if whole_site:
-        return with_duplicate_flag(measured, "site", "opening", F.col("page_id"))
+        return with_duplicate_flag(measured, "site", "opening")
     return measured.withColumn("duplicated", F.lit(False))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from html.entities import name2codepoint
 
-from weftaudit.functions.cms import CMS_PATTERNS
 from weftaudit.oracle import literals
 from weftaudit.plans.fixtures import with_clause
 
@@ -240,7 +239,7 @@ keyword AS (
 """
 
 _cms_rows = []
-for _i, (_name, _pattern, _scripts, _classes) in enumerate(CMS_PATTERNS):
+for _i, (_name, _pattern, _scripts, _classes) in enumerate(literals.CMS_PATTERNS):
     _cms_rows.append(
         f"""SELECT p.page_id, {_i} AS ord, {q(_name)} AS cms,
       CASE WHEN coalesce(regexp_matches(g.content, {q('(?i)' + _pattern)}), FALSE) THEN 3 ELSE 0 END

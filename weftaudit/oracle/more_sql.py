@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from weftaudit.functions import advice
-from weftaudit.functions.cms import CMS_PATTERNS
 from weftaudit.functions.suggest import PLATFORM_HELP, RULE_TEXTS
 from weftaudit.operators import qa, report
 from weftaudit.oracle import literals
@@ -358,7 +357,7 @@ TOPIC_LIST = "list_filter([" + ", ".join(
 ) + "], lambda x: x IS NOT NULL)"
 TOPICS_SQL = f"list_filter({TOPIC_LIST}, lambda x, i: list_position({TOPIC_LIST}, x) = i)"
 PLAN = "(" + " OR ".join(f"contains(lower(text), {q(w)})" for w in literals.PLAN_WORDS) + ")"
-CMS_NAMED = "CASE " + " ".join(f"WHEN contains(lower(text), {q(n)}) THEN {q(n)}" for n, *_ in CMS_PATTERNS) + " ELSE site_cms END"
+CMS_NAMED = "CASE " + " ".join(f"WHEN contains(lower(text), {q(n)}) THEN {q(n)}" for n, *_ in literals.CMS_PATTERNS) + " ELSE site_cms END"
 
 
 def fill(template: str) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from weftaudit.operators.authority import METRICS, NEUTRAL_ISSUE, NEUTRAL_PASSED
 from weftaudit.operators.single_page import GENERAL_ADVICE
 from weftaudit.oracle import literals
 from weftaudit.oracle.base import (
@@ -378,7 +377,7 @@ P_SITE_LINKS = "sl AS (SELECT * FROM site_anchor JOIN position_count USING (site
 
 _alias_rows = ", ".join(
     f"({q(n)}, {i}, {q(lbl)}, {o}, {w}::DOUBLE, {q(sc)})"
-    for o, (lbl, names, w, sc) in enumerate(METRICS)
+    for o, (lbl, names, w, sc) in enumerate(literals.METRICS)
     for i, n in enumerate(names)
 )
 AUTHORITY = f"""
@@ -403,9 +402,9 @@ auth AS (
 ),
 auth_msg AS (
   SELECT a.domain, a.provider, a.educational_mode, a.raw, {round2(clamp('a.raw'))} AS score, {grade_of('a.raw')} AS grade,
-    CASE WHEN a.educational_mode THEN {q(NEUTRAL_ISSUE)} ELSE coalesce((SELECT string_agg(CASE WHEN c.label IS NULL THEN l.label || ' was not provided' ELSE l.label || ' is weak' END, '|' ORDER BY l.ord)
+    CASE WHEN a.educational_mode THEN {q(literals.NEUTRAL_ISSUE)} ELSE coalesce((SELECT string_agg(CASE WHEN c.label IS NULL THEN l.label || ' was not provided' ELSE l.label || ' is weak' END, '|' ORDER BY l.ord)
       FROM (SELECT DISTINCT label, ord FROM alias) l LEFT JOIN chosen c ON c.label = l.label AND c.domain = a.domain WHERE c.label IS NULL OR c.x < 40), '') END AS issues,
-    CASE WHEN a.educational_mode THEN {q(NEUTRAL_PASSED)} ELSE coalesce((SELECT string_agg(c.label || ' is strong', '|' ORDER BY c.ord) FROM chosen c WHERE c.domain = a.domain AND c.x >= 70), '') END AS passed
+    CASE WHEN a.educational_mode THEN {q(literals.NEUTRAL_PASSED)} ELSE coalesce((SELECT string_agg(c.label || ' is strong', '|' ORDER BY c.ord) FROM chosen c WHERE c.domain = a.domain AND c.x >= 70), '') END AS passed
   FROM auth a
 )
 """

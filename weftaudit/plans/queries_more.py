@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weftaudit.functions import urls
 from weftaudit.operators import addresses, authority, links, ops, qa, recommend, report, rollup, scoring
 from weftaudit.operators.facts import page_facts
 from weftaudit.operators.numbering import numbered
@@ -40,24 +41,35 @@ def _rule_rows(spark, sf, prefixes):
     return rows.where(keep).select("page_id", "rule", "severity", "current_state", fix)
 
 
-def _scored(spark, sf, f, broken):
-    """Scores of the pages in stored facts, and how to get those of their sites where a page has none."""
+def _scores(spark, sf, f, broken):
+    """The score of every page in stored facts whose rules read one: those with a long title.
+
+    Pillars are worked out only for pages of the same addresses, and those of whole sites only if
+    a page has none of its own. Shared openings are looked for among all pages.
+    """
     meta, metrics = _meta(spark, sf), derived(spark, sf, "authority_metrics")
-    counted = links.with_broken_count(f, broken)
+    asked = materialised(recommend.score_readers(f).select("site", "page_id", "url"))
+    if asked.isEmpty():
+        return asked.select("site", "page_id", F.lit(recommend.UNSCORED).alias("overall"))
+    counted = links.with_broken_count(f.select(*scoring.SCORE_FACTS), broken)
     found = authority.authority_scores(f.select(F.col("site").alias("domain")).distinct(), metrics)
-    pillars = scoring.page_pillars(scoring.scoring_input(counted, meta))
+    rows = scoring.scoring_input(counted, meta)
+    key = urls.lookup_key(F.col("url"))
+    keys = asked.select("site", key.alias("key")).distinct()
+    some = rows.withColumn("key", key).join(keys, ["site", "key"], "left_semi")
 
     def of_sites():
         inputs = scoring.site_links(scoring.site_link_inputs(counted, meta))
-        return scoring.site_scores(scoring.pillar_means(pillars), scoring.site_technical(counted, meta), inputs, found)
+        return scoring.site_scores(scoring.pillar_means(scoring.page_pillars(rows)), scoring.site_technical(counted, meta), inputs, found)
 
-    return scoring.page_scores(pillars, found).select("site", "page_id", "url", "overall"), of_sites
+    scores = scoring.page_scores(scoring.page_pillars(some), found).select("site", "page_id", "url", "overall")
+    return recommend.resolved_scores(asked, scores, of_sites)
 
 
 def rec_titles(spark, sf):
     """Title rules; the severity of a long title reads the score of the page."""
     f = materialised(facts(spark, sf))
-    scores = recommend.resolved_scores(f, *_scored(spark, sf, f, links.broken_links(f, derived(spark, sf, "link_status"))))
+    scores = _scores(spark, sf, f, links.broken_links(f, derived(spark, sf, "link_status")))
     rows = recommend.page_rules(f, _meta(spark, sf), scores).where(F.col("rule").startswith("title_"))
     return rows.select("page_id", "rule", "severity", "current_state", recommend.exact_fix(F.col("rule"), F.col("draft")).alias("exact_fix"))
 
@@ -97,7 +109,7 @@ def rec_site(spark, sf):
 def _all_rows(spark, sf):
     f = materialised(facts(spark, sf))
     broken = materialised(links.broken_links(f, derived(spark, sf, "link_status")))
-    scores = recommend.resolved_scores(f, *_scored(spark, sf, f, broken))
+    scores = _scores(spark, sf, f, broken)
     return recommend.recommendations(f, _meta(spark, sf), broken, scores)
 
 

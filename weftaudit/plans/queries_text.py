@@ -146,7 +146,7 @@ def txt_fingerprint(spark, sf):
 
 def txt_duplicates(spark, sf):
     marked = _docs(spark, sf).select("doc_id", "source", text.fingerprint(F.col("text")).alias("opening"))
-    return with_duplicate_flag(marked, "source", "opening", F.col("doc_id")).select("doc_id", "source", "duplicated")
+    return with_duplicate_flag(marked, "source", "opening").select("doc_id", "source", "duplicated")
 
 
 def txt_duplicate_counts(spark, sf):
