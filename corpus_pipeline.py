@@ -21,15 +21,23 @@ ORACLE_SQL: str | None = None
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones of ``docs``, does not reject."""
+    """Documents that the classifier, fitted on the labelled ones of ``docs``, does not reject.
+
+    Null and empty texts have a score like others; texts are scored whole; rows that repeat and rows
+    without an id are judged each by itself; without labels nothing is rejected.
+    """
     bounded_batches(spark)
     machine = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.with_scores(docs, machine, "__score")
-    return scored.filter(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    score = f"score_{uuid.uuid4().hex}"  # no column of the documents
+    return quality.with_scores(docs, machine, score).filter(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that other documents repeat; n_chars counts the new text."""
+    """Texts without lines that other documents repeat; n_chars counts the new text.
+
+    A null text becomes an empty one; no document goes, even if all its lines do. Rows of one id are
+    one document for the choice of the row that keeps a line.
+    """
     bounded_batches(spark)
     found = lines.dedup_lines(docs)
     text = F.col("line_dedup.kept")
@@ -40,19 +48,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
+    """One document of each SimHash component; empty texts are one component, rows without an id all stay."""
     bounded_batches(spark)
     return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items."""
+    """Documents without benchmark items; null and empty texts hold none, rows that share an id go together."""
     bounded_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text of each document."""
+    """Token counts and digests of the ids and of the decoded text of each document; a null text has no tokens."""
     bounded_batches(spark)
     return bpe.encode_documents(docs, tokenizer_file("word_bpe_49k.json"))
 

@@ -89,6 +89,24 @@ def test_simhash_of_nulls_and_repeats(spark):
     assert simhash.simhash_components(frame(spark, [])).count() == 0
 
 
+def test_rows_that_share_an_id_are_kept_by_their_own_component(spark):
+    same, own = "a b c d e f g", "quite another text with other words in it"
+    rows = [(1, same), (3, same), (3, own), (5, own + " x9"), (5, own + " x9"), (None, same), (7, "zz yy xx ww vv"), (7, "Aa yy xx ww vv uu")]
+    docs = spark.createDataFrame([(d, t, "k", 1, t) for d, t in rows], "doc_id long, text string, __doc string, fp long, component_id string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    found = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(docs).filter("doc_id is not null").collect()}
+    got = sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect())
+    want = [(-1, same), (1, same), (3, own), (7, "Aa yy xx ww vv uu"), (7, "zz yy xx ww vv")] + ([(5, own + " x9")] if found[5] == 5 else [])
+    assert got == sorted(want)
+
+
+def test_names_that_operators_used_inside(spark):
+    docs = spark.createDataFrame([(1, "short", "a", "b", 0.1), (2, "short", "c", "d", 0.2)], "doc_id long, text string, __drops string, __doc string, __score double")
+    assert {tuple(r)[:5] for r in lines.dedup_lines(docs).collect()} == {tuple(r) for r in docs.collect()}
+    assert {tuple(r) for r in simhash.keep_one(docs).collect()} == {(1, "short", "a", "b", 0.1)}
+
+
 def test_without_ids_either_way(spark, monkeypatch):
     docs, ids = frame(spark, [(1, "a"), (2, "b"), (2, "c"), (None, "d"), (4, None)]), spark.createDataFrame([(2,), (2,), (None,), (9,)], "doc_id long")
     for most in (10, 1):

@@ -140,14 +140,15 @@ def dedup_lines(
     of ``min_chars`` code points or more that ``min_docs`` documents or more hold lose all
     their lines except in the document of the largest id. Every row counts as a document;
     rows of equal id are kept or emptied together; a null id ranks below all others. A null
-    or empty text is one empty line. Other columns pass through unread; an empty table gives
-    an empty result.
+    or empty text is one empty line. Other columns pass through unread, whatever their names (a
+    column line_dedup is replaced); an empty table gives an empty result.
 
     Lines that a large share of the documents hold meet partial sums first; the join that
     spreads a key's decision to its documents is a plain sort-merge join, whose large
     partitions adaptive execution splits.
     """
     spark = docs.sparkSession
+    drop_name, id_name = (f"{name}_{uuid.uuid4().hex}" for name in ("drops", "doc"))
     folder = f"{shared_dir(spark).rstrip('/')}/line-keys-{uuid.uuid4().hex}"
     cuts = id_ranges(docs.select("doc_id"), batches)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), range_of(F.col("doc_id"), cuts).alias("part"), "text")
@@ -162,9 +163,9 @@ def dedup_lines(
         lines.join(repeated, KEY)
         .filter(~F.col("doc_id").eqNullSafe(F.col("keep")))
         .groupBy("doc_id")
-        .agg(F.flatten(F.collect_set(F.array(*KEY))).alias("__drops"))
-        .withColumnRenamed("doc_id", "__doc")
+        .agg(F.flatten(F.collect_set(F.array(*KEY))).alias(drop_name))
+        .withColumnRenamed("doc_id", id_name)
     )
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["__doc"]), "left")
+    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops[id_name]), "left")
     result = F.arrow_udf(_kept(min_chars), "n_lines long, n_dropped long, kept string")
-    return joined.withColumn("line_dedup", result(F.col("text"), F.col("__drops"))).drop("__doc", "__drops")
+    return joined.withColumn("line_dedup", result(F.col("text"), F.col(drop_name))).drop(id_name, drop_name)

@@ -217,7 +217,7 @@ def _fingerprints(shingle: int):
 
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fp (signed 64 bits), component_id.
+    """One row for each row of ``docs``: doc_id, fp (signed 64 bits), component_id, root (one fingerprint of the component).
 
     Words are runs without ASCII white space, A-Z in lower case; shingles keep repeats; a text
     of fewer words is one shingle, a null or empty one has fingerprint zero and links like any
@@ -232,18 +232,30 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     roots = components(fingerprint_edges(nodes.select("fp"), radius, bucket))
     labels = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = labels.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(labels.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(labels.join(smallest, "root"), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One document of each component: the one of the smallest doc_id, with all its columns.
 
-    Of rows that repeat this id one stays. Rows without an id cannot be named by a component,
-    so all of them stay.
+    Rows that repeat an id are told apart by their fingerprints: each counts for its own
+    component, and of several rows of the smallest id of a component the least one stays (by its
+    columns in their order). Rows without an id cannot be named by a component, so all of them
+    stay. Empty texts are a component, texts of any length are read whole, an empty table gives
+    an empty one, and no column name of ``docs`` is taken.
     """
     found = materialised(simhash_components(docs, radius, shingle))
-    rows = without_ids(docs, found.filter("doc_id <> component_id"))
-    repeated = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not repeated.take(1):
-        return rows
-    return rows.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id is null"))
+    gone = found.filter("doc_id <> component_id").select("doc_id")
+    repeated = materialised(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return without_ids(docs, gone)
+
+    def prints(texts: pa.Array) -> pa.Array:
+        return pa.array([_signed(fingerprint(t.as_py(), shingle)) for t in texts], pa.int64())
+
+    components_of = found.select(F.col("fp").alias("fp_"), F.col("component_id").alias("component_"), F.col("root").alias("root_")).distinct()
+    odd = docs.join(repeated.select(F.col("doc_id").alias("id_")), docs["doc_id"] == F.col("id_"), "left_semi")
+    packed = odd.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.arrow_udf(prints, "long")("text").alias("fp_"))
+    own = packed.join(components_of, "fp_").filter(F.col("row_.doc_id") == F.col("component_"))
+    least = own.groupBy("root_").agg(F.min("row_").alias("row_")).select("row_.*")
+    return without_ids(docs, gone.unionByName(repeated)).unionByName(least)
