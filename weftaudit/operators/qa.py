@@ -136,6 +136,7 @@ def cms_named(message: Column, site_cms: Column) -> Column:
     return F.coalesce(named, site_cms)
 
 
+# The texts between the figures.
 @cache
 def action_plan() -> Column:
     first = lambda k: F.get(F.col(k), F.lit(0))
@@ -200,6 +201,7 @@ def answers(questions: DataFrame) -> DataFrame:
     ).drop("found")
 
 
+# The texts between the figures.
 def short_answer() -> Column:
     """Score, fix list or overview, by the words of the message."""
     low = F.lower("text")
@@ -254,6 +256,7 @@ def prompt_line() -> Column:
     return say(F.upper(F.substring("role", 1, 1)), F.lower(F.substring(F.col("role"), 2, 1000)), ": ", F.col("text"))
 
 
+# The texts between the figures.
 def site_prompt() -> Column:
     """Facts and findings of a site for a conversation, without its page lines."""
     c = F.col
@@ -276,6 +279,7 @@ def site_prompt() -> Column:
     )
 
 
+# The texts between the figures.
 def page_line() -> Column:
     """One highlight line of a page."""
     c = F.col

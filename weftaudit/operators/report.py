@@ -72,6 +72,7 @@ def _numbered_list(items: Column, tag: str = "") -> Column:
     return F.transform(items, lambda m, i: F.concat((i + 1).cast("string"), F.lit(f". {tag}"), m))
 
 
+# The texts between the figures.
 @cache
 def executive_summary() -> Column:
     """Counts and the leading messages, numbered through."""
@@ -89,6 +90,7 @@ def executive_summary() -> Column:
     )
 
 
+# The texts between the figures.
 @cache
 def text_report() -> Column:
     """The plain-text report of a site without its page sections."""
@@ -111,6 +113,7 @@ def text_report() -> Column:
     )
 
 
+# The texts between the figures.
 @cache
 def email_summary() -> Column:
     """A short message: counts and up to three critical issues and warnings."""
@@ -131,6 +134,7 @@ def _priority_count(priority: str) -> Column:
     return F.size(F.filter("suggestions", lambda s: s["priority"] == priority))
 
 
+# The texts between the figures.
 @cache
 def _text_section() -> Column:
     url = F.when(F.length("url") <= 65, F.col("url")).otherwise(F.concat(F.substring("url", 1, 62), F.lit("...")))
@@ -164,6 +168,7 @@ def escape(value: Column) -> Column:
     return out
 
 
+# The texts between the figures.
 @cache
 def html_report() -> Column:
     """The HTML report of a site up to its page sections; ``html_end`` closes it."""
@@ -219,6 +224,7 @@ def html_end() -> str:
     return "</body>\n</html>"
 
 
+# The texts between the figures.
 @cache
 def _html_section() -> Column:
     first = F.get("cms_detected", F.lit(0))
@@ -274,6 +280,7 @@ CARD_FACTS = [
 ]
 
 
+# The texts between the figures.
 def page_card(broken_items: Column, broken_count: Column) -> Column:
     """The short description of one page; ``broken_items`` are its broken links as text."""
     broken = F.when(

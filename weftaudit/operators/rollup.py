@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from weftaudit.functions.common import messages, say
 from weftaudit.operators.rows import unrolled
 
+#: The facts that site summaries, insights, report heads and answers read; only these need to be stored.
+SITE_FACTS = [
+    "site", "page_id", "url", "fetched", "image_count", "missing_alt_count", "internal_count", "external_count", "word_count", "h1_count",
+    "has_title", "has_meta_description", "semantic_elements", "accessibility", "cms_probable",
+]
+
+
 def site_summary(facts: DataFrame, count_broken: bool = False, include_failed: bool = False) -> DataFrame:
     """Seven figures per site. The platform reports no broken links here, the crawl tool sums them."""
     rows = facts if include_failed else facts.where("fetched")

@@ -45,6 +45,7 @@ def lazy_images(images: Column) -> Column:
     return F.forall(images, lambda i: F.lower(i["loading"]) == "lazy")
 
 
+# Points, limits and messages.
 @cache
 def _on_page() -> Column:
     title, meta, key = F.trim("title"), strip(F.col("meta_description")), F.col("keyword")
@@ -106,6 +107,7 @@ def _on_page() -> Column:
     return pillar(score, 85.0, issues, passed)
 
 
+# Points, limits and messages.
 @cache
 def _content() -> Column:
     wc, ease, phrases = F.col("word_count"), F.col("flesch"), F.col("phrases")
@@ -141,6 +143,7 @@ def _content() -> Column:
     return pillar(score, 75.0, issues, passed)
 
 
+# Points, limits and messages.
 @cache
 def _technical() -> Column:
     secure = F.coalesce("https", F.col("url").startswith("https://"))
@@ -179,6 +182,7 @@ def _technical() -> Column:
     return pillar(score, 95.0, issues, passed)
 
 
+# Points, limits and messages.
 @cache
 def _ux() -> Column:
     images = F.col("images")
@@ -239,6 +243,7 @@ def _page_links() -> Column:
     )
 
 
+# Points, limits and messages.
 def _page_links_score(s: Column) -> Column:
     bad, unsafe = s["bad"], s["open"]
     ratio = F.when(s["n"] > 0, s["kinds"].cast("double") / s["n"].cast("double")).otherwise(F.lit(1.0))
@@ -352,6 +357,7 @@ def site_technical(facts: DataFrame, site_meta: DataFrame) -> DataFrame:
     return rows.select("site", "seconds", "view", "lazy", _site_technical().alias("technical_seo"))
 
 
+# Points, limits and messages.
 @cache
 def _site_technical() -> Column:
     secure, robots, sitemap, broken = (F.col(c) for c in ("secure", "robots", "sitemap", "broken"))
@@ -411,6 +417,7 @@ def site_links(inputs: DataFrame) -> DataFrame:
     return inputs.select("*", _site_links().alias("links_architecture"))
 
 
+# Points, limits and messages.
 @cache
 def _site_links() -> Column:
     orphans, deep, bad, unsafe = (F.col(c) for c in ("orphans", "deep", "bad_anchors", "unprotected"))

@@ -167,8 +167,12 @@ def _assembled(spark, sf, f):
     return rows.withColumn("analysis_date", F.lit("2024-01-31 00:00:00"))
 
 
+def _site_facts(spark, sf):
+    return materialised(facts(spark, sf).select(*rollup.SITE_FACTS))
+
+
 def _report(spark, sf, column):
-    f = materialised(facts(spark, sf))
+    f = _site_facts(spark, sf)
     return _assembled(spark, sf, f).select("site", column.alias("report"))
 
 
@@ -197,7 +201,7 @@ def rpt_html_pages(spark, sf):
 
 
 def rpt_assembly(spark, sf):
-    rows = _assembled(spark, sf, materialised(facts(spark, sf)))
+    rows = _assembled(spark, sf, _site_facts(spark, sf))
     return rows.select(
         "site", "base_url", "domain", "pages_crawled", "total_pages_analyzed", "avg_word_count",
         *[joined(k).alias(k) for k in report.KINDS],
@@ -220,7 +224,7 @@ def rpt_page_lookup(spark, sf):
 
 
 def _site_figures(spark, sf):
-    f = materialised(facts(spark, sf))
+    f = _site_facts(spark, sf)
     counts = rollup.site_counts(f)
     insights = rollup.site_insights(counts)
     rows = (
