@@ -24,7 +24,7 @@ BYTE_LEVEL_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[
 _PLAIN = re.compile(r"[ \n\t\r\x21-\x7e\xa1-ɏ]*")
 #: Before a lone space between two other characters every pattern starts anew.
 _CUT = regex.compile(r"(?<=[^\s\x1c-\x1f\u200b\ufeff])(?= [^\s\x1c-\x1f\u200b\ufeff])")
-#: Pieces of a generation; the one before it is kept too, so pieces in use are not learned again.
+#: Pieces of a generation, unless told otherwise; the one before it is kept too, so pieces in use are not learned again.
 CACHE_PIECES = 100_000
 
 
@@ -38,7 +38,7 @@ def byte_alphabet() -> list[str]:
 class Pieces:
     """Splits plain texts into pieces and keeps what ``digest`` makes of each piece's ids."""
 
-    def __init__(self, path: str, pattern: str, lower: bool, digest) -> None:
+    def __init__(self, path: str, pattern: str, lower: bool, digest, cache: int = 0) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,6 +49,7 @@ class Pieces:
         self.split = re.compile(pattern).findall
         self.lower = lower
         self.digest = digest
+        self.cache = cache or CACHE_PIECES
         self.table = dict(enumerate(byte_alphabet()))
         self.known: dict = {}
         self.before: dict = {}
@@ -77,7 +78,7 @@ class Pieces:
         if digest is None:
             mapped = piece.encode().decode("latin-1").translate(self.table)
             digest = self.digest([t.id for t in self.model.tokenize(mapped)])
-        if len(self.known) >= CACHE_PIECES:
+        if len(self.known) >= self.cache:
             self.before, self.known = self.known, {}
         self.known[piece] = digest
         return digest

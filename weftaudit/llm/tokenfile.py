@@ -113,12 +113,16 @@ def _opened(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder if "://" in folder or not folder.startswith("file:") else "file://" + folder[5:])
 
 
+#: Pieces of a generation whose ids a worker keeps; they are some bytes each.
+CACHE_PIECES = 300_000
+
+
 class DocumentIds:
     """Ids of a text as raw bytes of the file's width."""
 
     def __init__(self, path: str, kind: str) -> None:
         self.kind = kind
-        self.pieces = Pieces(path, BYTE_LEVEL_PATTERN, False, lambda ids: np.array(ids, dtype=kind).tobytes())
+        self.pieces = Pieces(path, BYTE_LEVEL_PATTERN, False, lambda ids: np.array(ids, dtype=kind).tobytes(), CACHE_PIECES)
 
     def __call__(self, text: str | None) -> bytes:
         return b"".join(self.pieces(text or ""))
