@@ -3,8 +3,9 @@
 Counts of all training tokens are summed by Spark; they give the unigram base and, inside
 the classes, the start of the model. p(word | history) = p(class | state) p(word | class,
 state) for the most frequent words; all others share one class, inside which a word has its
-add-one share. The recurrent weights are learned by truncated backpropagation on segments
-of every training document, in parallel tasks whose weights are averaged between rounds.
+add-one share. The recurrent weights are learned by truncated backpropagation over all tokens of all
+training documents, in tasks of about the same number of tokens whose weights are averaged
+in a tree; each round learns from its own half of the segments.
 Scoring carries the state across windows, so a document's log-likelihood covers all of it.
 """
 
@@ -13,8 +14,9 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftaudit.llm.common import doc_crc, slices
+from weftaudit.llm.common import doc_crc, slices, small_slices
 from weftaudit.sources.shared import materialised
 
 END = "\n"  # no word can hold it
@@ -31,9 +33,13 @@ HELD_OUT_MODULUS, HELD_OUT_REST = 7, 2
 VOCABULARY, CLASSES = 2048, 32
 #: Words whose counts every task knows; counts of the others come by a join.
 DICTIONARY = 1 << 18
-HIDDEN, STEPS, SEGMENT = 16, 32, 64
-ROUNDS, TRAINERS, SEGMENTS_PER_TRAINER = 2, 48, 6144
-GROUP = 1024
+HIDDEN, STEPS, SEGMENT = 16, 32, 128
+#: Rounds, each over its own part of the segments; tokens of a trainer in a round, about; segments side by side in a step.
+ROUNDS, TRAINER_TOKENS, LANES = 2, 1_000_000, 128
+#: Trainers whose weights one task averages; so many or fewer are averaged by the driver.
+FAN = 32
+#: Rows, and bytes of Arrow data, that are scored side by side.
+GROUP, GROUP_BYTES = 1024, 8 << 20
 COUNTER = 150_000
 
 
@@ -86,7 +92,14 @@ class Lexicon:
         self.logs = np.log10(self.counts + 1.0)
         own = float((self.counts[: self.neural] + 1.0).sum())
         self.others = self.total + self.distinct + 1.0 - own  # sum of n + 1 of the other words, and one unknown word
-        self.end = self.ids.get(END.encode(), -1)
+
+    def ids_of(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word in the dictionary, -1 for words beyond it."""
+        return np.fromiter(map(self.ids.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+
+    def neural_ids(self, ids: np.ndarray) -> np.ndarray:
+        """The ids that the network reads and predicts: all words without weights of their own are one."""
+        return np.where((ids < 0) | (ids >= self.neural), self.other, ids)
 
     @staticmethod
     def of(counts: DataFrame) -> Lexicon:
@@ -171,25 +184,32 @@ class Network:
             slopes[0][:-1] += states.T @ shares
             slopes[0][-1] += shares.sum(0)
             back = shares @ self.classes[:-1].T
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(kind.astype(np.int16), kind="stable")  # a radix sort
         edges = np.searchsorted(kind[order], np.arange(count + 1))
+        order = order[: edges[count]]
+        held, at = states[order], targets[order] % size
+        inside = np.empty(len(order), dtype=raw.dtype)
+        behind = np.empty_like(held) if slopes is not None else None
         for c in range(count):
-            own = order[edges[c] : edges[c + 1]]
-            if not len(own):
+            a, b = edges[c], edges[c + 1]
+            if a == b:
                 continue
-            held, at = states[own], targets[own] - c * size
-            raw = held @ self.words[c, :-1] + self.words[c, -1]
+            raw = held[a:b] @ self.words[c, :-1] + self.words[c, -1]
             raw -= raw.max(1, keepdims=True)
-            picked = raw[np.arange(len(own)), at]
+            own = (np.arange(b - a), at[a:b])
+            picked = raw[own]
             np.exp(raw, out=raw)
             sums = raw.sum(1)
-            logs[own] += picked - np.log(sums)
+            inside[a:b] = picked - np.log(sums)
             if slopes is not None:
                 raw /= sums[:, None]
-                raw[np.arange(len(own)), at] -= 1.0
-                slopes[1][c, :-1] += held.T @ raw
+                raw[own] -= 1.0
+                slopes[1][c, :-1] += held[a:b].T @ raw
                 slopes[1][c, -1] += raw.sum(0)
-                back[own] += raw @ self.words[c, :-1].T
+                behind[a:b] = raw @ self.words[c, :-1].T
+        logs[order] += inside
+        if slopes is not None:
+            back[order] += behind
         return logs, back
 
     def step(self, ids: np.ndarray, alive: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], float]:
@@ -201,34 +221,42 @@ class Network:
         by_state = np.zeros((len(flat), HIDDEN), dtype=np.float32)
         by_state[flat] = back
         by_state = by_state.reshape(states.shape)
-        gates = np.empty((*ids.shape, 3 * HIDDEN), dtype=np.float32)
+        z, r, new, inner = (np.stack(x) for x in zip(*kept))
+        by_new = (1 - z) * (1 - new * new)
+        by_gates = np.concatenate([(states - new) * z * (1 - z), by_new * inner[:, :, 2 * HIDDEN :] * r * (1 - r), by_new * r], 2)
+        slopes = np.empty((*ids.shape, 3 * HIDDEN), dtype=states.dtype)  # of the products with ``inner``
         carried = np.zeros_like(state)
+        carries = np.empty_like(states)
+        back = self.inner.T.copy()
         for t in range(len(ids) - 1, -1, -1):
-            z, r, new, inner = kept[t]
-            held = states[t]
-            d_new = carried * (1 - z) * (1 - new * new)
-            d_z = carried * (held - new) * z * (1 - z)
-            d_r = d_new * inner[:, 2 * HIDDEN :] * r * (1 - r)
-            gates[t] = np.concatenate([d_z, d_r, d_new], 1)
-            d_inner = np.concatenate([d_z, d_r, d_new * r], 1)
-            grads[1] += held.T @ d_inner
-            carried = carried * z + d_inner @ self.inner.T + by_state[t]
-        np.add.at(grads[0], ids.ravel(), gates.reshape(-1, 3 * HIDDEN))
+            carries[t] = carried
+            np.multiply(by_gates[t].reshape(-1, 3, HIDDEN), carried[:, None, :], out=slopes[t].reshape(-1, 3, HIDDEN))
+            carried = carried * z[t] + slopes[t] @ back + by_state[t]
+        grads[1] += states.reshape(-1, HIDDEN).T @ slopes.reshape(-1, 3 * HIDDEN)
+        slopes[:, :, 2 * HIDDEN :] = carries * by_new  # now of the gates
+        order = np.argsort(ids.ravel(), kind="stable")
+        words, starts = np.unique(ids.ravel()[order], return_index=True)
+        grads[0][words] += np.add.reduceat(slopes.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
         scale = np.float32(1.0 / max(1, int(flat.sum())))
         return after, [g * scale for g in grads], float(logs.mean()) if len(logs) else 0.0
 
-    def train(self, segments: list[np.ndarray], rate: float = 0.12, batch: int = 48) -> Network:
-        """AdaGrad over the segments in the given order; the state goes on from window to window, gradients do not."""
+    def train(self, segments: Iterable[np.ndarray], rate: float = 0.15, lanes: int = LANES) -> int:
+        """AdaGrad over the segments as they come, ``lanes`` at a time, in place; the number of their tokens.
+
+        Inside a segment the state goes on from window to window, gradients do not.
+        """
         seen = [np.full_like(p, 1e-6) for p in self.parts()]
         other = len(self.inputs) - 1
-        for first in range(0, len(segments), batch):
-            chosen = segments[first : first + batch]
+        tokens = 0
+        segments = iter(segments)
+        while chosen := [s for s, _ in zip(segments, range(lanes))]:
             length = max(map(len, chosen))
             ids = np.full((length, len(chosen)), other, dtype=np.int64)
             alive = np.zeros(ids.shape, dtype=bool)
             for lane, segment in enumerate(chosen):
                 ids[: len(segment), lane] = segment
                 alive[: len(segment), lane] = True
+                tokens += len(segment)
             state = np.zeros((len(chosen), HIDDEN), dtype=np.float32)
             for at in range(0, length, STEPS):
                 state, grads, _ = self.step(ids[at : at + STEPS], alive[at : at + STEPS], state)
@@ -236,85 +264,121 @@ class Network:
                     np.clip(grad, -1.0, 1.0, out=grad)
                     sums += grad * grad
                     part -= np.float32(rate) * grad / np.sqrt(sums)
-        return self
+        return tokens
+
 
+def cut(ids: np.ndarray) -> Iterator[np.ndarray]:
+    """Segments that cover all ids of a document."""
+    for at in range(0, len(ids), SEGMENT):
+        yield ids[at : at + SEGMENT]
 
-def _segments(lexicon, words: int):
+
+def _segments(lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, neural, other, end = lexicon.value.ids, lexicon.value.neural, lexicon.value.other, lexicon.value.end
-        for batch in slices(batches):
-            out = []
+        known: Lexicon = lexicon.value
+        for batch in small_slices(batches):
+            places, found, sizes = [], [], []
             for text in batch["text"].to_pylist():
                 raw = (text or "").encode().lower()
                 place = zlib.crc32(raw)
-                # the first words of the document, or words from a place fixed by the text's hash
-                start = 0 if place % 3 == 0 or len(raw) < 512 else (place // 3) % (len(raw) - 256)
-                part = raw[start : start + 16 * words].split()
-                found = [i if (i := ids.get(w, neural)) < neural else other for w in part[1 if start else 0 : words]]
-                if len(raw) <= start + 16 * words and len(found) < words:
-                    found.append(end if 0 <= end < neural else other)
-                out.append((place, np.array(found, dtype="<i4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], names=["place", "ids"])
+                ids = known.neural_ids(known.ids_of([*raw.split(), END.encode()])).astype("<i2")
+                for number, segment in enumerate(cut(ids)):
+                    places.append(zlib.crc32(number.to_bytes(8, "little"), place))
+                    found.append(segment.tobytes())
+                    sizes.append(len(segment))
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(found, pa.binary()), pa.array(sizes, pa.int64())], names=["place", "ids", "n"])
 
     return rows
 
 
-def train_network(docs: DataFrame, lexicon: Lexicon, shared) -> Network:
-    """Weights from one segment of every training document, so that what is learned from grows with the input.
+def _learned(shared, start, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Weights after a trainer's segments, which stream by; one row with their tokens, none without segments."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Network.start(shared.value).load(start.value)
+        tokens = own.train((np.frombuffer(s, "<i2").astype(np.int64) for b in batches for s in b["ids"].to_pylist()), rate)
+        if tokens:
+            trainer = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([trainer], pa.int64()), pa.array([tokens], pa.int64()), pa.array([own.dump()], pa.binary())], names=["trainer", "n", "weights"])
+
+    return rows
+
+
+def mean_weights(rows: Iterable[tuple[int, bytes]]) -> tuple[int, np.ndarray | None]:
+    """The number of all tokens, and the mean of the weights by number of tokens, one row in memory at a time."""
+    total, sums = 0, None
+    for n, raw in rows:
+        part = np.frombuffer(raw, np.float32) * np.float64(n)
+        sums = part if sums is None else sums + part
+        total += n
+    return total, None if sums is None else (sums / total).astype(np.float32)
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, mean = mean_weights((r["n"], r["weights"]) for b in batches for r in b.to_pylist())
+    if total:
+        group = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([total], pa.int64()), pa.array([mean.tobytes()], pa.binary())], names=["trainer", "n", "weights"])
+
 
-    Segments are dealt to at most ``TRAINERS`` tasks (fewer for few segments); each starts a
-    round from the common weights and the round's result is their mean by number of
-    segments. Only weights, a fixed number for each trainer, reach the driver.
+def average_in_tree(learned: DataFrame, trainers: int, fan: int = FAN) -> np.ndarray | None:
+    """The mean of the weights of (trainer, n, weights): groups of ``fan`` in a task each, until so many are left for the driver."""
+    learned = materialised(learned)
+    while trainers > fan:
+        trainers = -(-trainers // fan)
+        dealt = learned.repartitionById(trainers, F.floor(F.col("trainer") / fan).cast("int")).sortWithinPartitions("trainer")
+        learned = materialised(dealt.mapInArrow(_averaged, learned.schema))
+    return mean_weights((r["n"], bytes(r["weights"])) for r in learned.orderBy("trainer").collect())[1]
+
+
+def train_network(docs: DataFrame, lexicon: Lexicon, shared) -> Network:
+    """Weights learned from every token of every training document, once.
+
+    Documents are cut into segments, which hashes of text and place deal to rounds and
+    trainers. The number of trainers grows with the tokens, so that each streams about
+    ``TRAINER_TOKENS`` in a round whatever the input; each starts from the common weights,
+    and the round's result is their mean by number of tokens, formed in a tree. What reaches
+    the driver is at most ``FAN`` weight vectors. Equal segments are learned from as often as
+    they occur.
     """
     network = Network.start(lexicon)
     if not lexicon.neural:
         return network
+    spark = docs.sparkSession
     train = docs.filter(doc_crc() % HELD_OUT_MODULUS != HELD_OUT_REST).select("text")
-    segments = materialised(train.mapInArrow(_segments(shared, SEGMENT), "place long, ids binary"))
-    trainers = max(1, min(TRAINERS, segments.count() // SEGMENTS_PER_TRAINER))
-    dealt = segments.repartitionById(trainers, F.pmod("place", F.lit(trainers)).cast("int")).sortWithinPartitions("place", "ids")
+    segments = materialised(train.mapInArrow(_segments(shared), "place long, ids binary, n long"))
+    trainers = max(1, round(lexicon.total / ROUNDS / TRAINER_TOKENS))
     for number in range(ROUNDS):
-        raw = network.dump()
-
-        def learn(batches: Iterator[pa.RecordBatch], raw: bytes = raw, passes: int = 1 if trainers > 1 else 3) -> Iterator[pa.RecordBatch]:
-            own = Network.start(shared.value).load(raw)
-            found = [np.frombuffer(s, "<i4").astype(np.int64) for b in batches for s in b["ids"].to_pylist()]
-            found = [s for s in found if len(s)]
-            for _ in range(passes if found else 0):
-                order = np.random.default_rng(number).permutation(len(found))
-                own.train([found[i] for i in order], rate=0.12 / (1 + number))
-            yield pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64()), pa.array([own.dump()], pa.binary())], names=["n", "weights"])
-
-        results = sorted((r["n"], r["weights"]) for r in dealt.mapInArrow(learn, "n long, weights binary").collect() if r["n"])
-        if not results:
-            break
-        total = sum(n for n, _ in results)
-        network = network.load(sum(np.frombuffer(bytes(w), np.float32) * np.float32(n / total) for n, w in results))
+        own = segments.filter(F.pmod("place", F.lit(ROUNDS)) == number)
+        trainer = F.pmod(F.floor(F.col("place") / ROUNDS), F.lit(trainers)).cast("int")
+        dealt = own.repartitionById(trainers, trainer).sortWithinPartitions("place", "ids").select("ids")
+        start = spark.sparkContext.broadcast(network.dump())
+        learned = dealt.mapInArrow(_learned(shared, start, 0.15 / (1 + number)), "trainer long, n long, weights binary")
+        mean = average_in_tree(learned, trainers)
+        if mean is not None:
+            network = network.load(mean)
     return network
 
 
 def score_group(network: Network, lexicon: Lexicon, docs: list[np.ndarray]) -> np.ndarray:
     """Log10-likelihood of each document's ids (all its tokens), states carried from window to window."""
     totals = np.zeros(len(docs))
-    if not lexicon.neural:
+    if not lexicon.neural or not docs:
         return totals
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    lengths = np.array([len(docs[i]) for i in order])
+    lengths = np.array([len(d) for d in docs])
+    lanes = np.argsort(-lengths, kind="stable")
+    starts = (np.cumsum(lengths) - lengths)[lanes]
+    lengths = lengths[lanes]
+    flat = np.concatenate(docs)
     state = np.zeros((len(docs), HIDDEN), dtype=np.float32)
-    lanes = np.array(order)
-    at = 0
-    while len(lengths) and at < lengths[0]:
-        n = int((lengths > at).sum())
-        steps = int(min(STEPS, lengths[0] - at))
-        ids = np.full((steps, n), lexicon.other, dtype=np.int64)
-        for lane in range(n):
-            part = docs[order[lane]][at : at + steps]
-            ids[: len(part), lane] = part
-        alive = np.arange(at, at + steps)[:, None] < lengths[None, :n]
+    for at in range(0, int(lengths[0]), STEPS):
+        n = int(np.searchsorted(-lengths, -at))  # documents that are longer
+        steps = np.arange(at, min(at + STEPS, lengths[0]))[:, None]
+        alive = steps < lengths[None, :n]
+        ids = flat[np.minimum(starts[None, :n] + steps, len(flat) - 1)]
         states, state, _ = network.run(ids, state[:n])
         logs, _ = network.log_probs(states[alive], ids[alive])
         totals[lanes[:n]] += np.bincount(np.nonzero(alive)[1], weights=logs, minlength=n)
-        at += steps
     return totals / math.log(10)
 
 
@@ -325,24 +389,25 @@ def _scored(shared, weights):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon: Lexicon = shared.value
         network = Network.start(lexicon).load(weights.value)
-        ids_of, neural = lexicon.ids.get, lexicon.neural
+        neural = lexicon.neural
         share = math.log10(lexicon.others) if lexicon.others > 0 else 0.0
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for first in range(0, batch.num_rows, GROUP):
-                part = batch.slice(first, GROUP)
+            size = max(1, min(GROUP, batch.num_rows * GROUP_BYTES // max(1, batch.nbytes)))
+            for first in range(0, batch.num_rows, size):
+                part = batch.slice(first, size)
                 held, docs, out = [], [], []
                 for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
                     words = words_of(text)
                     words.append(END.encode())
-                    ids = np.array([ids_of(w, -1) for w in words], dtype=np.int64)
+                    ids = lexicon.ids_of(words)
                     rare = Counter([words[i] for i in np.flatnonzero(ids < 0).tolist()])
                     known = ids[ids >= 0]
                     logs = lexicon.logs[known]
                     inside = float(logs[known >= neural].sum()) - share * int(len(ids) - (known < neural).sum())
                     out += [(row, doc_id, w.decode(), n, 0, 0, 0.0, 0.0) for w, n in rare.items()]
                     held.append((row, doc_id, f"{END}{row}", 0, len(words), len(known), float(logs.sum()), inside))
-                    docs.append(np.where((ids < 0) | (ids >= neural), lexicon.other, ids).astype(np.int32))
+                    docs.append(lexicon.neural_ids(ids).astype(np.int32))
                     row += 1
                 likely = score_group(network, lexicon, docs)
                 out += [(*h[:7], h[7] + s) for h, s in zip(held, likely.tolist())]
