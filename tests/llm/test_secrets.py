@@ -75,7 +75,7 @@ def test_weak_values_of_many_kinds_and_long_ones():
 
 
 def test_words_are_learned_from_documents_but_not_from_values(spark):
-    rows = [(i, f"The (mountain) path, \"quiet\" ember{'s' if i % 2 else ''}; pwd: zyxhidden x1mixed y") for i in range(12)]
+    rows = [(i, f"The (mountain) path, \"quiet\" ember{'s' if i % 2 else ''}; pwd: vkwqhtbzmf x1mixed y") for i in range(12)]
     rows += [(50, None), (51, ""), (52, "rare words")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert secrets.learn_words(docs).learned == ["mountain", "path", "quiet"]
