@@ -49,7 +49,7 @@ def test_segments_cover_all_tokens(spark):
     texts = [" ".join(rnd.choices([*words, "rare"], k=n)) for n in (0, 1, 127, 128, 129, 5000)] + [None]
     lexicon = _lexicon()
     shared = spark.sparkContext.broadcast(lexicon)
-    rows = spark.createDataFrame([(t,) for t in texts], "text string").mapInArrow(lm._segments(shared), "place long, ids binary, n long").collect()
+    rows = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string").mapInArrow(lm._segments(shared), "place long, ids binary, n long").collect()
     found = np.concatenate([np.frombuffer(r["ids"], "<i2") for r in rows])
     want = np.concatenate([lexicon.neural_ids(lexicon.ids_of([*lm.words_of(t), lm.END.encode()])) for t in texts])
     assert sorted(found.tolist()) == sorted(want.tolist()) and len(want) == 5385 + 7

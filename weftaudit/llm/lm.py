@@ -276,11 +276,14 @@ def cut(ids: np.ndarray) -> Iterator[np.ndarray]:
 def _segments(lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Lexicon = lexicon.value
+        row = 0
         for batch in small_slices(batches):
             places, found, sizes = [], [], []
-            for text in batch["text"].to_pylist():
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 raw = (text or "").encode().lower()
-                place = zlib.crc32(raw)
+                row += 1
+                # copies go to different trainers, and so do rows without an id
+                place = zlib.crc32(f"{f'row {row}' if doc_id is None else doc_id}".encode(), zlib.crc32(raw))
                 ids = known.neural_ids(known.ids_of([*raw.split(), END.encode()])).astype("<i2")
                 for number, segment in enumerate(cut(ids)):
                     places.append(zlib.crc32(number.to_bytes(8, "little"), place))
@@ -334,7 +337,7 @@ def average_in_tree(learned: DataFrame, trainers: int, fan: int = FAN) -> np.nda
 def train_network(docs: DataFrame, lexicon: Lexicon, shared) -> Network:
     """Weights learned from every token of every training document, once.
 
-    Documents are cut into segments, which hashes of text and place deal to rounds and
+    Documents are cut into segments, which hashes of id, text and place deal to rounds and
     trainers. The number of trainers grows with the tokens, so that each streams about
     ``TRAINER_TOKENS`` in a round whatever the input; each starts from the common weights,
     and the round's result is their mean by number of tokens, formed in a tree. What reaches
@@ -345,7 +348,7 @@ def train_network(docs: DataFrame, lexicon: Lexicon, shared) -> Network:
     if not lexicon.neural:
         return network
     spark = docs.sparkSession
-    train = docs.filter(doc_crc() % HELD_OUT_MODULUS != HELD_OUT_REST).select("text")
+    train = docs.filter(doc_crc() % HELD_OUT_MODULUS != HELD_OUT_REST).select("doc_id", "text")
     segments = materialised(train.mapInArrow(_segments(shared), "place long, ids binary, n long"))
     trainers = max(1, round(lexicon.total / ROUNDS / TRAINER_TOKENS))
     for number in range(ROUNDS):
