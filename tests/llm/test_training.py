@@ -78,3 +78,15 @@ def test_learning_beats_the_counts_on_held_out_text(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     row = lm.score_documents(docs).filter("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert row["s"] > 0.98 * row["b"]  # log-likelihoods, below zero; 0.971 of the base here, 0.948 and 0.934 with ten and a hundred times the text
+
+
+def test_counts_of_words_beyond_the_dictionary_are_joined(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choices([f"w{j}" for j in range(60)], k=rnd.randint(0, 40)))) for i in range(40)] + [(90, None), (91, "unseen é")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r["doc_id"]: r for r in lm.score_documents(docs).collect()}
+    monkeypatch.setattr(lm, "DICTIONARY", 9)
+    few = {r["doc_id"]: r for r in lm.score_documents(docs).collect()}
+    for d, r in whole.items():
+        assert (few[d]["n_tokens"], few[d]["n_known"], few[d]["train_tokens"]) == (r["n_tokens"], r["n_known"], r["train_tokens"])
+        assert math.isclose(few[d]["base_score"], r["base_score"], rel_tol=1e-9, abs_tol=1e-9)

@@ -234,9 +234,10 @@ class Network:
             carried = carried * z[t] + slopes[t] @ back + by_state[t]
         grads[1] += states.reshape(-1, HIDDEN).T @ slopes.reshape(-1, 3 * HIDDEN)
         slopes[:, :, 2 * HIDDEN :] = carries * by_new  # now of the gates
-        order = np.argsort(ids.ravel(), kind="stable")
-        words, starts = np.unique(ids.ravel()[order], return_index=True)
-        grads[0][words] += np.add.reduceat(slopes.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
+        order = np.argsort(ids.ravel().astype(np.int16), kind="stable")
+        words = ids.ravel()[order]
+        starts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+        grads[0][words[starts]] += np.add.reduceat(slopes.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
         scale = np.float32(1.0 / max(1, int(flat.sum())))
         return after, [g * scale for g in grads], float(logs.mean()) if len(logs) else 0.0
 
@@ -399,7 +400,7 @@ def _scored(shared, weights):
             size = max(1, min(GROUP, batch.num_rows * GROUP_BYTES // max(1, batch.nbytes)))
             for first in range(0, batch.num_rows, size):
                 part = batch.slice(first, size)
-                held, docs, out = [], [], []
+                held, docs, rare_words = [], [], [[], [], [], []]
                 for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
                     words = words_of(text)
                     words.append(END.encode())
@@ -408,14 +409,18 @@ def _scored(shared, weights):
                     known = ids[ids >= 0]
                     logs = lexicon.logs[known]
                     inside = float(logs[known >= neural].sum()) - share * int(len(ids) - (known < neural).sum())
-                    out += [(row, doc_id, w.decode(), n, 0, 0, 0.0, 0.0) for w, n in rare.items()]
+                    for column, values in zip(rare_words, ([row] * len(rare), [doc_id] * len(rare), rare.keys(), rare.values())):
+                        column.extend(values)
                     held.append((row, doc_id, f"{END}{row}", 0, len(words), len(known), float(logs.sum()), inside))
                     docs.append(lexicon.neural_ids(ids).astype(np.int32))
                     row += 1
                 likely = score_group(network, lexicon, docs)
-                out += [(*h[:7], h[7] + s) for h, s in zip(held, likely.tolist())]
-                columns = list(zip(*out)) if out else [[]] * len(names)
+                columns = list(zip(*((*h[:7], h[7] + s) for h, s in zip(held, likely.tolist()))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+                n = len(rare_words[0])
+                rows_of, ids, words, times = rare_words
+                values = [pa.array(rows_of, pa.int64()), pa.array(ids, pa.int64()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())]
+                yield pa.RecordBatch.from_arrays(values + [pa.array(np.zeros(n), t) for t in kinds[4:]], names=names)
 
     return rows
 
