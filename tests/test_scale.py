@@ -11,7 +11,7 @@ from weftaudit.functions import html, walk
 from weftaudit.operators import graph, links
 from weftaudit.operators.facts import page_facts
 from weftaudit.operators.numbering import numbered, ranged
-from weftaudit.sources import shared
+from weftaudit.sources import shared, tables
 
 PAGE = "page_id long, url string, site string, html string, status_code long, depth long, load_time double, error string"
 
@@ -145,3 +145,21 @@ def test_tables_can_be_removed(spark):
     shared.remove_tables(spark)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared.tables_dir(spark))
     assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_a_file_of_one_row_group_is_dealt_over_the_cores(spark, tmp_path):
+    """Only one of the many splits of such a file has rows; so a single task worked on all of them."""
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    held = lambda frame: [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        read = spark.read.parquet(str(tmp_path / "one"))
+        assert read.rdd.getNumPartitions() > 8 and held(read) == [4000]
+        dealt = tables.spread(read, "doc_id")
+        assert max(held(dealt)) * spark.sparkContext.defaultParallelism <= 2 * 4000
+        assert dealt.exceptAll(rows).isEmpty() and dealt.count() == 4000
+        even = spark.range(4000, numPartitions=16)
+        assert tables.spread(even, "id") is even and tables.spread(read.where("false"), "doc_id").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
