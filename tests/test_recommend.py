@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -74,3 +75,21 @@ def test_states_are_not_compared_in_pairs(spark):
     states = spark.createDataFrame(rows, f"{KEYS}, current_state string, place struct<page_id:long,ord:long>")
     found = recommend.kept_states(states)
     assert found.where(F.col("kept")).count() == 3000
+
+
+def test_no_index_of_parts_goes_through_the_driver(spark, monkeypatch):
+    """Like texts are stored in few bytes, by which a planner would broadcast the whole index."""
+    rows = [(i % 2, "s", "r", "High", "f", f"{'the same long words, ' * 20}number {i:05d}{' and more' * (i % 3)}", (i, 0)) for i in range(600)]
+    states = spark.createDataFrame(rows, f"{KEYS}, current_state string, place struct<page_id:long,ord:long>")
+    plans = []
+
+    def seen(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return stored(frame)
+
+    stored = recommend.materialised
+    monkeypatch.setattr(recommend, "materialised", seen)
+    found = recommend.kept_states(states)
+    assert found.where("kept").count() == 600
+    by_part = [line for plan in plans for line in plan.splitlines() if re.search(r"Join \[[^\]]*\bpart#", line)]
+    assert by_part and not [line for line in by_part if "Broadcast" in line]

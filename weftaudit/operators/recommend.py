@@ -508,27 +508,37 @@ def kept_states(states: DataFrame, gram: int = GRAM) -> DataFrame:
 
     A state is not compared with all others: of the parts of ``gram`` letters that it has (all
     of it, if it is shorter), the one that the fewest states hold is looked up in an index of the parts
-    of all states; only those that hold it are searched for the whole state.
+    of all states; only those that hold it are searched for the whole state. The index has
+    numbers of states and hashes of parts only. It is stored in far fewer bytes than it takes in
+    memory, so its joins are merge joins by hint: none of it goes through the driver.
     """
-    rows = materialised(states.where("current_state <> ''"))
+    stored = materialised(states)
+    rows = stored.where("current_state <> ''")
     several = rows.groupBy("rec_id").agg(F.count("*").alias("n")).where("n > 1").select("rec_id")
-    own = rows.join(several, "rec_id", "left_semi").select("rec_id", F.col("current_state").alias("state"), "place", F.least(F.length("current_state"), F.lit(gram)).alias("g"))
+    own = rows.join(several, "rec_id", "left_semi").select(
+        F.monotonically_increasing_id().alias("id"), "rec_id", F.col("current_state").alias("state"), "place", F.least(F.length("current_state"), F.lit(gram)).alias("asked_g")
+    )
     own = materialised(own)
-    parts = lambda text, g: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - g + 1), lambda i: F.substring(text, i, g)))
-    lengths = own.select("rec_id", "g").distinct()
-    whole = own.drop("g").join(lengths, "rec_id").where(F.length("state") >= F.col("g"))
-    index = materialised(whole.select("rec_id", "g", "state", "place", F.explode(parts(F.col("state"), F.col("g"))).alias("part")))
-    held = index.groupBy("rec_id", "g", "part").agg(F.count("*").alias("held"))
-    asked = own.select("rec_id", "g", "state", "place", F.explode(parts(F.col("state"), F.col("g"))).alias("part"))
-    rarest = asked.join(held, ["rec_id", "g", "part"]).groupBy("rec_id", "g", "state", "place").agg(F.min(F.struct("held", "part")).alias("r"))
-    looked = rarest.where("r.held > 1").select("rec_id", "g", F.col("r.part").alias("part"), "state", "place")
-    there = index.select("rec_id", "g", "part", F.col("state").alias("other"), F.col("place").alias("before"))
-    inside = looked.join(there, ["rec_id", "g", "part"]).where((F.col("before") < F.col("place")) & F.col("other").contains(F.col("state")))
+    lengths = own.select("rec_id", F.col("asked_g").alias("g")).distinct()
+    whole = own.join(lengths.hint("merge"), "rec_id").where(F.length("state") >= F.col("g"))
+    whole = whole.select("id", "state", "g", (F.col("g") == F.col("asked_g")).alias("asked"), F.xxhash64("rec_id", "g").alias("seed"))
+    parts = F.transform(F.sequence(F.lit(1), F.length("state") - F.col("g") + 1), lambda i: F.xxhash64("seed", F.substring("state", i, F.col("g"))))
+    index = materialised(whole.select("id", "asked", F.explode(F.array_distinct(parts)).alias("part")))
+    held = index.groupBy("part").agg(F.count("*").alias("held"))
+    rarest = index.where("asked").join(held.hint("merge"), "part").groupBy("id").agg(F.min(F.struct("held", "part")).alias("r"))
+    looked = rarest.where("r.held > 1").select("id", F.col("r.part").alias("part"))
+    pairs = looked.join(index.select("part", F.col("id").alias("other_id")).hint("merge"), "part").where("id <> other_id").select("id", "other_id")
+    there = own.select(F.col("id").alias("other_id"), F.col("rec_id").alias("other_rec"), F.col("state").alias("other"), F.col("place").alias("before"))
+    inside = (
+        pairs.join(own.select("id", "rec_id", "state", "place").hint("merge"), "id")
+        .join(there.hint("merge"), "other_id")
+        .where((F.col("other_rec") == F.col("rec_id")) & (F.col("before") < F.col("place")) & F.col("other").contains(F.col("state")))
+    )
     gone = inside.select("rec_id", F.col("state").alias("current_state")).distinct().withColumn("inside", F.lit(True))
-    marked = materialised(states.join(gone, ["rec_id", "current_state"], "left"))
+    marked = materialised(stored.join(gone.hint("merge"), ["rec_id", "current_state"], "left"))
     kept = F.col("inside").isNull() & (F.col("current_state") != "")
     places = numbered(materialised(marked.where(kept).select("rec_id", "current_state", "place")), "rec_id", "place", "ord").drop("place")
-    return marked.withColumn("kept", kept).drop("inside").join(places, ["rec_id", "current_state"], "left")
+    return marked.withColumn("kept", kept).drop("inside").join(places.hint("merge"), ["rec_id", "current_state"], "left")
 
 
 def joined_states(kept: DataFrame, most: int = MOST_JOINED) -> DataFrame:
