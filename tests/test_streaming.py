@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from weftaudit.operators import ops, scoring
 from weftaudit.operators.facts import page_facts
 from weftaudit.sources import pages as src
 from weftaudit.sources.tables import derived, table
-from weftaudit.streaming import jobs, sinks
+from weftaudit.streaming import jobs, processors, sinks
 
 
 def drain(stream, mode, name, spark):
@@ -153,6 +156,83 @@ def test_alerts_of_audits_out_of_order(spark, tmp_path):
     assert got == want and ("e.org", at(1, 2), "score_drop", 5) in got and len(got) >= 6
 
 
+class Store:
+    """State and timers of one key in plain dictionaries; calls are counted."""
+
+    def __init__(self):
+        self.calls, self.now, self.values, self.timers = 0, None, {}, set()
+
+    def getValueState(self, *named):  # noqa: N802
+        return self
+
+    getMapState = getValueState  # noqa: N815
+
+    def _counted(self, value=None):
+        self.calls += 1
+        return value
+
+    def exists(self):
+        return self._counted(self.now is not None)
+
+    def get(self):
+        return self._counted(self.now)
+
+    def update(self, value):
+        self.now = self._counted(value)
+
+    def containsKey(self, key):  # noqa: N802
+        return self._counted(key in self.values)
+
+    def getValue(self, key):  # noqa: N802
+        return self._counted(self.values[key])
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.values[key] = self._counted(value)
+
+    def removeKey(self, key):  # noqa: N802
+        self._counted(self.values.pop(key))
+
+    def keys(self):
+        return self._counted(iter(list(self.values)))
+
+    def registerTimer(self, ms):  # noqa: N802
+        self._counted(self.timers.add(ms))
+
+    def deleteTimer(self, ms):  # noqa: N802
+        self._counted(self.timers.discard(ms))
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.watermark
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return self.expiry
+
+
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_alerts_take_few_calls_and_keep_the_order_of_times(monkeypatch, chunk):
+    """Audits of a site out of order within the delay, many of one time, in batches cut anywhere."""
+    monkeypatch.setattr(processors.Alerts, "CHUNK", chunk, raising=False)
+    rnd = random.Random(chunk)
+    store, alerts = Store(), processors.Alerts()
+    alerts.init(store)
+    every, found, delay = [], [], 400
+    for start in range(0, 3000, 500):
+        store.watermark = max(0, start - delay)
+        rows = [(1000 * rnd.randint(store.watermark + 1, start + 500) + rnd.choice((0, 0, 7)), rnd.randint(1, 99), rnd.randint(0, 9)) for _ in range(300)]
+        every += rows
+        batch = pd.DataFrame(rows, columns=["at", "seo_score", "broken_links"])
+        assert not list(alerts.handleInputRows(("e",), iter([batch[:200], batch[200:]]), store))
+        store.watermark = 10**6 if start == 2500 else start + 500 - delay
+        while due := sorted(t for t in store.timers if t < store.watermark):
+            store.expiry = due[0]
+            store.timers.remove(due[0])
+            found += [tuple(r) for part in alerts.handleExpiredTimer(("e",), store, store) for r in part.itertuples(index=False)]
+    every.sort()
+    want = [(b[0], n, x) for a, b in zip(every, every[1:]) for n, x in (("score_drop", a[1] - b[1]), ("new_broken_links", b[2] - a[2])) if x > 0]
+    assert [(at, alert, amount) for _, at, alert, amount in found] == want and not store.values and not store.timers
+    assert store.calls < (2000 if chunk == 3 else 120)  # 1800 audits; about six calls for each of them before
+
+
 def test_sources_and_sinks(spark, sf, tmp_path):
     pages = derived(spark, sf, "pages_raw")
     src.append_log(table(spark, sf, "events"), str(tmp_path / "log"), "ts")
