@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from weftaudit.llm import lm
 
@@ -90,3 +92,53 @@ def test_counts_of_words_beyond_the_dictionary_are_joined(spark, monkeypatch):
     for d, r in whole.items():
         assert (few[d]["n_tokens"], few[d]["n_known"], few[d]["train_tokens"]) == (r["n_tokens"], r["n_known"], r["train_tokens"])
         assert math.isclose(few[d]["base_score"], r["base_score"], rel_tol=1e-9, abs_tol=1e-9)
+
+
+ODD = ["", None, " \n\t", "a", " A\x0b\x0cb\r\n a ", "É\x85é\xa0É x\x1cy\u2003z ", "a\x00b \x1f", "\x1c", "a" * 300, "one two " * 700]
+
+
+def test_words_of_whole_batches_are_those_of_each_text():
+    for texts in (ODD, ODD[1:2], ODD[:3], [], ODD[3:]):
+        words, sizes = lm.split_words(pa.array(texts, pa.string()))
+        want = [lm.words_of(t) for t in texts]
+        assert words.cast(pa.binary()).to_pylist() == [w for t in want for w in t] and sizes.tolist() == [len(t) for t in want]
+        words, sizes = lm.split_words(pa.array(["x y", *texts], pa.string())[1:])
+        assert words.cast(pa.binary()).to_pylist() == [w for t in want for w in t] and sizes.tolist() == [len(t) for t in want]
+
+
+def test_counts_do_not_depend_on_what_a_task_holds(monkeypatch):
+    rnd = random.Random(9)
+    texts = ODD + [" ".join(rnd.choices([f"W{j}" for j in range(200)], k=rnd.randint(0, 60))) for _ in range(300)]
+    want = Counter(w.decode() for t in texts for w in lm.words_of(t)) + Counter({lm.END: len(texts)})
+    batches = [pa.record_batch({"text": pa.array(texts[a : a + 90], pa.string())}) for a in range(0, len(texts), 90)]
+    for counter, group in ((500_000, 2048), (50, 7), (1, 1)):
+        monkeypatch.setattr(lm, "COUNTER", counter)
+        monkeypatch.setattr(lm, "GROUP", group)
+        got = Counter()
+        for batch in lm._counts(iter(batches)):
+            for r in batch.to_pylist():
+                got[r["word"]] += r["n"]
+        assert got == want
+    assert list(lm._counts(iter([]))) == []
+
+
+class _Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_tasks_look_up_distinct_words_and_long_texts_have_wide_windows(monkeypatch):
+    lexicon = _lexicon()
+    looked, windows = [], []
+    ids_of, log_probs = lm.Lexicon.ids_of, lm.Network.log_probs
+    monkeypatch.setattr(lm.Lexicon, "ids_of", lambda self, words: looked.append(len(words)) or ids_of(self, words))
+    monkeypatch.setattr(lm.Network, "log_probs", lambda self, *a: windows.append(1) or log_probs(self, *a))
+    text = "w1 W2 unseen " * 5000
+    batch = pa.record_batch({"doc_id": pa.array([4, None]), "text": pa.array([text, "w3"])})
+    rows = [r for b in lm._segments(_Held(lexicon))(iter([batch])) for r in b.to_pylist()]
+    assert sum(r["n"] for r in rows) == 15001 + 2 and sum(looked) == 4
+    network = lm.Network.start(lexicon)
+    docs = [np.tile([1, 2, lexicon.other], 5000), np.array([3])]
+    likely = lm.score_group(network, lexicon, docs)
+    assert len(windows) <= 5  # 469 windows of 32 steps before
+    assert np.allclose(likely, [_plain_log_likelihood(network, d) / math.log(10) for d in docs], rtol=1e-4)

@@ -13,18 +13,18 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftaudit.llm.common import doc_crc, slices, small_slices
+from weftaudit.llm.common import doc_crc
 from weftaudit.sources.shared import materialised
 
 END = "\n"  # no word can hold it
@@ -38,9 +38,20 @@ HIDDEN, STEPS, SEGMENT = 16, 32, 128
 ROUNDS, TRAINER_TOKENS, LANES = 2, 1_000_000, 128
 #: Trainers whose weights one task averages; so many or fewer are averaged by the driver.
 FAN = 32
-#: Rows, and bytes of Arrow data, that are scored side by side.
-GROUP, GROUP_BYTES = 1024, 8 << 20
-COUNTER = 150_000
+#: Rows, and bytes of Arrow data, that are worked on at a time.
+GROUP, GROUP_BYTES = 2048, 8 << 20
+#: Tokens of a window of scoring, about, and its steps at least: arrays that stay in a core's cache.
+WINDOW, WINDOW_STEPS = 8192, 4
+#: Distinct words that a task counts before it hands them on, about.
+COUNTER = 500_000
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches by rows and bytes (a longer text is a group by itself)."""
+    for batch in batches:
+        size = max(1, min(GROUP, batch.num_rows * GROUP_BYTES // max(1, batch.nbytes)))
+        for first in range(0, batch.num_rows, size):
+            yield batch.slice(first, size)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -48,22 +59,35 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The same words of all texts, one text after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null(""))))
+    words = lists.flatten()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    filled = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    if not filled.all():  # a text without words is one empty word
+        sizes[np.repeat(np.arange(len(sizes)), sizes)[~filled]] = 0
+        words = words.filter(pa.array(filled))
+    return words, sizes
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counter: Counter[bytes] = Counter()
+    held: list[pa.Table] = []
     ends = 0
 
-    def out() -> pa.RecordBatch:
-        words = pa.array(counter.keys(), pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([words, pa.array(counter.values(), pa.int64())], names=["word", "n"])
-
-    for batch in slices(batches):
-        for text in batch["text"].to_pylist():
-            counter.update(words_of(text))
-            ends += 1
-        if len(counter) > COUNTER:
-            yield out()
-            counter.clear()
-    yield out()
+    def merged() -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+    for group in groups(batches):
+        found = split_words(group["text"])[0].value_counts()
+        held.append(pa.table({"word": found.field("values").cast(pa.string()), "n": found.field("counts")}))
+        ends += group.num_rows
+        if sum(map(len, held)) > COUNTER:
+            held = [merged()]
+            if len(held[0]) > COUNTER // 2:
+                yield from held.pop().to_batches()
+    if held:
+        yield from merged().to_batches()
     if ends:
         yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends], pa.int64())], names=["word", "n"])
 
@@ -101,6 +125,22 @@ class Lexicon:
         """The ids that the network reads and predicts: all words without weights of their own are one."""
         return np.where((ids < 0) | (ids >= self.neural), self.other, ids)
 
+    def places(self, words: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Places in the dictionary of all tokens of some texts, ends included, and where each text begins.
+
+        Each distinct word is looked up once. Also returned: the distinct words, and for each
+        token the number of its word among them, -1 for an end.
+        """
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary
+        found = self.ids_of(distinct.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+        ends = np.cumsum(sizes + 1) - 1
+        codes = np.full(len(words) + len(sizes), -1, dtype=np.int64)
+        inside = np.ones(len(codes), dtype=bool)
+        inside[ends] = False
+        codes[inside] = coded.indices.to_numpy()
+        return np.append(found, self.ids.get(END.encode(), -1))[codes], ends - sizes, distinct, codes
+
     @staticmethod
     def of(counts: DataFrame) -> Lexicon:
         totals = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -148,20 +188,31 @@ class Network:
             at += p.size
         return Network(*parts)
 
-    def run(self, ids: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, ...]]]:
-        """States before each of the (T, B) ids, the state after them, and what the backward pass needs."""
-        gates = self.inputs[ids]
-        states = np.empty((len(ids), ids.shape[1], HIDDEN), dtype=np.float32)
-        kept = []
-        for t in range(len(ids)):
+    def run(self, ids: np.ndarray, state: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """States before each of the (T, B) ids, the state after them, and what the backward pass needs (if kept).
+
+        The gates are held as (3, B, H) at each step, so that each of them is one run of memory.
+        """
+        steps, lanes = ids.shape
+        gates = np.ascontiguousarray(self.inputs.take(ids, axis=0).reshape(steps, lanes, 3, HIDDEN).transpose(0, 2, 1, 3))
+        inners = np.empty((steps if keep else 1, lanes, 3 * HIDDEN), dtype=gates.dtype)
+        states = np.empty((steps, lanes, HIDDEN), dtype=gates.dtype)
+        held = np.empty((lanes, HIDDEN), dtype=gates.dtype)
+        for t in range(steps):
             states[t] = state
-            inner = state @ self.inner
-            zr = 0.5 + 0.5 * np.tanh(0.5 * (gates[t, :, : 2 * HIDDEN] + inner[:, : 2 * HIDDEN]))
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            new = np.tanh(gates[t, :, 2 * HIDDEN :] + r * inner[:, 2 * HIDDEN :])
-            kept.append((z, r, new, inner))
-            state = new + z * (state - new)
-        return states, state, kept
+            inner = np.matmul(states[t], self.inner, out=inners[t if keep else 0]).reshape(lanes, 3, HIDDEN).transpose(1, 0, 2)
+            zr, new = gates[t, :2], gates[t, 2]
+            zr += inner[:2]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            new += np.multiply(zr[1], inner[2], out=held)
+            np.tanh(new, out=new)
+            state = states[t] - new
+            state *= zr[0]
+            state += new
+        return states, state, (gates, inners)
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, slopes: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural logs of p(target | state), targets as class-wise ids; with ``slopes`` also the gradient by state.
@@ -171,42 +222,45 @@ class Network:
         """
         count, size = len(self.words), self.words.shape[2]
         kind = np.minimum(targets // size, count)
-        raw = states @ self.classes[:-1] + self.classes[-1]
+        raw = states @ self.classes[:-1]
+        raw += self.classes[-1]
         raw -= raw.max(1, keepdims=True)
-        shares = np.exp(raw)
-        sums = shares.sum(1)
         rows = np.arange(len(targets))
-        logs = raw[rows, kind] - np.log(sums)
+        logs = raw[rows, kind]
+        np.exp(raw, out=raw)
+        sums = raw.sum(1)
+        logs -= np.log(sums)
         back = None
         if slopes is not None:
-            shares /= sums[:, None]
-            shares[rows, kind] -= 1.0
-            slopes[0][:-1] += states.T @ shares
-            slopes[0][-1] += shares.sum(0)
-            back = shares @ self.classes[:-1].T
+            raw /= sums[:, None]
+            raw[rows, kind] -= 1.0
+            slopes[0][:-1] += states.T @ raw
+            slopes[0][-1] += raw.sum(0)
+            back = raw @ self.classes[:-1].T
         order = np.argsort(kind.astype(np.int16), kind="stable")  # a radix sort
-        edges = np.searchsorted(kind[order], np.arange(count + 1))
+        edges = np.searchsorted(kind[order], np.arange(count + 1)).tolist()
         order = order[: edges[count]]
-        held, at = states[order], targets[order] % size
+        held, at = states.take(order, axis=0), targets[order] % size
         inside = np.empty(len(order), dtype=raw.dtype)
         behind = np.empty_like(held) if slopes is not None else None
         for c in range(count):
             a, b = edges[c], edges[c + 1]
             if a == b:
                 continue
-            raw = held[a:b] @ self.words[c, :-1] + self.words[c, -1]
+            raw = held[a:b] @ self.words[c, :-1]
+            raw += self.words[c, -1]
             raw -= raw.max(1, keepdims=True)
-            own = (np.arange(b - a), at[a:b])
+            own = (rows[: b - a], at[a:b])
             picked = raw[own]
             np.exp(raw, out=raw)
             sums = raw.sum(1)
-            inside[a:b] = picked - np.log(sums)
+            np.subtract(picked, np.log(sums), out=inside[a:b])
             if slopes is not None:
                 raw /= sums[:, None]
                 raw[own] -= 1.0
                 slopes[1][c, :-1] += held[a:b].T @ raw
                 slopes[1][c, -1] += raw.sum(0)
-                behind[a:b] = raw @ self.words[c, :-1].T
+                np.matmul(raw, self.words[c, :-1].T, out=behind[a:b])
         logs[order] += inside
         if slopes is not None:
             back[order] += behind
@@ -214,16 +268,16 @@ class Network:
 
     def step(self, ids: np.ndarray, alive: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], float]:
         """One truncated window: the state after it, the gradients of its parts, and the mean log-likelihood."""
-        states, after, kept = self.run(ids, state)
+        states, after, (gates, inners) = self.run(ids, state, keep=True)
         flat = alive.ravel()
         grads = [np.zeros_like(p) for p in self.parts()]
         logs, back = self.log_probs(states.reshape(-1, HIDDEN)[flat], ids.ravel()[flat], (grads[2], grads[3]))
-        by_state = np.zeros((len(flat), HIDDEN), dtype=np.float32)
+        by_state = np.zeros((len(flat), HIDDEN), dtype=states.dtype)
         by_state[flat] = back
         by_state = by_state.reshape(states.shape)
-        z, r, new, inner = (np.stack(x) for x in zip(*kept))
+        z, r, new = gates[:, 0], gates[:, 1], gates[:, 2]
         by_new = (1 - z) * (1 - new * new)
-        by_gates = np.concatenate([(states - new) * z * (1 - z), by_new * inner[:, :, 2 * HIDDEN :] * r * (1 - r), by_new * r], 2)
+        by_gates = np.concatenate([(states - new) * z * (1 - z), by_new * inners[:, :, 2 * HIDDEN :] * r * (1 - r), by_new * r], 2)
         slopes = np.empty((*ids.shape, 3 * HIDDEN), dtype=states.dtype)  # of the products with ``inner``
         carried = np.zeros_like(state)
         carries = np.empty_like(states)
@@ -237,16 +291,18 @@ class Network:
         order = np.argsort(ids.ravel().astype(np.int16), kind="stable")
         words = ids.ravel()[order]
         starts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
-        grads[0][words[starts]] += np.add.reduceat(slopes.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
+        grads[0][words[starts]] = np.add.reduceat(slopes.reshape(-1, 3 * HIDDEN).take(order, axis=0), starts, axis=0)
         scale = np.float32(1.0 / max(1, int(flat.sum())))
-        return after, [g * scale for g in grads], float(logs.mean()) if len(logs) else 0.0
+        for grad in grads:
+            grad *= scale
+        return after, grads, float(logs.mean()) if len(logs) else 0.0
 
     def train(self, segments: Iterable[np.ndarray], rate: float = 0.15, lanes: int = LANES) -> int:
         """AdaGrad over the segments as they come, ``lanes`` at a time, in place; the number of their tokens.
 
         Inside a segment the state goes on from window to window, gradients do not.
         """
-        seen = [np.full_like(p, 1e-6) for p in self.parts()]
+        seen, spare = [np.full_like(p, 1e-6) for p in self.parts()], [np.empty_like(p) for p in self.parts()]
         other = len(self.inputs) - 1
         tokens = 0
         segments = iter(segments)
@@ -261,36 +317,36 @@ class Network:
             state = np.zeros((len(chosen), HIDDEN), dtype=np.float32)
             for at in range(0, length, STEPS):
                 state, grads, _ = self.step(ids[at : at + STEPS], alive[at : at + STEPS], state)
-                for part, grad, sums in zip(self.parts(), grads, seen):
-                    np.clip(grad, -1.0, 1.0, out=grad)
-                    sums += grad * grad
-                    part -= np.float32(rate) * grad / np.sqrt(sums)
+                for part, grad, sums, held in zip(self.parts(), grads, seen, spare):
+                    np.minimum(grad, 1.0, out=grad)
+                    np.maximum(grad, -1.0, out=grad)
+                    sums += np.multiply(grad, grad, out=held)
+                    grad *= np.float32(rate)
+                    grad /= np.sqrt(sums, out=held)
+                    part -= grad
         return tokens
 
 
-def cut(ids: np.ndarray) -> Iterator[np.ndarray]:
-    """Segments that cover all ids of a document."""
-    for at in range(0, len(ids), SEGMENT):
-        yield ids[at : at + SEGMENT]
-
-
 def _segments(lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Lexicon = lexicon.value
         row = 0
-        for batch in small_slices(batches):
-            places, found, sizes = [], [], []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                raw = (text or "").encode().lower()
+        for group in groups(batches):
+            ids, starts, *_ = known.places(*split_words(group["text"]))
+            flat = known.neural_ids(ids).astype("<i2")
+            sizes = np.diff(np.append(starts, len(flat)))
+            pieces = -(-sizes // SEGMENT)  # segments cover all ids of a document
+            number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            edges = np.append(np.repeat(starts, pieces) + number * SEGMENT, len(flat))
+            lowered = pc.ascii_lower(group["text"].fill_null("")).cast(pa.binary()).to_numpy(zero_copy_only=False)
+            places = []
+            for doc_id, raw, count in zip(group["doc_id"].to_pylist(), lowered, pieces.tolist()):
                 row += 1
                 # copies go to different trainers, and so do rows without an id
                 place = zlib.crc32(f"{f'row {row}' if doc_id is None else doc_id}".encode(), zlib.crc32(raw))
-                ids = known.neural_ids(known.ids_of([*raw.split(), END.encode()])).astype("<i2")
-                for number, segment in enumerate(cut(ids)):
-                    places.append(zlib.crc32(number.to_bytes(8, "little"), place))
-                    found.append(segment.tobytes())
-                    sizes.append(len(segment))
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(found, pa.binary()), pa.array(sizes, pa.int64())], names=["place", "ids", "n"])
+                places += [zlib.crc32(n.to_bytes(8, "little"), place) for n in range(count)]
+            held = pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer((edges * 2).astype(np.int32)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), held, pa.array(np.diff(edges))], names=["place", "ids", "n"])
 
     return rows
 
@@ -365,24 +421,32 @@ def train_network(docs: DataFrame, lexicon: Lexicon, shared) -> Network:
 
 
 def score_group(network: Network, lexicon: Lexicon, docs: list[np.ndarray]) -> np.ndarray:
-    """Log10-likelihood of each document's ids (all its tokens), states carried from window to window."""
-    totals = np.zeros(len(docs))
-    if not lexicon.neural or not docs:
+    """Log10-likelihood of each document's ids (all its tokens)."""
+    if not docs:
+        return np.zeros(0)
+    return score_flat(network, lexicon, np.concatenate(docs), np.array([len(d) for d in docs]))
+
+
+def score_flat(network: Network, lexicon: Lexicon, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same for documents one after the other, states carried from window to window.
+
+    The fewer documents are left, the more steps a window has.
+    """
+    totals = np.zeros(len(sizes))
+    if not lexicon.neural or not len(sizes):
         return totals
-    lengths = np.array([len(d) for d in docs])
-    lanes = np.argsort(-lengths, kind="stable")
-    starts = (np.cumsum(lengths) - lengths)[lanes]
-    lengths = lengths[lanes]
-    flat = np.concatenate(docs)
-    state = np.zeros((len(docs), HIDDEN), dtype=np.float32)
-    for at in range(0, int(lengths[0]), STEPS):
+    lanes = np.argsort(-sizes, kind="stable")
+    starts, lengths = (np.cumsum(sizes) - sizes)[lanes], sizes[lanes]
+    state, at = np.zeros((len(sizes), HIDDEN), dtype=np.float32), 0
+    while at < lengths[0]:
         n = int(np.searchsorted(-lengths, -at))  # documents that are longer
-        steps = np.arange(at, min(at + STEPS, lengths[0]))[:, None]
-        alive = steps < lengths[None, :n]
+        steps = np.arange(at, min(at + max(WINDOW_STEPS, WINDOW // n), lengths[0]))[:, None]
+        alive = np.flatnonzero(steps < lengths[None, :n])
         ids = flat[np.minimum(starts[None, :n] + steps, len(flat) - 1)]
         states, state, _ = network.run(ids, state[:n])
-        logs, _ = network.log_probs(states[alive], ids[alive])
-        totals[lanes[:n]] += np.bincount(np.nonzero(alive)[1], weights=logs, minlength=n)
+        logs, _ = network.log_probs(states.reshape(-1, HIDDEN).take(alive, axis=0), ids.ravel()[alive])
+        totals[lanes[:n]] += np.bincount(alive % n, weights=logs, minlength=n)
+        at += len(steps)
     return totals / math.log(10)
 
 
@@ -393,34 +457,29 @@ def _scored(shared, weights):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon: Lexicon = shared.value
         network = Network.start(lexicon).load(weights.value)
-        neural = lexicon.neural
         share = math.log10(lexicon.others) if lexicon.others > 0 else 0.0
+        held = np.append(lexicon.logs, 0.0)  # the last one for words beyond the dictionary
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            size = max(1, min(GROUP, batch.num_rows * GROUP_BYTES // max(1, batch.nbytes)))
-            for first in range(0, batch.num_rows, size):
-                part = batch.slice(first, size)
-                held, docs, rare_words = [], [], [[], [], [], []]
-                for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                    words = words_of(text)
-                    words.append(END.encode())
-                    ids = lexicon.ids_of(words)
-                    rare = Counter([words[i] for i in np.flatnonzero(ids < 0).tolist()])
-                    known = ids[ids >= 0]
-                    logs = lexicon.logs[known]
-                    inside = float(logs[known >= neural].sum()) - share * int(len(ids) - (known < neural).sum())
-                    for column, values in zip(rare_words, ([row] * len(rare), [doc_id] * len(rare), rare.keys(), rare.values())):
-                        column.extend(values)
-                    held.append((row, doc_id, f"{END}{row}", 0, len(words), len(known), float(logs.sum()), inside))
-                    docs.append(lexicon.neural_ids(ids).astype(np.int32))
-                    row += 1
-                likely = score_group(network, lexicon, docs)
-                columns = list(zip(*((*h[:7], h[7] + s) for h, s in zip(held, likely.tolist()))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
-                n = len(rare_words[0])
-                rows_of, ids, words, times = rare_words
-                values = [pa.array(rows_of, pa.int64()), pa.array(ids, pa.int64()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())]
-                yield pa.RecordBatch.from_arrays(values + [pa.array(np.zeros(n), t) for t in kinds[4:]], names=names)
+        for group in groups(batches):
+            words, sizes = split_words(group["text"])
+            ids, starts, distinct, codes = lexicon.places(words, sizes)
+            own = (ids >= 0) & (ids < lexicon.neural)
+            logs = held[ids]
+            base = np.add.reduceat(logs, starts)
+            inside = np.add.reduceat(np.where(own, 0.0, logs - share), starts)
+            known = np.add.reduceat((ids >= 0).astype(np.int64), starts)
+            numbers = np.arange(row, row + len(sizes))
+            row += len(sizes)
+            likely = inside + score_flat(network, lexicon, lexicon.neural_ids(ids), sizes + 1)
+            marks = [f"{END}{r}" for r in numbers.tolist()]
+            columns = [numbers, group["doc_id"], marks, np.zeros(len(sizes)), sizes + 1, known, base, likely]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+            at = np.flatnonzero(ids < 0)
+            pairs, times = np.unique((np.searchsorted(starts, at, side="right") - 1) * (len(distinct) + 1) + codes[at] + 1, return_counts=True)
+            doc, code = np.divmod(pairs, len(distinct) + 1)
+            rare = pa.concat_arrays([pa.array([END], distinct.type), distinct]).take(pa.array(code)).cast(pa.string())
+            columns = [numbers[doc], group["doc_id"].take(pa.array(doc)), rare, times] + [np.zeros(len(doc))] * 4
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
     return rows
 
