@@ -69,6 +69,20 @@ def test_contained_states_are_dropped_in_first_seen_order(spark):
     assert short["one"] == (1, "only") and short["fixed"] == (len(want["fixed"]), None)
 
 
+def test_all_states_are_joined_however_many_there_are(spark):
+    n = 10_500
+    rows = spark.range(n, numPartitions=4).select(
+        F.lit("many").alias("rec_id"), F.lit("s").alias("site"), F.lit("r").alias("rule"), F.lit("High").alias("severity"), F.lit("f").alias("exact_fix"),
+        F.format_string("state %05d", "id").alias("current_state"), F.when(F.col("id") % 100 != 7, F.col("id") - F.floor((F.col("id") + 92) / 100) + 1).alias("ord"),
+    )
+    none = spark.createDataFrame([("none", "s", "r", "High", None, "", None)], f"{KEYS}, current_state string, ord long")
+    kept = rows.unionByName(none).repartition(6)
+    want = [f"state {i:05d}" for i in range(n) if i % 100 != 7]
+    for how in ({}, {"chunk": 7}, {"chunk": 20_000}):
+        got = {r["rec_id"]: (r["n_states"], r["joined_state"]) for r in recommend.joined_states(kept, **how).collect()}
+        assert got == {"many": (len(want), " | ".join(want)), "none": (0, "")}
+
+
 def test_states_are_not_compared_in_pairs(spark):
     """Many states with a common beginning and end: each looks up its rarest part, which no other one holds."""
     rows = [(1, "s", "r", "High", "f", f"Current title is 70 characters: about number {i:06d} and more", (i, 0)) for i in range(3000)]
