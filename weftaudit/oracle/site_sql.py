@@ -444,10 +444,15 @@ SCORE = (*CORE, PAGE_TEXTS, PAGE_PLAIN, LONG_TAIL, score_input())
 SCORE_ALONE = (*CORE, PAGE_TEXTS, PAGE_PLAIN, LONG_TAIL, score_input(False))
 PILLARS = (P_ON, P_CONTENT, P_TECH, P_UX, P_LINKS)
 
-SINGLE_SCORE = """
+# The quality gate checks all links of a page, each address once.
+BROKEN_ONCE = "broken_once AS (SELECT page_id, target, min(rank) AS rank FROM broken GROUP BY page_id, target)"
+
+
+def single_score(broken: str) -> str:
+    return f"""
 seo AS (
   SELECT f.page_id, f.site, f.url, f.fetched, f.title, f.first_description, f.h1_count, f.image_count, f.missing_alt_count, f.internal_count, f.external_count,
-    (SELECT count(*) FROM broken50 b WHERE b.page_id = f.page_id) AS broken_count, f.tags FROM fact2 f
+    (SELECT count(*) FROM {broken} b WHERE b.page_id = f.page_id) AS broken_count, f.tags FROM fact2 f
 ),
 seo_score AS (
   SELECT *, CAST(greatest(0, 100
@@ -461,6 +466,7 @@ seo_score AS (
 )
 """
 
+SINGLE_SCORE = single_score("broken50")
 PLAIN_COUNT = f"""bw AS (SELECT page_id, count(*) AS n FROM (
   SELECT page_id, unnest(regexp_extract_all(lower(body_text), {q(literals.WORD_RE)})) AS word FROM body) WHERE regexp_matches(word, '^[a-z]{{3,}}$') GROUP BY page_id)"""
 
@@ -685,7 +691,7 @@ ORACLE = {
             ("h1_count = 0", "'Missing H1 heading'"),
         )
         + " AS failed FROM seo_score)",
-        *CORE, SINGLE_SCORE, tables=ALL,
+        *CORE, BROKEN_ONCE, single_score("broken_once"), tables=ALL,
     ),
     "graph_in_degree": sql("SELECT site, node, in_degree FROM indeg", *PAGE, GRAPH, tables=ALL),
     "graph_homepage": sql("SELECT site, home FROM home", *PAGE, GRAPH, tables=ALL),
