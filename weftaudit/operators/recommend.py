@@ -495,8 +495,6 @@ def merged_states(rows: DataFrame) -> DataFrame:
 
 #: Letters of the parts by which states are looked up in one another.
 GRAM = 12
-#: Kept states that are joined in one go, before the texts of a recommendation are joined.
-JOINED_ROWS = 1024
 
 
 def kept_states(states: DataFrame, gram: int = GRAM) -> DataFrame:
@@ -541,32 +539,21 @@ def kept_states(states: DataFrame, gram: int = GRAM) -> DataFrame:
     return marked.withColumn("kept", kept).drop("inside").join(places.hint("merge"), ["rec_id", "current_state"], "left")
 
 
-def joined_states(kept: DataFrame, most: int | None = None, chunk: int = JOINED_ROWS) -> DataFrame:
+def joined_states(kept: DataFrame, most: int | None = None) -> DataFrame:
     """The kept states of each recommendation, joined in order, and their number.
 
     All states are joined, however many there are; only a caller that sets ``most`` gets no text for
-    a recommendation of more states. Runs of ``chunk`` states become texts first, so that the states
-    of one recommendation are gathered by many tasks, and the task that makes its row has a text
-    for each run. That row holds the whole text, so Spark's limit for a string (2 GB) is an error.
+    a recommendation of more states. A row holds a whole text, so one beyond the memory of
+    a task or Spark's limit for a string (2 GB) is an error. ``concat_ws`` makes a text of the known size;
+    ``array_join`` would double its buffer as it goes.
     """
     held = F.col("ord").isNotNull() if most is None else F.col("ord") <= most  # the rest is dropped before it is gathered
-    run = F.when(held, F.floor((F.col("ord") - 1) / chunk))
-    runs = kept.groupBy(*MERGE_KEYS, run.alias("run")).agg(
-        F.count("ord").alias("n"), _in_order(F.when(held, F.struct("ord", F.col("current_state").alias("t")))).alias("t")
-    )
-    texts = _in_order(F.when(F.col("run").isNotNull(), F.struct("run", "t")))
-    rows = runs.groupBy(*MERGE_KEYS).agg(F.sum("n").alias("n_states"), texts.alias("joined_state"))
+    states = F.sort_array(F.collect_list(F.when(held, F.struct("ord", "current_state"))))
+    text_ = F.concat_ws(" | ", F.transform(states, lambda x: x["current_state"]))
+    rows = kept.groupBy(*MERGE_KEYS).agg(F.count("ord").alias("n_states"), text_.alias("joined_state"))
     return rows if most is None else rows.withColumn("joined_state", F.when(F.col("n_states") <= most, F.col("joined_state")))
 
 
-def _in_order(pairs: Column) -> Column:
-    """The texts ``t`` of a group's pairs that are not null, joined in the order of the pairs.
-
-    ``concat_ws`` makes a text of the known size; ``array_join`` would double its buffer as it goes.
-    """
-    return F.concat_ws(" | ", F.transform(F.sort_array(F.collect_list(pairs)), lambda x: x["t"]))
-
-
 def ordered(groups: DataFrame, rules: DataFrame) -> DataFrame:
     """Merged recommendations with their fixed texts, most severe first."""
     full = groups.join(F.broadcast(rules), "rule")
